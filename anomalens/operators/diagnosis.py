@@ -14,6 +14,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from anomalens.plans.skew import rank_within
+from anomalens.plans.storage import cut_lineage
 
 _TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -216,6 +217,9 @@ def members_of(summed: DataFrame, dimensions: Mapping[str, str], ranked: bool =
                .groupBy("dimension", "member")
                .agg(F.sum("base_value").alias("base_value"),
                     F.sum("current_value").alias("current_value")))
+    if ranked:
+        # The facts are read once; ranking goes on from the written members.
+        members = cut_lineage(members)
     zero = F.lit(0.0)
     b, c = F.coalesce("base_value", zero), F.coalesce("current_value", zero)
     # Every dimension splits the same total, so the members of any one of them add

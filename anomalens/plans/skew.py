@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 HOT_SHARE = 1_000
 SALTS = 512
 RANK_BUCKETS = 200
+GROUP_ROWS = 1_000_000
 
 
 def join_unique(rows: DataFrame, table: DataFrame, key: str, weight: str,
@@ -36,15 +37,27 @@ def join_unique(rows: DataFrame, table: DataFrame, key: str, weight: str,
     return out.select(*rows.columns, *[F.col(f"_m.{c}").alias(c) for c in values])
 
 
-def rank_within(df: DataFrame, group: str, value: str, tie: str, out: str) -> DataFrame:
+def rank_within(df: DataFrame, group: str, value: str, tie: str, out: str,
+                group_rows: int = GROUP_ROWS) -> DataFrame:
     """Add ``out``: 1-based rank by ``value`` (largest first, then ``tie``) within
-    ``group``, without bringing a large group into one task.
+    ``group``. ``df`` should be written data: its largest group is counted first.
+    Up to ``group_rows`` rows a plain window does; beyond that see
+    ``_rank_spread``."""
+    largest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    if largest > group_rows:
+        return _rank_spread(df, group, value, tie, out)
+    w = Window.partitionBy(group).orderBy(F.desc(value), F.asc(tie))
+    return df.withColumn(out, F.row_number().over(w))
+
+
+def _rank_spread(df: DataFrame, group: str, value: str, tie: str, out: str) -> DataFrame:
+    """The same rank without bringing a group into one task.
 
     Approximate quantiles (a mergeable sketch) cut every group into buckets of
     similar size; rows are ranked inside their bucket and shifted by the number
     of rows in the buckets above. The cut points only balance the work, the rank
-    is exact. A handful of groups is assumed (they are the candidate dimensions),
-    so both helper tables are small and left to the size-checked broadcast.
+    is exact. Both helper tables have at most ``RANK_BUCKETS`` rows per group and
+    are left to the engine's size-checked broadcast.
     """
     steps = F.array(*[F.lit(i / RANK_BUCKETS) for i in range(1, RANK_BUCKETS)])
     cuts = df.groupBy(group).agg(F.percentile_approx(value, steps, F.lit(10_000)).alias("_cuts"))

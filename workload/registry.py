@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from workload import diagnosis
+from workload import diagnosis, loading
 
-_GROUPS = (diagnosis,)
+_GROUPS = (loading, diagnosis)
 
 
 def queries() -> dict:
