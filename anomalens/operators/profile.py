@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from anomalens.config import MAX_DISTINCT_SCAN, SAMPLE_VALUES
 
+MERGE_TASKS = 16
 _NESTED = (T.ArrayType, T.MapType, T.StructType)
 
 
@@ -66,7 +67,7 @@ def distinct_counts(df: DataFrame, max_distinct_scan: int = MAX_DISTINCT_SCAN,
     return _long(row, df, {"distinct_count": "bigint"}).select("column_name", "distinct_count")
 
 
-def _smallest(n: int, schema: T.StructType):
+def _smallest(n: int):
     """Per task: the n smallest distinct values of every column, as n rows of the
     table's own schema. State is n values per column, whatever the input size."""
 
@@ -97,8 +98,8 @@ def samples(df: DataFrame, n: int = SAMPLE_VALUES) -> DataFrame:
     shuffled and no unbounded set is built.
     """
     flat = _flat(df)
-    keep = _smallest(n, flat.schema)
-    few = flat.mapInArrow(keep, flat.schema).repartition(64).mapInArrow(keep, flat.schema)
+    keep = _smallest(n)
+    few = flat.mapInArrow(keep, flat.schema).repartition(MERGE_TASKS).mapInArrow(keep, flat.schema)
     row = few.agg(*[
         F.slice(F.array_sort(F.collect_set(F.col(f"`{c}`"))), 1, n).cast("array<string>")
         .alias(f"sample_values_{i}") for i, c in enumerate(flat.columns)])
@@ -107,7 +108,8 @@ def samples(df: DataFrame, n: int = SAMPLE_VALUES) -> DataFrame:
 
 def profile(df: DataFrame, table_name: str, sample_n: int = SAMPLE_VALUES,
             max_distinct_scan: int = MAX_DISTINCT_SCAN) -> DataFrame:
-    """One row per column: type, row count, null ratio, distinct count, samples."""
+    """One row per column: type, row count, null ratio, distinct count, samples
+    (``sample_n`` 0 leaves the samples out)."""
     rows, flat = df.count(), _flat(df)
     exact = rows <= max_distinct_scan
     row = flat.agg(
@@ -116,10 +118,13 @@ def profile(df: DataFrame, table_name: str, sample_n: int = SAMPLE_VALUES,
           for i, c in enumerate(flat.columns)])
     stats = _long(row, df, {"nulls": "bigint", "distinct_count": "bigint"})
     types = F.create_map(*[x for c, t in df.dtypes for x in (F.lit(c), F.lit(t))])
-    return (stats.join(samples(df, sample_n), "column_name")
-            .select(F.lit(table_name).alias("table_name"), "ordinal", "column_name",
-                    types[F.col("column_name")].alias("data_type"), "row_count",
-                    _null_ratio().alias("null_ratio"), "distinct_count", "sample_values"))
+    kept = ["sample_values"] if sample_n else []
+    if sample_n:
+        stats = stats.join(samples(df, sample_n), "column_name")
+    return stats.select(
+        F.lit(table_name).alias("table_name"), "ordinal", "column_name",
+        types[F.col("column_name")].alias("data_type"), "row_count",
+        _null_ratio().alias("null_ratio"), "distinct_count", *kept)
 
 
 def profile_tables(tables: Mapping[str, DataFrame], only: Sequence[str] | None = None,

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from workload import diagnosis, loading
+from workload import diagnosis, loading, querylog
 
-_GROUPS = (loading, diagnosis)
+_GROUPS = (loading, diagnosis, querylog)
 
 
 def queries() -> dict:
