@@ -52,13 +52,17 @@ def _literal_json(text: str | None) -> str | None:
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-def literals_to_json(values: pd.Series) -> pd.Series:
+def _literals_to_json(values: pd.Series) -> pd.Series:
     """Python-style literals to JSON text; NULL stays NULL, so does a failure."""
     return pd.Series([None if rows is None else
                       [None if r is None else [_literal_json(v) for v in r] for r in rows]
                       for rows in values])
 
 
+# Marked so that no later filter is pushed below it and makes it run twice.
+literals_to_json = _literals_to_json.asNondeterministic()
+
+
 def needs_literal(c: Column) -> Column:
     """The text if it opens a list or map but is not JSON, else NULL."""
     t = strip(c)

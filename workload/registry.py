@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from workload import diagnosis, loading, querylog
+from workload import calls, diagnosis, loading, querylog
 
-_GROUPS = (loading, diagnosis, querylog)
+_GROUPS = (loading, diagnosis, querylog, calls)
 
 
 def queries() -> dict:
