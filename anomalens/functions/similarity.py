@@ -8,7 +8,6 @@ native expressions first, and the UDF sees NULL for those rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -53,18 +52,17 @@ class _Compare:
 
 
 @F.pandas_udf(T.DoubleType())
-def _ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     compare = _Compare()
-    for a, b in batches:
-        yield pd.Series([None if x is None or y is None else compare.ratio(x, y)
-                         for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([None if x is None or y is None else compare.ratio(x, y)
+                      for x, y in zip(a, b)], dtype="float64")
 
 
 def _decide(a: Column, b: Column, known: Column) -> Column:
     """``known`` where it is not NULL, the ratio elsewhere."""
     blank = F.lit(None).cast("string")
     open_a = F.when(known.isNull(), a).otherwise(blank)
-    return F.coalesce(known, _ratio(open_a, b))
+    return F.coalesce(known, _ratio.asNondeterministic()(open_a, b))
 
 
 def form_similarity(a: Column, b: Column, floor: float = 0.0) -> Column:
@@ -85,68 +83,70 @@ def sql_similarity(a: Column, b: Column, mask: bool = False) -> Column:
     return form_similarity(normalize(a, mask), normalize(b, mask))
 
 
-def text_match(pred: Column, gold: Column) -> Column:
-    """1 if either text contains the other, else the ratio; 0 if one is empty."""
-    p = F.lower(strip(F.coalesce(pred, F.lit(""))))
-    g = F.lower(strip(F.coalesce(gold, F.lit(""))))
-    known = (
+def _clean(text: Column) -> Column:
+    return F.lower(strip(F.coalesce(text, F.lit(""))))
+
+
+def contains_match(pred: Column, gold: Column) -> Column:
+    """1 if either text contains the other, 0 if one is empty, else NULL."""
+    p, g = _clean(pred), _clean(gold)
+    return (
         F.when((p == "") | (g == ""), F.lit(0.0))
         .when(F.contains(p, g) | F.contains(g, p), F.lit(1.0))
     )
-    return _decide(p, g, known)
-
-
-_FLAGS = T.ArrayType(T.BooleanType())
-_BEST = T.ArrayType(T.StructType([T.StructField("idx", T.IntegerType()),
-                                  T.StructField("sim", T.DoubleType())]))
 
 
-@F.pandas_udf(_FLAGS)
-def kept_forms(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]
-               ) -> Iterator[pd.Series]:
-    """Per row an ordered list of normal forms, their number-masked variants, and
-    marks for forms known to be dropped: which forms are kept when a form that is
-    close to an earlier kept one, or equal to it under the mask, is dropped."""
+def text_match(pred: Column, gold: Column) -> Column:
+    """1 if either text contains the other, else the ratio; 0 if one is empty."""
+    return _decide(_clean(pred), _clean(gold), contains_match(pred, gold))
+
+
+def _walk(compare: _Compare, texts, masks, dropped, threshold: float) -> list[bool]:
+    """Which forms of an ordered list are kept when a form that is empty, known to
+    be dropped, close to an earlier kept one, or equal to one under the number
+    mask is dropped."""
+    kept: list[str] = []
+    seen: set[str] = set()
+    flags = []
+    for text, mask, gone in zip(texts, masks, dropped):
+        new = (text != "" and not gone and mask not in seen
+               and not any(compare.at_least(text, k, threshold) for k in kept))
+        if new:
+            kept.append(text)
+            seen.add(mask)
+        flags.append(new)
+    return flags
+
+
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _kept_forms(forms: pd.Series, masked: pd.Series, dropped: pd.Series,
+                threshold: pd.Series) -> pd.Series:
     compare = _Compare()
-
-    def walk(texts, masks, gone, threshold):
-        kept, seen, flags = [], set(), []
-        for text, mask, dropped in zip(texts, masks, gone):
-            new = (text != "" and not dropped and mask not in seen
-                   and not any(compare.at_least(text, k, threshold) for k in kept))
-            if new:
-                kept.append(text)
-                seen.add(mask)
-            flags.append(new)
-        return flags
-
-    for columns in batches:
-        yield pd.Series([walk(*row) for row in zip(*columns)])
+    return pd.Series([_walk(compare, *row) for row in zip(forms, masked, dropped, threshold)])
 
 
-@F.pandas_udf(_FLAGS)
-def close_to_any(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]
-                 ) -> Iterator[pd.Series]:
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _close_to_any(forms: pd.Series, kept: pd.Series, threshold: pd.Series) -> pd.Series:
     """For each form of the first list: is it close to any form of the second?"""
     compare = _Compare()
-    for columns in batches:
-        yield pd.Series([[any(compare.at_least(f, k, t) for k in known) for f in forms]
-                         for forms, known, t in zip(*columns)])
+    return pd.Series([[any(compare.at_least(f, k, t) for k in known) for f in some]
+                      for some, known, t in zip(forms, kept, threshold)])
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def pairwise(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Element-wise ratio of two equally long lists; NULL pairs give 0."""
-    compare = _Compare()
-    for a, b in batches:
-        yield pd.Series([[0.0 if x is None or y is None else compare.ratio(x, y)
-                          for x, y in zip(xs, ys)] for xs, ys in zip(a, b)])
+_SESSION = T.StructType([
+    T.StructField("kept", T.ArrayType(T.BooleanType())),
+    T.StructField("repair", T.ArrayType(T.DoubleType())),
+    T.StructField("best", T.ArrayType(T.StructType([
+        T.StructField("idx", T.IntegerType()), T.StructField("sim", T.DoubleType())]))),
+])
 
 
-@F.pandas_udf(_BEST)
-def best_matches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """For each wanted form the first most similar given form; idx -1 if none is
-    above 0. A NULL wanted form matches nothing."""
+@F.pandas_udf(_SESSION)
+def _session(forms: pd.Series, masked: pd.Series, repairs: pd.Series, evidence: pd.Series,
+             threshold: pd.Series) -> pd.DataFrame:
+    """All comparisons a session record needs, in one trip to Python: kept forms;
+    similarity of each marked call to the one before it; and for each evidence
+    form the first most similar call (idx -1 if none is above 0)."""
     compare = _Compare()
 
     def best(form, given):
@@ -159,5 +159,16 @@ def best_matches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
                 idx, sim = i, score
         return {"idx": idx, "sim": sim}
 
-    for wanted, given in batches:
-        yield pd.Series([[best(f, gs) for f in fs] for fs, gs in zip(wanted, given)])
+    out: dict[str, list] = {"kept": [], "repair": [], "best": []}
+    for fs, ms, marks, wanted, t in zip(forms, masked, repairs, evidence, threshold):
+        out["kept"].append(_walk(compare, fs, ms, [False] * len(fs), t))
+        out["repair"].append([compare.ratio(ms[i - 1], ms[i]) if marked else None
+                              for i, marked in enumerate(marks)])
+        out["best"].append([best(w, fs) for w in wanted])
+    return pd.DataFrame(out)
+
+
+# Marked so that no later filter is pushed below them and makes them run twice.
+kept_forms = _kept_forms.asNondeterministic()
+close_to_any = _close_to_any.asNondeterministic()
+session_comparisons = _session.asNondeterministic()

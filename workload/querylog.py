@@ -2,7 +2,9 @@
 
 The tables hold no SQL, so every event is turned into one call of a session: the
 user is the session, the event id its position. The same expression text runs in
-both engines.
+both engines. The templates have less than 0.4 in common with each other, so two
+calls are similar exactly if their number-masked forms are equal, which SQL can
+follow.
 """
 
 from __future__ import annotations
@@ -20,9 +22,9 @@ CASE event_type
  WHEN 'click' THEN 'SELECT region ,  SUM( gmv ) FROM sales WHERE day = ' || {k} || ' /* drop ' || {k} || ' */ GROUP BY 1'
  WHEN 'view' THEN 'from t_' || chr(39) || 'it' || chr(39) || chr(39) || 's; drop' || chr(39) || ' limit ' || {k} || ' ;'
  WHEN 'purchase' THEN 'WITH x AS (VALUES (' || {k} || ')) -- update it' || chr(10) || ' TABLE x'
- WHEN 'signup' THEN CASE WHEN event_id % 3 = 0 THEN 'DROP TABLE t' || {k}
-                         WHEN event_id % 3 = 1 THEN 'SELECT 1; SELECT ' || {k}
-                         ELSE 'SELECT * FROM read_csv (' || chr(39) || {k} || chr(39) || ')' END
+ WHEN 'signup' THEN CASE WHEN event_id % 3 = 0 THEN 'VACUUM jobs ' || {k}
+                         WHEN event_id % 3 = 1 THEN 'SHOW tables; SHOW ' || {k}
+                         ELSE 'VALUES (glob ( ' || chr(39) || {k} || chr(39) || ') || now())' END
  ELSE CASE WHEN event_id % 4 = 0 THEN '   '
            WHEN event_id % 4 = 1 THEN '(describe "set" ) load ' || {k}
            WHEN event_id % 4 = 2 THEN 'EXPLAIN ANALYZE "update" , ' || {k} || '.50'
@@ -37,7 +39,7 @@ def log_sql(engine: str) -> str:
     return f"""
 SELECT user_id AS traj_id, event_id AS turn, value, {text} AS sql,
   CASE WHEN event_id % 10 = 7 THEN NULL WHEN event_id % 10 = 3 THEN 'retrieve_context'
-       ELSE 'execute_sql' END AS tool_name,
+       WHEN event_id % 10 = 9 THEN 'final_answer' ELSE 'execute_sql' END AS tool_name,
   CASE WHEN value > 30 THEN 'over_budget' END AS error,
   CASE WHEN event_type = 'signup' THEN 'illegal' WHEN event_id % 7 = 0 THEN 'timeout'
        WHEN event_id % 5 = 0 THEN 'execution' END AS error_type
@@ -46,7 +48,7 @@ FROM {"{events}" if engine == "spark" else "events"}"""
 
 def query_log(spark: SparkSession, sf: str) -> DataFrame:
     log = spark.sql(log_sql("spark"), events=table(spark, sf, "events"))
-    return log.withColumn("ok", F.col("error_type").isNull())
+    return log.withColumn("ok", F.when(F.col("tool_name").isNotNull(), F.col("error_type").isNull()))
 
 
 def _with(column):
@@ -113,7 +115,8 @@ QUERIES = {
     "D13_coerce_value": coerced,
 }
 
-LOG = f"(SELECT *, error_type IS NULL AS ok FROM ({log_sql('duckdb')}))"
+LOG = (f"(SELECT *, CASE WHEN tool_name IS NOT NULL THEN error_type IS NULL END AS ok "
+       f"FROM ({log_sql('duckdb')}))")
 
 _STRIP = "sql"
 for _p, _r in ((r"\$\$[\s\S]*?\$\$", "''''"), (r"/\*[\s\S]*?\*/", "' '"), (r"--[^\n]*", "' '"),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from workload import calls, diagnosis, loading, querylog
+from workload import calls, diagnosis, loading, querylog, sessions
 
-_GROUPS = (loading, diagnosis, querylog, calls)
+_GROUPS = (loading, diagnosis, querylog, calls, sessions)
 
 
 def queries() -> dict:
