@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from workload import calls, diagnosis, loading, querylog, sessions
+from workload import calls, diagnosis, loading, querylog, scoring, sessions
 
-_GROUPS = (loading, diagnosis, querylog, calls, sessions)
+_GROUPS = (loading, diagnosis, querylog, calls, sessions, scoring)
 
 
 def queries() -> dict:
