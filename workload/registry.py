@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from workload import calls, diagnosis, loading, querylog, scoring, sessions
+from workload import calls, diagnosis, loading, querylog, retrieval, scoring, sessions
 
-_GROUPS = (loading, diagnosis, querylog, calls, sessions, scoring)
+_GROUPS = (loading, diagnosis, querylog, calls, sessions, scoring, retrieval)
 
 
 def queries() -> dict:
