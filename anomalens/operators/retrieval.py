@@ -58,12 +58,14 @@ def _idf(df: Column, n: Column) -> Column:
 
 
 def build_index(entries: DataFrame, keep: bool = True) -> Index:
-    """Index of the entries. With ``keep`` the postings are written to shared
-    storage once, since norms and every search read them."""
+    """Index of the entries. With ``keep`` postings, terms and norms are written to
+    shared storage once, since every search reads them."""
     postings = entry_terms(entries)
     if keep:
         postings = cut_lineage(postings)
     terms = postings.groupBy("tok").agg(F.count("*").alias("df"))
+    if keep:
+        terms = cut_lineage(terms)
     size = entries.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
     weighted = join_unique(postings, terms.withColumn("postings", F.col("df")), "tok", "postings")
     weight = _tf(F.col("c")) * _idf(F.col("df"), size.scalar())
@@ -102,8 +104,9 @@ def _cosine(index: Index, vectors: DataFrame) -> DataFrame:
     packed = vectors.filter("df IS NOT NULL").groupBy("tok").agg(
         F.first("df").alias("df"), F.first("idf").alias("idf"),
         F.collect_list(F.struct("qid", "qw")).alias("users"))
+    packed = cut_lineage(packed.select("tok", "df", "idf", "users"))
     # The postings carry ord and count only; one row per (query term, entry).
-    hits = join_unique(index.postings, packed.select("tok", "df", "idf", "users"), "tok", "df")
+    hits = join_unique(index.postings, packed, "tok", "df")
     dots = hits.select("ord", (_tf(F.col("c")) * F.col("idf")).alias("w"), F.inline("users"))
     return dots.groupBy("qid", "ord").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
 
@@ -136,7 +139,8 @@ def _boosts(index: Index, queries: DataFrame) -> DataFrame:
     parts = starts.select("qid", F.substring("q", F.col("p"), F.col("n")).alias("phrase")).distinct()
     users = (parts.join(distinct, "phrase").groupBy("phrase")
              .agg(F.first("owners").alias("owners"), F.collect_list("qid").alias("qids")))
-    owned = join_unique(phrases, users.select("phrase", "owners", "qids"), "phrase", "owners")
+    users = cut_lineage(users.select("phrase", "owners", "qids"))
+    owned = join_unique(phrases, users, "phrase", "owners")
     return (owned.select("ord", "boost", F.explode("qids").alias("qid"))
             .groupBy("qid", "ord").agg(F.sum("boost").alias("boost")))
 

@@ -18,6 +18,7 @@ def join_unique(rows: DataFrame, table: DataFrame, key: str, weight: str,
     Keys that own more than 1/1000 of all rows number fewer than 1000, so
     their part of the table is broadcast (a proven bound). The other keys
     take an ordinary join; hot rows pass it under salted keys that match nothing.
+    ``table`` is read three times, so hand in written data.
     """
     total = table.agg(F.sum(weight).alias("n")).scalar()
     values = [c for c in table.columns if c not in (key, weight)]
