@@ -99,7 +99,9 @@ def samples(df: DataFrame, n: int = SAMPLE_VALUES) -> DataFrame:
     """
     flat = _flat(df)
     keep = _smallest(n)
-    few = flat.mapInArrow(keep, flat.schema).repartition(MERGE_TASKS).mapInArrow(keep, flat.schema)
+    # Short lists are padded with NULLs, also in columns that have none.
+    shape = T.StructType([T.StructField(f.name, f.dataType, True) for f in flat.schema.fields])
+    few = flat.mapInArrow(keep, shape).repartition(MERGE_TASKS).mapInArrow(keep, shape)
     row = few.agg(*[
         F.slice(F.array_sort(F.collect_set(F.col(f"`{c}`"))), 1, n).cast("array<string>")
         .alias(f"sample_values_{i}") for i, c in enumerate(flat.columns)])
