@@ -96,10 +96,10 @@ def query_vectors(index: Index, queries: DataFrame) -> DataFrame:
 
 
 def _cosine(index: Index, vectors: DataFrame) -> DataFrame:
-    """Cosine parts ``qid, ord, part``: dot products over postings of query terms.
+    """``qid, ord, dot``: one product per posting of a query term.
 
     All queries that use a term are packed into one row per term, so the join has
-    a unique key and hot terms are spread; the products are summed map-side first.
+    a unique key and hot terms are spread; ``scores`` sums the products map-side.
     """
     packed = vectors.filter("df IS NOT NULL").groupBy("tok").agg(
         F.first("df").alias("df"), F.first("idf").alias("idf"),
@@ -108,7 +108,7 @@ def _cosine(index: Index, vectors: DataFrame) -> DataFrame:
     # The postings carry ord and count only; one row per (query term, entry).
     hits = join_unique(index.postings, packed, "tok", "df")
     dots = hits.select("ord", (_tf(F.col("c")) * F.col("idf")).alias("w"), F.inline("users"))
-    return dots.groupBy("qid", "ord").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    return dots.select("qid", "ord", (F.col("w") * F.col("qw")).alias("dot"))
 
 
 def _phrases(index: Index) -> DataFrame:
@@ -121,7 +121,7 @@ def _phrases(index: Index) -> DataFrame:
 
 
 def _boosts(index: Index, queries: DataFrame) -> DataFrame:
-    """``qid, ord, boost`` for tags and titles that are substrings of the query.
+    """``qid, ord, boost``: a row per tag or title that is a substring of the query.
 
     Containment becomes an equi-join: every query lists its substrings of the
     lengths that phrases have, and distinct phrases are matched to them. A phrase
@@ -141,8 +141,7 @@ def _boosts(index: Index, queries: DataFrame) -> DataFrame:
              .agg(F.first("owners").alias("owners"), F.collect_list("qid").alias("qids")))
     users = cut_lineage(users.select("phrase", "owners", "qids"))
     owned = join_unique(phrases, users, "phrase", "owners")
-    return (owned.select("ord", "boost", F.explode("qids").alias("qid"))
-            .groupBy("qid", "ord").agg(F.sum("boost").alias("boost")))
+    return owned.select("ord", "boost", F.explode("qids").alias("qid"))
 
 
 def scores(index: Index, queries: DataFrame, kind: str | None = None,

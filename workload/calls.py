@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from anomalens.operators import calls as C
-from workload.tables import table
+from workload.tables import heavy
 
 _Q = "chr(39)"
 _RAW = f"""
@@ -37,7 +37,7 @@ def raw_sql(source: str) -> str:
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
     raw = F.expr(_RAW.replace("\\", "\\\\")).alias("raw")
-    return table(spark, sf, "conversations").select("conv_id", "turn", "role", raw)
+    return heavy(spark, sf, "conversations").select("conv_id", "turn", "role", raw)
 
 
 def _extracted(spark: SparkSession, sf: str) -> DataFrame:

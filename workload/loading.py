@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from anomalens.operators import profile as P
 from anomalens.plans.storage import scratch_path
 from anomalens.sources import records as R, tables as S
-from workload.tables import NAMES, table
+from workload.tables import NAMES, heavy, table
 
 _STAR = ("customer", "nation", "orders", "part")
 _PROFILED = ("customer", "labels", "nation", "orders", "part", "region", "supplier")
@@ -102,7 +102,7 @@ def jsonl_append(spark: SparkSession, sf: str) -> DataFrame:
 
 def document_entries(spark: SparkSession, sf: str) -> DataFrame:
     """documents as context entries: title = source, tag = language."""
-    return table(spark, sf, "documents").select(
+    return heavy(spark, sf, "documents").select(
         F.concat(F.lit("doc."), F.col("doc_id").cast("string")).alias("id"),
         F.when(F.col("lang") == "en", "metric").otherwise("table_note").alias("kind"),
         F.col("source").alias("title"), "text",

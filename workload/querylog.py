@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from anomalens.config import ALLOWED_STATEMENTS, FORBIDDEN_FUNCTIONS, FORBIDDEN_KEYWORDS
 from anomalens.functions import similarity as M, sqltext as S, tokens as T, values as V
 from anomalens.operators import querylog as Q
-from workload.tables import table
+from workload.tables import heavy, table
 
 # {k} is the number in props. chr(10) is a line break, chr(39) a quote.
 _TEXT = """
@@ -47,7 +47,7 @@ FROM {"{events}" if engine == "spark" else "events"}"""
 
 
 def query_log(spark: SparkSession, sf: str) -> DataFrame:
-    log = spark.sql(log_sql("spark"), events=table(spark, sf, "events"))
+    log = spark.sql(log_sql("spark"), events=heavy(spark, sf, "events"))
     return log.withColumn("ok", F.when(F.col("tool_name").isNotNull(), F.col("error_type").isNull()))
 
 
@@ -81,7 +81,7 @@ def numbers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", T.tokenize(F.col("text")).alias("t"))
+    d = heavy(spark, sf, "documents").select("doc_id", T.tokenize(F.col("text")).alias("t"))
     return d.select("doc_id", F.size("t").alias("n_tokens"),
                     F.size(F.array_distinct("t")).alias("n_distinct"), F.array_min("t").alias("first"))
 

@@ -43,7 +43,8 @@ def _shown(df: DataFrame) -> DataFrame:
 
 
 def boosts(spark: SparkSession, sf: str) -> DataFrame:
-    return I._boosts(_index(spark, sf), _queries(spark, sf))
+    parts = I._boosts(_index(spark, sf), _queries(spark, sf))
+    return parts.groupBy("qid", "ord").agg(F.sum("boost").alias("boost"))
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:

@@ -17,9 +17,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from anomalens.operators import diagnosis as D, metrics as H, scoring as G, trajectories as N
-from anomalens.plans.storage import cut_lineage, scratch_path
+from anomalens.plans.storage import scratch_path
 from anomalens.sources import records as R
-from workload.tables import table
+from workload.tables import heavy, table
 
 _SALES = "'SELECT region, SUM(gmv) FROM sales WHERE day = ' || {k} || ' GROUP BY 1'"
 _STEP = f"""
@@ -58,7 +58,7 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     finding = "named_struct('claim', 'c', 'value', {v}, 'evidence_sql', {e})"
     first = finding.format(v="if(o_orderkey % 2 = 0, cast(k AS string), '12345')", e=evidence)
     second = finding.format(v="'0.5'", e="'SELECT 1 -- never run'")
-    return table(spark, sf, "orders").withColumn("k", F.expr("o_custkey % 10")).select(
+    return heavy(spark, sf, "orders").withColumn("k", F.expr("o_custkey % 10")).select(
         F.col("o_orderkey").cast("string").alias("task_id"),
         F.expr("array(named_struct('role', 'system', 'content', o_orderstatus), "
                "named_struct('role', 'user', 'content', o_orderpriority))").alias("messages"),

@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from anomalens.plans.spread import spread
+
 NAMES = ("region nation customer supplier part orders lineitem events documents embeddings "
          "pages benchmark labels conversations").split()
 
 
+def heavy(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose rows take much work each."""
+    return spread(table(spark, folder, name))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
