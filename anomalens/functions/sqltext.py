@@ -37,6 +37,11 @@ _SINGLE = _quoted("'")
 _DOUBLE = _quoted('"')
 
 
+def literal(word: str) -> str:
+    """A word as a pattern that matches just itself."""
+    return rf"\Q{word}\E"
+
+
 def strip(c: Column) -> Column:
     """Trim Unicode white space (``F.trim`` knows only U+0020)."""
     return F.regexp_replace(c, rf"(?U)^{_WS}+|{_WS}+\z", "")
@@ -80,8 +85,8 @@ def first_keyword(sql: Column, strict: bool = False) -> Column:
 
 def _first_hit(body: Column, words: Sequence[str], after: str) -> Column:
     """First word of the list (in list order) that occurs; NULL if none does."""
-    any_word = body.rlike(rf"(?iU)\b(?:{'|'.join(words)}){after}")
-    hits = [F.when(body.rlike(rf"(?iU)\b{w}{after}"), F.lit(w)) for w in words]
+    any_word = body.rlike(rf"(?iU)\b(?:{'|'.join(literal(w) for w in words)}){after}")
+    hits = [F.when(body.rlike(rf"(?iU)\b{literal(w)}{after}"), F.lit(w)) for w in words]
     # One pass over the text answers the common case (no hit) for the whole list.
     return F.when(any_word, F.coalesce(*hits))
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from anomalens.config import KNOWN_TOOLS
-from anomalens.functions.sqltext import collapse_spaces, strip
+from anomalens.functions.sqltext import collapse_spaces, literal, strip
 from anomalens.functions.values import coerce_with, literals_to_json, needs_literal, to_number
 
 # Marks and tags of the call formats.
@@ -129,7 +129,7 @@ def _block_warning(block: Column) -> Column:
 
 def _mention(plain: Column, known: Sequence[str]) -> Column:
     return F.coalesce(_null("string"), *[
-        F.when(plain.rlike(rf"(?U)\b{t}\b"), F.lit(f"tool_without_call: {t}")) for t in known])
+        F.when(plain.rlike(rf"(?U)\b{literal(t)}\b"), F.lit(f"tool_without_call: {t}")) for t in known])
 
 
 def extract_calls(df: DataFrame, text: str = "text",

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -27,6 +28,9 @@ from anomalens.plans.skew import join_unique
 from anomalens.plans.storage import cut_lineage
 
 
+QUERY_BLOCK = 10_000
+
+
 @dataclass(frozen=True)
 class Index:
     """``entries`` (metadata and norm), ``postings`` (ord, tok, c), ``terms`` (tok,
@@ -148,7 +152,21 @@ def scores(index: Index, queries: DataFrame, kind: str | None = None,
            tables: Sequence[str] | None = None) -> DataFrame:
     """All hits ``qid, ord, score`` with a score above 0. ``queries`` has ``qid``
     and ``query``; a query without tokens has no hits. ``kind`` keeps entries of
-    that kind, ``tables`` those that share a table or have none."""
+    that kind, ``tables`` those that share a table or have none.
+
+    The queries that share a term travel as one list, so they are taken in blocks
+    of about ``QUERY_BLOCK``; the results of all blocks are returned.
+    """
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    if blocks <= 1:
+        return _scores(index, queries, kind, tables)
+    number = F.pmod(F.xxhash64("qid"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [
+        _scores(index, queries.filter(number == b), kind, tables) for b in range(blocks)])
+
+
+def _scores(index: Index, queries: DataFrame, kind: str | None,
+            tables: Sequence[str] | None) -> DataFrame:
     vectors = query_vectors(index, queries)
     dots = _cosine(index, vectors).withColumn("boost", F.lit(0.0))
     boosts = _boosts(index, queries).select("qid", "ord", F.lit(0.0).alias("dot"), "boost")

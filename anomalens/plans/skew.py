@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-HOT_SHARE = 1_000
+HOT_SHARE = 10_000
 SALTS = 512
 RANK_BUCKETS = 200
 GROUP_ROWS = 1_000_000
@@ -15,7 +15,7 @@ def join_unique(rows: DataFrame, table: DataFrame, key: str, weight: str,
     """Join many rows to a table with one row per key, where a few keys may own
     most rows. ``weight`` is a column of ``table``: how many rows the key owns.
 
-    Keys that own more than 1/1000 of all rows number fewer than 1000, so
+    Keys that own more than 1/10000 of all rows number fewer than 10000, so
     their part of the table is broadcast (a proven bound). The other keys
     take an ordinary join; hot rows pass it under salted keys that match nothing.
     ``table`` is read three times, so hand in written data.

@@ -69,6 +69,12 @@ def test_search_equals_brute_force(index, queries, k, kind, tables):
         assert got.get(i, []) == brute_force(ENTRIES, q, k, kind, tables), q
 
 
+def test_blocks_of_queries_give_the_same_hits(index, queries, monkeypatch):
+    want = I.search(index, queries, 5).collect()
+    monkeypatch.setattr(I, "QUERY_BLOCK", 4)
+    assert sorted(map(tuple, I.search(index, queries, 5).collect())) == sorted(map(tuple, want))
+
+
 def test_requests(spark, index):
     asked = spark.createDataFrame([(0, "gmv", 0), (1, "gmv", 1), (2, "gmv", 99), (3, " \t", 3), (4, "?!", None)],
                                   "qid int, query string, top_k int")
