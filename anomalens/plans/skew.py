@@ -48,7 +48,7 @@ def rank_within(df: DataFrame, group: str, value: str, tie: str, out: str,
     if largest > group_rows:
         return _rank_spread(df, group, value, tie, out)
     w = Window.partitionBy(group).orderBy(F.desc(value), F.asc(tie))
-    return df.withColumn(out, F.row_number().over(w))
+    return df.withColumn(out, F.row_number().over(w).cast("bigint"))
 
 
 def _rank_spread(df: DataFrame, group: str, value: str, tie: str, out: str) -> DataFrame:
