@@ -3,7 +3,6 @@ import re
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from anomalens.operators import retrieval as I
 

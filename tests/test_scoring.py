@@ -1,7 +1,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from anomalens.operators import metrics as H, scoring as G, sessions as X, trajectories as N
 from anomalens.sources import records as R
