@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,15 +10,11 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``. Only a
-    local session may do without the setting; it gets a temporary folder."""
+    """The folder all executors share, named by ``spark.checkpoint.dir``."""
     named = spark.conf.get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {_SETTING} to a folder all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="anomalens-"))
-    return spark.sparkContext.getCheckpointDir()
+    if not named:
+        raise RuntimeError(f"set {_SETTING} to a folder that the driver and all executors share")
+    return named
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

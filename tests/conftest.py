@@ -8,10 +8,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     s = (SparkSession.builder.master("local[8]").appName("anomalens-tests")
          .config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
          .config("spark.sql.shuffle.partitions", "8")
+         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
          .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
