@@ -21,7 +21,7 @@ import io
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from anomalens.llm.common import text_of
 
@@ -35,7 +35,7 @@ RECORD = ("record_id string, record_type string, uri string, date string, payloa
           "payload_bytes bigint, payload binary")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def base32_sha1(hexed):
     """Upper-case base32 of a hexadecimal digest."""
     return hexed.map(lambda h: base64.b32encode(bytes.fromhex(h)).decode(), na_action="ignore")
