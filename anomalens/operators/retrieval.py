@@ -9,16 +9,21 @@ Shape of the work: an entry's term counts are complete before the shuffle,
 because all its tokens sit in one row (map-side combining); document frequencies
 combine the same way; the frequency of a term reaches its postings through a join
 that broadcasts only the provably few hot terms (``plans.skew.join_unique``), so a
-word that occurs in every entry does not pile up in one task. Scores touch only
-postings of query terms.
+word that occurs in every entry does not pile up in one task. The index keeps an
+entry's terms in one row. A search takes entries in chunks and queries in blocks of
+bounded size; a score is final inside such a cell, and only the best hits of each
+query leave it. No (query, entry) pairs are shuffled, and filters on entries come
+first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from anomalens.config import TAG_BOOST, TITLE_BOOST
@@ -27,17 +32,20 @@ from anomalens.functions.tokens import tokenize
 from anomalens.plans.skew import join_unique
 from anomalens.plans.storage import cut_lineage
 
-
-QUERY_BLOCK = 10_000
+# A cell: entries of a chunk, characters of a block of queries.
+CHUNK_ENTRIES, BLOCK_CHARS = 2000, 1_000_000
+# Phrases are found by their first characters, shorter ones by all they have.
+GRAM = 8
+_SLICE, _PAIRS = 256, 1_000_000
+_DIRECT = 200_000
 
 
 @dataclass(frozen=True)
 class Index:
-    """``entries`` (metadata and norm), ``postings`` (ord, tok, c), ``terms`` (tok,
+    """``entries`` (metadata, norm, ``toks`` and their ``counts``), ``terms`` (tok,
     df) and ``size``, a one-row table with the number of entries."""
 
     entries: DataFrame
-    postings: DataFrame
     terms: DataFrame
     size: DataFrame
 
@@ -73,10 +81,13 @@ def build_index(entries: DataFrame, keep: bool = True) -> Index:
     size = entries.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
     weighted = join_unique(postings, terms.withColumn("postings", F.col("df")), "tok", "postings")
     weight = _tf(F.col("c")) * _idf(F.col("df"), size.scalar())
-    norms = weighted.withColumn("w", weight).groupBy("ord").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    meta = entries.select("ord", "id", "kind", "title", "tags", "tables")
-    known = meta.join(norms, "ord", "left").withColumn("norm", F.coalesce("norm", F.lit(1.0)))
-    return Index(cut_lineage(known) if keep else known, postings, terms, size)
+    rows = weighted.withColumn("w", weight).groupBy("ord").agg(
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("tok", "c")).alias("t"))
+    known = entries.select("ord", "id", "kind", "title", "tags", "tables").join(rows, "ord", "left")
+    known = known.select("ord", "id", "kind", "title", "tags", "tables", F.coalesce("norm", F.lit(1.0)).alias("norm"),
+                         F.coalesce("t.tok", F.array().cast("array<string>")).alias("toks"),
+                         F.coalesce("t.c", F.array().cast("array<bigint>")).alias("counts"))
+    return Index(cut_lineage(known) if keep else known, terms, size)
 
 
 def extend_index(entries: DataFrame, more: DataFrame) -> DataFrame:
@@ -99,89 +110,155 @@ def query_vectors(index: Index, queries: DataFrame) -> DataFrame:
                        _idf(F.coalesce("df", F.lit(0)), index.size.scalar()).alias("idf"), "df")
 
 
-def _cosine(index: Index, vectors: DataFrame) -> DataFrame:
-    """``qid, ord, dot``: one product per posting of a query term.
-
-    All queries that use a term are packed into one row per term, so the join has
-    a unique key and hot terms are spread; ``scores`` sums the products map-side.
-    """
-    packed = vectors.filter("df IS NOT NULL").groupBy("tok").agg(
-        F.first("df").alias("df"), F.first("idf").alias("idf"),
-        F.collect_list(F.struct("qid", "qw")).alias("users"))
-    packed = cut_lineage(packed.select("tok", "df", "idf", "users"))
-    # The postings carry ord and count only; one row per (query term, entry).
-    hits = join_unique(index.postings, packed, "tok", "df")
-    dots = hits.select("ord", (_tf(F.col("c")) * F.col("idf")).alias("w"), F.inline("users"))
-    return dots.select("qid", "ord", (F.col("w") * F.col("qw")).alias("dot"))
-
-
-def _phrases(index: Index) -> DataFrame:
-    """Lower-cased tags and titles with the boost they give, per entry. A tag
-    listed twice counts twice."""
-    tags = index.entries.select("ord", F.explode("tags").alias("phrase"), F.lit(TAG_BOOST).alias("boost"))
-    titles = index.entries.filter("title <> ''").select(
-        "ord", F.col("title").alias("phrase"), F.lit(TITLE_BOOST).alias("boost"))
-    return tags.unionByName(titles).withColumn("phrase", F.lower("phrase"))
-
-
-def _boosts(index: Index, queries: DataFrame) -> DataFrame:
-    """``qid, ord, boost``: a row per tag or title that is a substring of the query.
-
-    Containment becomes an equi-join: every query lists its substrings of the
-    lengths that phrases have, and distinct phrases are matched to them. A phrase
-    owned by many entries is one row in that match and is spread afterwards.
-    """
-    phrases = _phrases(index)
-    distinct = phrases.groupBy("phrase").agg(F.count("*").alias("owners"))
-    lengths = distinct.agg(F.collect_set(F.length("phrase")).alias("l"))
-    text = queries.filter(F.size(tokenize(F.col("query"))) > 0).select(
-        "qid", F.lower("query").alias("q"))
-    spans = text.select("qid", "q", F.explode(lengths.scalar()).alias("n")).filter(
-        F.col("n") <= F.length("q"))
-    starts = spans.select("qid", "q", "n", F.explode(
-        F.sequence(F.lit(1), F.length("q") - F.col("n") + 1)).alias("p"))
-    parts = starts.select("qid", F.substring("q", F.col("p"), F.col("n")).alias("phrase")).distinct()
-    users = (parts.join(distinct, "phrase").groupBy("phrase")
-             .agg(F.first("owners").alias("owners"), F.collect_list("qid").alias("qids")))
-    users = cut_lineage(users.select("phrase", "owners", "qids"))
-    owned = join_unique(phrases, users, "phrase", "owners")
-    return owned.select("ord", "boost", F.explode("qids").alias("qid"))
-
-
-def scores(index: Index, queries: DataFrame, kind: str | None = None,
-           tables: Sequence[str] | None = None) -> DataFrame:
-    """All hits ``qid, ord, score`` with a score above 0. ``queries`` has ``qid``
-    and ``query``; a query without tokens has no hits. ``kind`` keeps entries of
-    that kind, ``tables`` those that share a table or have none.
-
-    The queries that share a term travel as one list, so they are taken in blocks
-    of about ``QUERY_BLOCK``; the results of all blocks are returned.
-    """
-    blocks = -(-queries.count() // QUERY_BLOCK)
-    if blocks <= 1:
-        return _scores(index, queries, kind, tables)
-    number = F.pmod(F.xxhash64("qid"), F.lit(blocks))
-    return reduce(DataFrame.unionByName, [
-        _scores(index, queries.filter(number == b), kind, tables) for b in range(blocks)])
-
-
-def _scores(index: Index, queries: DataFrame, kind: str | None,
-            tables: Sequence[str] | None) -> DataFrame:
-    vectors = query_vectors(index, queries)
-    dots = _cosine(index, vectors).withColumn("boost", F.lit(0.0))
-    boosts = _boosts(index, queries).select("qid", "ord", F.lit(0.0).alias("dot"), "boost")
-    both = dots.unionByName(boosts).groupBy("qid", "ord").agg(
-        F.sum("dot").alias("dot"), F.sum("boost").alias("boost"))
-    known = index.entries
+def phrases(entries: DataFrame) -> DataFrame:
+    """``phrase, boost, owners``: distinct lower-cased tags and titles with the boost
+    they give and how often entries have them. A tag listed twice counts twice."""
+    tags = entries.select(F.explode("tags").alias("phrase"), F.lit(TAG_BOOST).alias("boost"))
+    titles = entries.filter("title <> ''").select(F.col("title").alias("phrase"), F.lit(TITLE_BOOST).alias("boost"))
+    return (tags.unionByName(titles).filter("phrase IS NOT NULL")
+            .groupBy(F.lower("phrase").alias("phrase"), "boost").agg(F.count("*").alias("owners")))
+
+
+def boosts(index: Index, queries: DataFrame) -> DataFrame:
+    """``qid, phrase, boost, owners``: the phrases that occur in a query that has
+    tokens. Containment becomes an equi-join on a phrase's first ``GRAM`` characters
+    with the grams of the queries, which are linear in their length."""
+    text = queries.filter(F.size(tokenize(F.col("query"))) > 0).select("qid", F.lower("query").alias("q"))
+    known = phrases(index.entries).withColumn("g", F.substring("phrase", 1, GRAM))
+    # The empty phrase is in every query.
+    starts = text.withColumn("p", F.explode(F.sequence(F.lit(1), F.greatest(F.length("q"), F.lit(1)))))
+    grams = starts.select("qid", F.explode(F.transform(
+        F.sequence(F.lit(0), F.lit(GRAM)), lambda n: F.substring(F.col("q"), F.col("p"), n))).alias("g")).distinct()
+    found = grams.join(known, "g").join(text, "qid").filter(F.contains("q", "phrase"))
+    return found.select("qid", "phrase", "boost", "owners")
+
+
+def _asked(index: Index, queries: DataFrame) -> DataFrame:
+    """One row per query that has tokens: its text and its weighted terms."""
+    terms = query_vectors(index, queries).groupBy("qid").agg(F.collect_list(F.when(
+        F.col("df").isNotNull(), F.struct("tok", (F.col("qw") * F.col("idf")).alias("w")))).alias("t"))
+    rows = terms.join(queries.select("qid", F.lower("query").alias("q")), "qid")
+    return rows.select("qid", "q", F.col("t.tok").alias("toks"), F.col("t.w").alias("ws"))
+
+
+def _cell(k: int, entries: pd.DataFrame, queries: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query row, entry rows, scores): the best ``k`` hits of every query."""
+    vocabulary: dict[str, int] = {}
+    token, owner, weight = [], [], []
+    for i, (toks, ws) in enumerate(zip(queries["toks"], queries["ws"])):
+        token += [vocabulary.setdefault(t, len(vocabulary)) for t in toks]
+        owner += [i] * len(toks)
+        weight += list(ws)
+    token, owner, weight = np.array(token, np.int64), np.array(owner, np.int64), np.array(weight, float)
+    order = np.argsort(token, kind="stable")
+    token, owner, weight = token[order], owner[order], weight[order]
+    first = np.searchsorted(token, np.arange(len(vocabulary) + 1))
+    boost = _boosted(entries, queries["q"].tolist())
+    ord_, norm, m = entries["ord"].to_numpy(), entries["norm"].to_numpy(), len(queries)
+    best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * m
+    for low in range(0, len(entries), _SLICE):
+        part = entries.iloc[low:low + _SLICE]
+        score = np.zeros(len(part) * m)
+        found = [(i, vocabulary[t], c) for i, (toks, counts) in enumerate(zip(part["toks"], part["counts"]))
+                 for t, c in zip(toks, counts) if t in vocabulary]
+        row, term, count = (np.array(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        tf = 1 + np.log(np.maximum(count, 1))
+        many = first[term + 1] - first[term] if len(term) else term
+        ends = np.cumsum(many)
+        at = 0
+        while at < len(row):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PAIRS)))
+            n = many[at:to]
+            use = np.repeat(first[term[at:to]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            score += np.bincount(np.repeat(row[at:to], n) * m + owner[use], np.repeat(tf[at:to], n) * weight[use],
+                                 len(score))
+            at = to
+        score = score.reshape(len(part), m) / norm[low:low + _SLICE, None]
+        for i in range(len(part)):
+            for q, extra in boost.get(low + i, ()):
+                score[i, q] += extra
+        for q in range(m):
+            rows = np.flatnonzero(score[:, q] > 0)
+            if len(rows):
+                r, v = np.append(best[q][0], rows + low), np.append(best[q][1], score[rows, q])
+                top = np.lexsort((ord_[r], -np.round(v, 12)))[:k]
+                best[q] = r[top], v[top]
+    for q, (rows, values) in enumerate(best):
+        if len(rows):
+            yield q, rows, values
+
+
+def _boosted(entries: pd.DataFrame, texts: list[str]) -> dict[int, list[tuple[int, float]]]:
+    """Per entry row the queries that hold one of its phrases, with the boost."""
+    users: dict[str, list[tuple[int, float]]] = defaultdict(list)
+    for i, (title, tags) in enumerate(zip(entries["title"], entries["tags"])):
+        for tag in tags:
+            if tag is not None:
+                users[tag].append((i, TAG_BOOST))
+        if title:
+            users[title].append((i, TITLE_BOOST))
+    out: dict[int, list[tuple[int, float]]] = defaultdict(list)
+    for phrase, asking in _contained(list(users), texts):
+        for i, boost in users[phrase]:
+            out[i] += [(q, boost) for q in asking]
+    return out
+
+
+def _contained(known: list[str], texts: list[str]) -> Iterator[tuple[str, list[int]]]:
+    """Phrases and the texts that contain them."""
+    if len(known) * len(texts) <= _DIRECT:
+        for phrase in known:
+            yield phrase, [i for i, t in enumerate(texts) if phrase in t]
+        return
+    by_gram: dict[str, list[str]] = defaultdict(list)
+    for phrase in known:
+        by_gram[phrase[:GRAM]].append(phrase)
+    lengths = {len(g) for g in by_gram}
+    out: dict[str, list[int]] = defaultdict(list)
+    for i, t in enumerate(texts):
+        grams = {t[p:p + n] for n in lengths for p in range(len(t) - n + 1)} & by_gram.keys()
+        for g in grams:
+            for phrase in by_gram[g]:
+                if phrase in t:
+                    out[phrase].append(i)
+    yield from out.items()
+
+
+def hits(index: Index, queries: DataFrame, k: int, kind: str | None = None,
+         tables: Sequence[str] | None = None) -> DataFrame:
+    """``qid, ord, score``: the best ``k`` hits of every query and cell, with a score
+    above 0. ``queries`` has ``qid`` and ``query``; a query without tokens has none.
+    ``kind`` keeps entries of that kind, ``tables`` those that share a table or have
+    none."""
+    entries = index.entries
     if kind:
-        known = known.filter(F.col("kind") == kind)
+        entries = entries.filter(F.col("kind") == kind)
     if tables:
         wanted = F.array(*[F.lit(t) for t in tables])
-        known = known.filter((F.size("tables") == 0) | F.arrays_overlap("tables", wanted))
-    hits = both.join(known, "ord")
-    score = F.col("dot") / F.col("norm") + F.col("boost")
-    return hits.withColumn("score", score).filter("score > 0").select(
-        "qid", "ord", "id", "kind", "title", "score")
+        entries = entries.filter((F.size("tables") == 0) | F.arrays_overlap("tables", wanted))
+    chars = queries.agg(F.sum(F.length("query"))).first()[0] or 0
+    blocks, chunks = -(-chars // BLOCK_CHARS) or 1, -(-entries.count() // CHUNK_ENTRIES) or 1
+    zero = F.lit(0).cast("bigint")
+    left = entries.select(
+        F.explode(F.sequence(zero, F.lit(blocks - 1).cast("bigint"))).alias("block"),
+        F.pmod(F.xxhash64("ord"), F.lit(chunks).cast("bigint")).alias("chunk"), "ord", "norm", "toks", "counts",
+        F.lower(F.coalesce("title", F.lit(""))).alias("title"), F.transform("tags", F.lower).alias("tags"))
+    right = _asked(index, queries).select(
+        F.pmod(F.xxhash64("qid"), F.lit(blocks).cast("bigint")).alias("block"),
+        F.explode(F.sequence(zero, F.lit(chunks - 1).cast("bigint"))).alias("chunk"), "qid", "q", "toks", "ws")
+    qid, place = queries.schema["qid"].dataType, index.entries.schema["ord"].dataType
+    schema = f"qid {qid.simpleString()}, ord {place.simpleString()}, score double"
+
+    def run(e: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        found = list(_cell(k, e, q)) if len(e) and len(q) else []
+        if not found:
+            return pd.DataFrame({"qid": q["qid"][:0], "ord": e["ord"][:0], "score": np.zeros(0)})
+        return pd.DataFrame({
+            "qid": np.concatenate([np.repeat(q["qid"].to_numpy()[i], len(r)) for i, r, _ in found]),
+            "ord": np.concatenate([e["ord"].to_numpy()[r] for _, r, _ in found]),
+            "score": np.concatenate([v for *_, v in found])})
+    key = ["block", "chunk"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(run, schema)
 
 
 def clamp_k(k: int | None) -> int:
@@ -192,12 +269,13 @@ def clamp_k(k: int | None) -> int:
 def search(index: Index, queries: DataFrame, top_k: int = 3, kind: str | None = None,
            tables: Sequence[str] | None = None) -> DataFrame:
     """The ``top_k`` hits per query by score, equal scores in insertion order
-    (equal to 12 decimals: the order of a distributed sum is not fixed). The limit
-    per query is applied before the shuffle, so a query that matches every entry
-    sends ``top_k`` rows per task."""
+    (equal to 12 decimals: the order of a sum is not fixed). Cells hand on ``top_k``
+    rows per query, and the limit is applied again before the only shuffle of them."""
     order = Window.partitionBy("qid").orderBy(F.round("score", 12).desc(), F.asc("ord"))
-    ranked = scores(index, queries, kind, tables).withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= top_k)
+    best = hits(index, queries, top_k, kind, tables).withColumn("rank", F.row_number().over(order))
+    best = best.filter(F.col("rank") <= top_k)
+    return best.join(index.entries.select("ord", "id", "kind", "title"), "ord").select(
+        "qid", "ord", "id", "kind", "title", "score", "rank")
 
 
 def retrieve(index: Index, requests: DataFrame, default_k: int = 3) -> DataFrame:
@@ -209,8 +287,8 @@ def retrieve(index: Index, requests: DataFrame, default_k: int = 3) -> DataFrame
     asked = requests.select(
         "qid", "query", k.alias("_k"),
         F.when(strip(F.coalesce("query", F.lit(""))) == "", F.lit("empty_query")).alias("error"))
-    hits = search(index, asked.filter("error IS NULL").select("qid", "query"), 5)
-    joined = asked.join(hits.withColumnRenamed("qid", "_q"),
+    found = search(index, asked.filter("error IS NULL").select("qid", "query"), 5)
+    joined = asked.join(found.withColumnRenamed("qid", "_q"),
                         (F.col("qid") == F.col("_q")) & (F.col("rank") <= F.col("_k")), "left")
     return joined.select("qid", "error", "rank", "id", "kind", "title",
                          F.bround("score", 4).alias("score"))

@@ -70,7 +70,8 @@ def test_search_equals_brute_force(index, queries, k, kind, tables):
 
 def test_blocks_of_queries_give_the_same_hits(index, queries, monkeypatch):
     want = I.search(index, queries, 5).collect()
-    monkeypatch.setattr(I, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(I, "BLOCK_CHARS", 10)
+    monkeypatch.setattr(I, "CHUNK_ENTRIES", 2)
     assert sorted(map(tuple, I.search(index, queries, 5).collect())) == sorted(map(tuple, want))
 
 
@@ -89,3 +90,20 @@ def test_added_entries_change_the_index(spark, queries):
     both = I.extend_index(frame(spark, ENTRIES), frame(spark, more))
     got = I.search(I.build_index(both), queries.filter("qid = 2"), 5).orderBy("rank").collect()
     assert [(r.id, r.score) for r in got] == brute_force(ENTRIES + more, QUERIES[2], 5)
+
+
+def test_phrases_of_a_query(index, queries):
+    got = {(r.qid, r.phrase): (r.boost, r.owners) for r in I.boosts(index, queries).collect()}
+    assert got[0, "gmv 口径"] == (0.35, 1) and got[0, "gmv"] == (0.25, 2) and got[1, ""] == (0.25, 1)
+    assert not [k for k in got if k[0] in (5, 6)]  # no tokens, no phrases
+
+
+def test_phrase_search_is_linear_in_a_long_query(spark):
+    entries = [(f"e{n}", "metric", "word " * n + "end", "x", [], []) for n in range(200)]
+    query = "word " * 4000 + "end"
+    index = I.build_index(frame(spark, entries))
+    asked = spark.createDataFrame([(0, query)], "qid int, query string")
+    assert I.boosts(index, asked).count() == 200
+    known, texts = ["word " * n for n in range(1000)], [query] * 201  # above the direct comparison
+    assert {p: len(t) for p, t in I._contained(known, texts)} == {p: 201 for p in known}
+    assert [r.id for r in I.search(index, asked, 3).collect()]

@@ -43,8 +43,8 @@ def _shown(df: DataFrame) -> DataFrame:
 
 
 def boosts(spark: SparkSession, sf: str) -> DataFrame:
-    parts = I._boosts(_index(spark, sf), _queries(spark, sf))
-    return parts.groupBy("qid", "ord").agg(F.sum("boost").alias("boost"))
+    """The phrases in each query, their boost and how many entries get it."""
+    return I.boosts(_index(spark, sf), _queries(spark, sf))
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,7 +120,10 @@ SELECT ord, count(*) AS n_terms, CAST(sum(c) AS BIGINT) AS n_tokens, max(c) AS m
     "I2_idf": f"{_tfidf(_DOCS)} SELECT tok, df, idf FROM idf",
     "I3_cosine_norms": f"{_tfidf(_DOCS)} SELECT ord, coalesce(norm, 1) AS norm FROM e LEFT JOIN norm USING (ord)",
     "I3_search": _top(_DOCS, 3),
-    "I4_boosts": f"{_tfidf(_DOCS)} SELECT qid, ord, boost FROM boost WHERE boost > 0",
+    "I4_boosts": f"""{_tfidf(_DOCS)},
+phrase AS (SELECT lower(tag) AS phrase, 0.25::DOUBLE AS boost, count(*) AS owners FROM e GROUP BY 1
+  UNION ALL SELECT lower(title), 0.35::DOUBLE, count(*) FROM e WHERE title <> '' GROUP BY 1)
+SELECT qid, phrase, boost, owners FROM q, phrase WHERE contains(lower(query), phrase) AND qid IN (SELECT qid FROM qtf)""",
     "I5_filtered_search": _top(_DOCS, 3, "kind = 'metric' AND tbl IN ('src1', 'src2', 'src3')"),
     "I6_ranking": _top(_DOCS, 20),
     "I7_retrieve": f"""{_tfidf(_DOCS)},
