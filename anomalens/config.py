@@ -32,10 +32,9 @@ KNOWN_TOOLS = (CONTEXT_TOOL, SQL_TOOL, ANSWER_TOOL)
 OVER_BUDGET = "over_budget"
 ILLEGAL, EXECUTION, TIMEOUT = "illegal", "execution", "timeout"
 
+# Default limits, thresholds, boosts, budgets and weights.
 MAX_RESULT_ROWS = 50
-MAX_DISTINCT_SCAN = 100_000
 SAMPLE_VALUES = 5
-CSV_SAMPLE_ROWS = 20_000
 
 DUPLICATE_SIMILARITY = 0.95
 RECOVERY_SIMILARITY = 0.40

@@ -42,9 +42,21 @@ def numeric_close(a: Column, b: Column, rtol: float = NUMERIC_RTOL,
     return close_numbers(to_number(a), to_number(b), rtol, atol)
 
 
+def _strict_json(text: str) -> str | None:
+    """Strict JSON for JSON with repeated keys (the last one counts) or NaN and
+    infinities (a VARIANT holds them as text); None if it is no JSON at all."""
+    try:
+        return json.dumps(json.loads(text, parse_constant=str), ensure_ascii=False, allow_nan=False)
+    except (ValueError, RecursionError):
+        return None
+
+
 def _literal_json(text: str | None) -> str | None:
     if text is None:
         return None
+    found = _strict_json(text)
+    if found is not None:
+        return found
     try:
         return json.dumps(ast.literal_eval(text), ensure_ascii=False, default=list)
     except Exception:
@@ -53,14 +65,22 @@ def _literal_json(text: str | None) -> str | None:
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def _literals_to_json(values: pd.Series) -> pd.Series:
-    """Python-style literals to JSON text; NULL stays NULL, so does a failure."""
+    """Python-style literals and lenient JSON to JSON text; NULL stays NULL, so does a failure."""
     return pd.Series([None if rows is None else
                       [None if r is None else [_literal_json(v) for v in r] for r in rows]
                       for rows in values])
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _to_strict_json(values: pd.Series) -> pd.Series:
+    """Lenient JSON texts to strict ones; NULL stays NULL, so does a failure."""
+    return pd.Series([None if row is None else [None if v is None else _strict_json(v) for v in row]
+                      for row in values])
+
+
 # Marked so that no later filter is pushed below it and makes it run twice.
 literals_to_json = _literals_to_json.asNondeterministic()
+to_strict_json = _to_strict_json.asNondeterministic()
 
 
 def needs_literal(c: Column) -> Column:

@@ -2,8 +2,8 @@
 
 A turn never fails: what cannot be read becomes a flagged call or a warning.
 Everything is a per-row expression over the whole text; the only Python is the
-reading of Python-style list and map literals that are no JSON, and only those
-values are handed to it.
+reading of Python-style list and map literals and of JSON with repeated keys or NaN,
+and only those values are handed to it.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from anomalens.config import KNOWN_TOOLS
 from anomalens.functions.sqltext import collapse_spaces, literal, strip
-from anomalens.functions.values import coerce_with, literals_to_json, needs_literal, to_number
+from anomalens.functions.values import coerce_with, literals_to_json, needs_literal, to_number, to_strict_json
 
 # Marks and tags of the call formats.
 _MARKS = r"<\|(?:im_start|im_end|endoftext|eot_id|end_of_turn)\|>"
@@ -28,9 +28,6 @@ _ANY_TAG = r"(?U)</?(?:tool_call|function|parameter)\b[^>]*>"
 _BRACES = r"(?s)\{.*\}"
 
 
-_QUOTED_CHARS = 80
-
-
 def _null(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
@@ -99,8 +96,9 @@ def _member(obj: Column, names: Sequence[str]) -> Column:
     return F.coalesce(*found)
 
 
-def _json_call(blob: Column) -> Column:
-    obj = F.try_parse_json(blob)
+def _json_call(blob: Column, strict: Column) -> Column:
+    """``strict``: the same JSON without repeated keys and NaN, where it has any."""
+    obj = F.coalesce(F.try_parse_json(blob), F.try_parse_json(strict))
     name = F.coalesce(_member(obj, ("name", "tool", "function")).cast("string"), F.lit(""))
     args = _member(obj, ("arguments", "parameters", "args"))
     # Arguments may be JSON inside a text.
@@ -115,16 +113,22 @@ def _blob(block: Column) -> Column:
     return F.when(block.startswith("{"), block).otherwise(F.regexp_extract(block, _BRACES, 0))
 
 
-def _calls_of(block: Column) -> Column:
+def _calls_of(block: Column, strict: Column) -> Column:
     blob = _blob(block)
     return (F.when(block.rlike(_FUNCTION), _xml_calls(block))
-            .when(blob != "", F.array(_json_call(blob))))
+            .when(blob != "", F.array(_json_call(blob, strict))))
+
+
+def _lenient_blob(block: Column) -> Column:
+    """The JSON text of a block that is not strict JSON, else NULL."""
+    blob = _blob(block)
+    return F.when(~block.rlike(_FUNCTION) & (blob != "") & F.try_parse_json(blob).isNull(), blob)
 
 
 def _block_warning(block: Column) -> Column:
     return (F.when(block == "", F.lit("empty_block"))
             .when(~block.rlike(_FUNCTION) & (_blob(block) == ""),
-                  F.concat(F.lit("unparsable_block: "), F.substring(block, 1, _QUOTED_CHARS))))
+                  F.concat(F.lit("unparsable_block: "), block)))
 
 
 def _mention(plain: Column, known: Sequence[str]) -> Column:
@@ -147,9 +151,13 @@ def extract_calls(df: DataFrame, text: str = "text",
         .withColumn("thinking", thinking_of(F.col("_clean")))
         .withColumn("_body", without_thinking(F.col("_clean")))
         .withColumn("_blocks", call_blocks(body))
-        .withColumn("_found", F.flatten(F.filter(
-            F.transform(F.filter("_blocks", lambda b: b != ""), _calls_of),
-            lambda c: c.isNotNull())))
+        .withColumn("_strict", to_strict_json(F.when(
+            F.exists("_blocks", lambda b: _lenient_blob(b).isNotNull()), F.transform("_blocks", _lenient_blob))))
+        # Zipped outside the lambda: a Python result cannot be read inside one.
+        .withColumn("_found", F.flatten(F.filter(F.transform(
+            F.arrays_zip(F.col("_blocks").alias("b"), F.coalesce(
+                "_strict", F.array().cast("array<string>")).alias("s")),
+            lambda z: F.when(z["b"] != "", _calls_of(z["b"], z["s"]))), lambda c: c.isNotNull())))
         .withColumn("plain", plain_text(body))
         .withColumn("_loose", (F.size(found) == 0) & body.rlike(_FUNCTION_OPEN))
         .withColumn("_found", F.when(F.col("_loose"), F.array(_call(
@@ -162,7 +170,6 @@ def extract_calls(df: DataFrame, text: str = "text",
                      lambda v: needs_literal(v).isNotNull()),
             F.transform("_values", lambda vs: F.transform(vs, needs_literal)))))
     )
-    # Zipped outside the lambda: a Python result cannot be read inside one.
     literals = F.coalesce("_literals", F.array().cast("array<array<string>>"))
     calls = F.transform(
         F.arrays_zip(found.alias("c"), F.col("_values").alias("v"), literals.alias("l")),

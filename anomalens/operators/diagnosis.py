@@ -36,11 +36,11 @@ def _bounds(month: str) -> tuple[date, date]:
 
 
 def in_months(df: DataFrame, column: str, months: Sequence[str]) -> Column:
-    """Rows of the given months. A date column gets range predicates (adjacent
-    months merged), because a formatted date would not reach the scan."""
-    if not is_temporal(df, column):
-        return month_of(df, column).isin(*months)
+    """Rows of the given months, as range predicates (adjacent months merged), because
+    a formatted date or a substring would not reach the scan."""
     kind = df.schema[column].dataType
+    # ISO texts order like their dates, and so do prefixes of them.
+    text = not is_temporal(df, column)
     spans: list[list[date]] = []
     for low, high in sorted({_bounds(m) for m in months}):
         if spans and spans[-1][1] == low:
@@ -49,7 +49,8 @@ def in_months(df: DataFrame, column: str, months: Sequence[str]) -> Column:
             spans.append([low, high])
     out = F.lit(False)
     for low, high in spans:
-        rng = (F.col(column) >= F.lit(low).cast(kind)) & (F.col(column) < F.lit(high).cast(kind))
+        low, high = (F.lit(f"{d:%Y-%m}") if text else F.lit(d).cast(kind) for d in (low, high))
+        rng = (F.col(column) >= low) & (F.col(column) < high)
         out = rng if len(spans) == 1 else out | rng
     return out
 
@@ -255,19 +256,34 @@ def ground_truth(df: DataFrame, dimension: str, date_column: str, measure: Colum
     ``dimension`` and month that has a previous month, with the member's change,
     the change of the total and the member's contribution (rounded to 6).
 
-    ``within`` makes the totals those of another dimension's members.
+    ``within`` makes the totals those of another dimension's members. A member that
+    is missing in one of the two months counts as 0 there: one that vanished or is
+    new has a task like any other, and so has the NULL member. One scan: every monthly
+    sum serves as current value of its month and as base of the next.
     """
     keys = [within] if within else []
     monthly = df.groupBy(*keys, dimension, month_of(df, date_column).alias("month")).agg(
         F.sum(measure).alias("value"))
-    overall = monthly.groupBy(*keys, "month").agg(F.sum("value").alias("total"))
-    both = monthly.join(overall, [*keys, "month"])
     next_month = F.date_format(F.add_months(F.to_date("month", "yyyy-MM"), 1), "yyyy-MM")
-    earlier = both.select(*keys, dimension, next_month.alias("month"),
-                          F.col("value").alias("base_value"), F.col("total").alias("base_total"))
-    paired = both.join(earlier, [*keys, dimension, "month"])
-    member = F.col(dimension).cast("string")
-    scope = F.concat(F.col(within).cast("string"), F.lit("/")) if within else F.lit("")
+    nothing = F.lit(None).cast("double")
+    value = F.coalesce(F.col("value").cast("double"), F.lit(0.0))
+    roles = monthly.select(*keys, dimension, F.explode(F.array(
+        F.struct(F.col("month"), value.alias("value"), nothing.alias("base_value")),
+        F.struct(next_month.alias("month"), nothing.alias("value"), value.alias("base_value")))).alias("r"))
+    both = roles.groupBy(*keys, dimension, "r.month").agg(
+        F.sum("r.value").alias("value"), F.sum("r.base_value").alias("base_value"))
+    # Members of one month; they combine map-side.
+    overall = both.groupBy(*[F.col(k).alias("_k") for k in keys], F.col("month").alias("_m")).agg(
+        F.sum("value").alias("total"), F.sum("base_value").alias("base_total"))
+    same = F.col("month") == F.col("_m")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col("_k"))
+    paired = both.join(overall.filter("total IS NOT NULL AND base_total IS NOT NULL"), same)
+    paired = paired.fillna(0.0, ["value", "base_value"])
+    member = F.coalesce(F.col(dimension).cast("string"), F.lit("NULL"))
+    scope = F.concat(F.coalesce(F.col(within).cast("string"), F.lit("NULL")), F.lit("/")) if within else F.lit("")
+    fragment = F.when(F.col(dimension).isNull(), F.lit(f"{dimension} IS NULL")).otherwise(
+        F.concat(F.lit(f"{dimension}='"), member, F.lit("'")))
     numbers = F.create_map(
         F.lit("total_change"), F.round(change(F.col("base_total"), F.col("total")), 6),
         F.lit("member_change"), F.round(change(F.col("base_value"), F.col("value")), 6),
@@ -279,9 +295,9 @@ def ground_truth(df: DataFrame, dimension: str, date_column: str, measure: Colum
         F.concat(F.lit("Why did the measure move in "), F.col("month"), F.lit(" against the month "
                  "before, and how much of it is due to "), scope, member, F.lit("?")).alias("question"),
         F.struct(
-            member.alias("root_cause_dimension"),
+            F.col(dimension).cast("string").alias("root_cause_dimension"),
             numbers.alias("key_numbers"),
-            F.array(F.concat(F.lit(f"{dimension}='"), member, F.lit("'"))).alias("expected_sql_fragments"),
+            F.array(fragment).alias("expected_sql_fragments"),
         ).alias("reference"),
         F.to_variant_object(F.struct(
             F.col("base_value"), F.col("value").alias("current_value"),

@@ -1,4 +1,5 @@
-"""Column profiles, one aggregate pass per table."""
+"""Column profiles. Counts, NULLs and exact distinct values of all columns come from
+one pass over the table, sample values from another."""
 
 from __future__ import annotations
 
@@ -9,10 +10,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from anomalens.config import MAX_DISTINCT_SCAN, SAMPLE_VALUES
+from anomalens.config import SAMPLE_VALUES
 
 MERGE_TASKS = 16
-_NESTED = (T.ArrayType, T.MapType, T.StructType)
+_NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
+# Longer values travel as a digest.
+_LONG_VALUE = 64
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -51,17 +54,40 @@ def _null_ratio() -> Column:
     return F.coalesce(F.try_divide("nulls", "row_count"), F.lit(0.0))
 
 
-def distinct_counts(df: DataFrame, max_distinct_scan: int = MAX_DISTINCT_SCAN,
+def _value(column: str, kind: T.DataType) -> Column:
+    """A value as text, equal texts for equal values."""
+    c = F.col(f"`{column}`")
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        c = c + F.lit(0.0).cast(kind)  # one zero
+    text = F.hex(c) if isinstance(kind, T.BinaryType) else c.cast("string")
+    return F.when(F.length(text) > _LONG_VALUE, F.concat(F.lit("#"), F.sha2(text, 256))).otherwise(
+        F.concat(F.lit("="), text))
+
+
+def _counts(df: DataFrame) -> DataFrame:
+    """``ordinal, column_name, row_count, nulls, distinct_count`` of every column, from
+    one pass: cells are counted by (column, value), which combines map-side."""
+    flat = _flat(df)
+    cells = F.array(*[F.struct(F.lit(i).alias("ordinal"), _value(f.name, f.dataType).alias("value"))
+                      for i, f in enumerate(flat.schema.fields)])
+    values = flat.select(F.inline(cells)).groupBy("ordinal", "value").agg(F.count("*").alias("n"))
+    found = values.groupBy(F.col("ordinal").alias("_o")).agg(
+        F.sum("n").alias("row_count"), F.sum(F.when(F.col("value").isNull(), F.col("n"))).alias("nulls"),
+        F.count("value").alias("distinct_count"))
+    columns = df.sparkSession.createDataFrame(list(enumerate(df.columns)), "ordinal int, column_name string")
+    zero = F.lit(0).cast("bigint")
+    return columns.join(found, F.col("ordinal") == F.col("_o"), "left").select(
+        "ordinal", "column_name", *[F.coalesce(c, zero).alias(c) for c in ("row_count", "nulls", "distinct_count")])
+
+
+def distinct_counts(df: DataFrame, max_distinct_scan: int | None = None,
                     approximate_above: bool = False) -> DataFrame:
-    """Exact distinct values per column, NULLs left out; -1 on a table of more than
-    ``max_distinct_scan`` rows, or a sketch's estimate with ``approximate_above``."""
-    rows, flat = df.count(), _flat(df)
-    if rows <= max_distinct_scan:
-        aggs = [F.count_distinct(F.col(f"`{c}`")) for c in flat.columns]
-    elif approximate_above:
-        aggs = [F.approx_count_distinct(F.col(f"`{c}`")) for c in flat.columns]
-    else:
-        aggs = [F.lit(-1) for _ in flat.columns]
+    """Exact distinct values per column, NULLs left out. With ``max_distinct_scan`` a
+    table of more rows reports -1, or a sketch's estimate with ``approximate_above``."""
+    if max_distinct_scan is None or df.count() <= max_distinct_scan:
+        return _counts(df).select("column_name", "distinct_count")
+    flat = _flat(df)
+    aggs = [F.approx_count_distinct(F.col(f"`{c}`")) if approximate_above else F.lit(-1) for c in flat.columns]
     row = flat.agg(F.count("*").alias("row_count"),
                    *[a.alias(f"distinct_count_{i}") for i, a in enumerate(aggs)])
     return _long(row, df, {"distinct_count": "bigint"}).select("column_name", "distinct_count")
@@ -109,16 +135,15 @@ def samples(df: DataFrame, n: int = SAMPLE_VALUES) -> DataFrame:
 
 
 def profile(df: DataFrame, table_name: str, sample_n: int = SAMPLE_VALUES,
-            max_distinct_scan: int = MAX_DISTINCT_SCAN) -> DataFrame:
+            max_distinct_scan: int | None = None) -> DataFrame:
     """One row per column: type, row count, null ratio, distinct count, samples
-    (``sample_n`` 0 leaves the samples out)."""
-    rows, flat = df.count(), _flat(df)
-    exact = rows <= max_distinct_scan
-    row = flat.agg(
-        F.count("*").alias("row_count"), *_null_counts(flat),
-        *[(F.count_distinct(F.col(f"`{c}`")) if exact else F.lit(-1)).alias(f"distinct_count_{i}")
-          for i, c in enumerate(flat.columns)])
-    stats = _long(row, df, {"nulls": "bigint", "distinct_count": "bigint"})
+    (``sample_n`` 0 leaves the samples out, ``max_distinct_scan`` as in
+    ``distinct_counts``)."""
+    if max_distinct_scan is None:
+        stats = _counts(df)
+    else:
+        row = df.agg(F.count("*").alias("row_count"), *_null_counts(df))
+        stats = _long(row, df, {"nulls": "bigint"}).join(distinct_counts(df, max_distinct_scan), "column_name")
     types = F.create_map(*[x for c, t in df.dtypes for x in (F.lit(c), F.lit(t))])
     kept = ["sample_values"] if sample_n else []
     if sample_n:
@@ -131,7 +156,7 @@ def profile(df: DataFrame, table_name: str, sample_n: int = SAMPLE_VALUES,
 
 def profile_tables(tables: Mapping[str, DataFrame], only: Sequence[str] | None = None,
                    sample_n: int = SAMPLE_VALUES,
-                   max_distinct_scan: int = MAX_DISTINCT_SCAN) -> DataFrame:
+                   max_distinct_scan: int | None = None) -> DataFrame:
     names = [t for t in tables if not only or t in only]
     return reduce(DataFrame.unionByName,
                   [profile(tables[t], t, sample_n, max_distinct_scan) for t in names])

@@ -157,13 +157,13 @@ def kept_calls(calls: DataFrame, threshold: float = DUPLICATE_SIMILARITY,
 def _against(lists: DataFrame, done: DataFrame, threshold: float) -> DataFrame:
     """Mark the forms of the lists that are close to a form kept in a past round."""
     known = done.select(F.col(KEY).alias("_k"), "round", F.col("kept.form").alias("known"))
-    pairs = lists.select(KEY, F.col("f.form").alias("forms")).join(known, F.col(KEY) == F.col("_k"))
+    pairs = lists.select(KEY, F.col("f.form").alias("forms")).join(known, F.col(KEY).eqNullSafe(F.col("_k")))
     # One comparison of two blocks is the unit of work; spread them.
     near = pairs.repartition(KEY, "round").withColumn(
         "near", M.close_to_any(F.col("forms"), F.col("known"), F.lit(threshold)))
     hits = (near.select(F.col(KEY).alias("_h"), F.posexplode("near").alias("pos", "hit")).filter("hit")
             .groupBy("_h").agg(F.collect_set("pos").alias("hits")))
-    out = lists.join(hits, F.col(KEY) == F.col("_h"), "left")
+    out = lists.join(hits, F.col(KEY).eqNullSafe(F.col("_h")), "left")
     flags = F.transform("f", lambda _, i: F.coalesce(F.array_contains("hits", i), F.lit(False)))
     return out.withColumn("dropped", flags).drop("_h", "hits")
 
@@ -171,13 +171,22 @@ def _against(lists: DataFrame, done: DataFrame, threshold: float) -> DataFrame:
 def _undecided(rest: DataFrame, new: DataFrame) -> DataFrame:
     """Forms behind the decided block whose masked form was not just kept."""
     sizes = rest.groupBy(F.col(KEY)).agg(F.count("*").alias("n"))
-    upto = new.select(F.col(KEY).alias("_u"), "upto").join(sizes, F.col("_u") == F.col(KEY)).select(
+    upto = new.select(F.col(KEY).alias("_u"), "upto").join(sizes, F.col("_u").eqNullSafe(F.col(KEY))).select(
         KEY, "n", "upto")
     behind = (join_unique(rest, upto, KEY, "n").filter(F.col("first") > F.col("upto")).drop("upto")
               .withColumn("_salt", F.pmod(F.xxhash64("form"), F.lit(_SALTS)).cast("int")))
     masks = (new.select(F.col(KEY), F.explode("kept").alias("k")).select(KEY, F.col("k.masked").alias("masked"))
              .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))))
-    return behind.join(masks, [KEY, "masked", "_salt"], "left_anti").select(rest.columns)
+    return _join(behind, masks, ["masked", "_salt"], "left_anti").select(rest.columns)
+
+
+def _join(rows: DataFrame, table: DataFrame, also: list[str], how: str) -> DataFrame:
+    """Join on the session, NULL being one of its values, and other columns."""
+    table = table.withColumnsRenamed({KEY: "_session", **{c: f"_same_{c}" for c in also}})
+    same = F.col(KEY).eqNullSafe(F.col("_session"))
+    for c in also:
+        same = same & (F.col(c) == F.col(f"_same_{c}"))
+    return rows.join(table, same, how).drop("_session", *[f"_same_{c}" for c in also])
 
 
 def mark_duplicates(steps: DataFrame, threshold: float = DUPLICATE_SIMILARITY,
@@ -186,7 +195,7 @@ def mark_duplicates(steps: DataFrame, threshold: float = DUPLICATE_SIMILARITY,
     a duplicate. The join is on session and position, so a long session spreads."""
     calls = sql_calls(steps, chunk_rows)
     kept = kept_calls(_sql_steps(steps), threshold, block).withColumn("_kept", F.lit(True))
-    return (calls.join(kept, [KEY, POSITION], "left")
+    return (_join(calls, kept, [POSITION], "left")
             .withColumn("is_duplicate", F.col("_kept").isNull() & (S.normalize(F.col("sql")) != ""))
             .drop("_kept"))
 
@@ -199,7 +208,7 @@ def duplicate_counts(steps: DataFrame, threshold: float = DUPLICATE_SIMILARITY,
     seen = calls.groupBy(KEY).agg(
         F.count("*").alias("n_sql_calls"),
         F.count_if(S.normalize(F.col("sql")) != "").alias("n_forms"))
-    both = seen.join(kept, KEY, "left")
+    both = _join(seen, kept, [], "left")
     dups = F.col("n_forms") - F.coalesce("n_kept", F.lit(0))
     return both.select(KEY, "n_sql_calls", dups.alias("duplicate_sql_count"),
                        F.try_divide(dups, "n_sql_calls").alias("redundant_query_rate"))
@@ -230,7 +239,7 @@ def session_stats(steps: DataFrame, budget: Budget = Budget(),
     """The stats record of every session (rate to 4 decimals)."""
     dups = duplicate_counts(steps, threshold).drop("n_sql_calls")
     fixed = recovery_pairs(steps, min_similarity).groupBy(KEY).agg(F.count("*").alias("recovery_count"))
-    out = budget_flags(session_counts(steps), budget).join(dups, KEY, "left").join(fixed, KEY, "left")
+    out = _join(_join(budget_flags(session_counts(steps), budget), dups, [], "left"), fixed, [], "left")
     return out.withColumns({
         "duplicate_sql_count": F.coalesce("duplicate_sql_count", F.lit(0)),
         "recovery_count": F.coalesce("recovery_count", F.lit(0)),
@@ -246,7 +255,7 @@ def replay_budget(turns: DataFrame, budget: Budget = Budget(), chars: str = "cha
     accepted final answer. A call beyond its limit is blocked (and ends the run
     with ``force_finish``); the third turn without a call ends it; an answer ends
     it; too many characters end it after a carried-out call; else the turns run
-    out. Only the first ``max_turns`` turns can matter, so the ranking keeps that
+    out, or the log ends before that (``log_end``). Only the first ``max_turns`` turns can matter, so the ranking keeps that
     many rows per session before anything is shuffled.
     """
     order = Window.partitionBy(KEY).orderBy(POSITION)
@@ -278,4 +287,5 @@ def replay_budget(turns: DataFrame, budget: Budget = Budget(), chars: str = "cha
     return first.select(
         KEY, F.coalesce("stop.turn", "last.turn").alias("stop_turn"),
         F.coalesce("stop.turn_no", "last.turn_no").cast("bigint").alias("n_turns"),
-        F.coalesce("stop.reason", F.lit("max_turns")).alias("reason"))
+        F.coalesce("stop.reason", F.when(F.col("last.turn_no") >= budget.max_turns, "max_turns").otherwise(
+            "log_end")).alias("reason"))

@@ -27,11 +27,12 @@ def join_unique(rows: DataFrame, table: DataFrame, key: str, weight: str,
         F.col(key).alias("_hk"), F.col("_v").alias("_hv"))
     cold = packed.filter(F.col(weight) * HOT_SHARE <= total).select(
         F.col(key).alias("_ck"), F.lit(0).alias("_salt"), F.col("_v").alias("_cv"))
-    out = rows.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left")
-    salt = F.when(F.col("_hk").isNull(), F.lit(0)).otherwise(
+    # NULL is a key like any other; the values say whether a hot key was met.
+    out = rows.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hk")), "left")
+    salt = F.when(F.col("_hv").isNull(), F.lit(0)).otherwise(
         1 + F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).cast("int")
     out = out.withColumn("_s", salt).join(
-        cold, (F.col(key) == F.col("_ck")) & (F.col("_s") == F.col("_salt")), "left")
+        cold, F.col(key).eqNullSafe(F.col("_ck")) & (F.col("_s") == F.col("_salt")), "left")
     out = out.withColumn("_m", F.coalesce("_hv", "_cv"))
     if how == "inner":
         out = out.filter(F.col("_m").isNotNull())

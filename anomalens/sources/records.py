@@ -68,14 +68,19 @@ def append_jsonl(df: DataFrame, path: str) -> int:
 def read_context(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Context entries of a document ``{"entries": [...]}`` or a bare list, or with
     ``lines`` one entry per line; defaults filled in, a missing file has no
-    entries. ``ord`` grows in document order."""
-    entry = f"struct<{CONTEXT_ENTRY}>"
+    entries, an entry without an id fails the read. ``ord`` is the entry's own if it
+    was written with one; else it grows in document order, which is that of a single
+    document (files of lines are scanned in any order)."""
+    fields = ["id", "kind", "title", "text", "tags", "tables", "ord"]
+    entry = f"struct<{CONTEXT_ENTRY}, ord bigint>"
     # A bare list is read as one record per element, a document as one record.
-    raw = read_jsonl(spark, path, f"entries array<{entry}>, {CONTEXT_ENTRY}", multi_line=not lines)
-    single = F.array(F.struct("id", "kind", "title", "text", "tags", "tables")).cast(f"array<{entry}>")
+    raw = read_jsonl(spark, path, f"entries array<{entry}>, {CONTEXT_ENTRY}, ord bigint", multi_line=not lines)
+    single = F.when(F.coalesce(*[F.col(c).cast("string") for c in fields]).isNotNull(),
+                    F.array(F.struct(*fields)).cast(f"array<{entry}>"))
     rows = raw.select(F.explode(F.coalesce("entries", single)).alias("e")).select("e.*")
-    rows = rows.withColumn("ord", F.monotonically_increasing_id())
-    return context_defaults(rows.filter("id IS NOT NULL"))
+    rows = rows.withColumn("ord", F.coalesce("ord", F.monotonically_increasing_id()))
+    named = F.coalesce("id", F.raise_error(F.lit("context entry without an id")).cast("string"))
+    return context_defaults(rows.withColumn("id", named))
 
 
 def context_defaults(df: DataFrame) -> DataFrame:
@@ -90,19 +95,20 @@ def context_defaults(df: DataFrame) -> DataFrame:
 
 
 def write_context(df: DataFrame, path: str) -> int:
-    """Write entries one per line (``read_context(..., lines=True)`` reads them);
-    a single document would have to pass through one task."""
-    cols = [c for c in ("id", "kind", "title", "text", "tags", "tables") if c in df.columns]
+    """Write entries one per line (``read_context(..., lines=True)`` reads them), with
+    their place ``ord``; a single document would have to pass through one task."""
+    cols = [c for c in ("id", "kind", "title", "text", "tags", "tables", "ord") if c in df.columns]
     return write_jsonl(df.select(*cols), path)
 
 
 def read_trajectories(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Session records. ``task_id`` repeats across runs, so ``traj_id`` is a hash
-    of where the record came from and what it says."""
+    """Session records. ``task_id`` repeats across runs, and runs may even be equal, so
+    ``traj_id`` names the place of the record: its file, the part of the file and the
+    row in the scan. Scans with equal split settings give equal names."""
     df = read_jsonl(spark, path, TRAJECTORY, multi_line)
-    source = [F.col("_metadata.file_path")] if df.inputFiles() else []
-    key = F.sha2(F.concat_ws("\x1f", *source, "task_id", "question", F.to_json("steps"),
-                             F.to_json("messages"), F.col("created_at").cast("string")), 256)
+    source = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start").cast("string")] if df.inputFiles() else []
+    row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).cast("string")
+    key = F.sha2(F.concat_ws("\x1f", *source, row, "task_id", F.col("created_at").cast("string")), 256)
     return df.select(key.alias("traj_id"), "*")
 
 

@@ -3,36 +3,44 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F, types as T
 
-from anomalens.config import CSV_SAMPLE_ROWS
+# Quotes are doubled, blanks are data.
+_CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False,
+        "ignoreTrailingWhiteSpace": False}
 
 
 def csv_tables(spark: SparkSession, raw_dir: str) -> list[str]:
     """Names of the ``*.csv`` files or folders of a directory, in name order. The
-    listing comes from the file source's metadata; no file is opened."""
+    listing comes from the file source's metadata (which gives encoded paths); no
+    file is opened."""
     root = raw_dir.rstrip("/")
     try:
         files = spark.read.format("binaryFile").load(f"{root}/*.csv")
         names = files.select(
             F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)\.csv(?:/[^/]*)?$", 1).alias("n")
-        ).distinct().orderBy("n").collect()
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+        ).distinct().collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         names = []
     if not names:
         raise FileNotFoundError(f"no CSV files in {raw_dir}")
-    return [r.n for r in names]
+    return sorted(unquote(r.n) for r in names)
+
+
+def _reader(spark: SparkSession, multi_line: bool) -> DataFrameReader:
+    return spark.read.options(**_CSV).option("multiLine", multi_line)
 
 
 def csv_schema(spark: SparkSession, path: str, types: Mapping[str, str] | None = None,
-               sample_rows: int = CSV_SAMPLE_ROWS) -> T.StructType:
-    """Schema from the header and the first rows, whole numbers as BIGINT and
-    timestamps without zone; ``types`` (column to SQL type) wins over inference."""
-    head = spark.read.text(path).limit(sample_rows + 1)
-    inferred = spark.read.csv(head.rdd.map(lambda r: r.value), header=True, inferSchema=True).schema
+               multi_line: bool = True) -> T.StructType:
+    """Schema from the header and all rows, whole numbers as BIGINT and timestamps
+    without zone; ``types`` (column to SQL type) wins over inference."""
+    inferred = _reader(spark, multi_line).option("inferSchema", True).csv(path).schema
     widened = {T.IntegerType(): T.LongType(), T.TimestampType(): T.TimestampNTZType()}
     fields = []
     for f in inferred.fields:
@@ -46,17 +54,21 @@ def _sql_type(spark: SparkSession, name: str) -> T.DataType:
     return spark.sql(f"SELECT CAST(NULL AS {name}) AS c").schema["c"].dataType
 
 
-def read_csv(spark: SparkSession, path: str, types: Mapping[str, str] | None = None) -> DataFrame:
-    """One CSV table. The sampled schema is explicit at read time, so codes with
-    leading zeros keep an overriding STRING type, and a later row that does not
-    fit fails the read instead of becoming NULL."""
-    return (spark.read.schema(csv_schema(spark, path, types))
-            .option("header", True).option("mode", "FAILFAST").csv(path))
+def read_csv(spark: SparkSession, path: str, types: Mapping[str, str] | None = None,
+             multi_line: bool = True) -> DataFrame:
+    """One CSV table. The inferred schema is explicit at read time, so codes with
+    leading zeros keep an overriding STRING type, and a row that does not fit fails
+    the read instead of becoming NULL.
+
+    ``multi_line`` allows line breaks inside quotes; a file is then one task's work.
+    Without such breaks switch it off, and large files are split."""
+    schema = csv_schema(spark, path, types, multi_line)
+    return _reader(spark, multi_line).schema(schema).option("mode", "FAILFAST").csv(path)
 
 
 def load_csvs(spark: SparkSession, raw_dir: str, database: str, location: str | None = None,
-              overwrite: bool = True, types: Mapping[str, Mapping[str, str]] | None = None
-              ) -> list[str]:
+              overwrite: bool = True, types: Mapping[str, Mapping[str, str]] | None = None,
+              multi_line: bool = True) -> list[str]:
     """Materialise every CSV of a directory as a Parquet table of ``database``.
 
     ``overwrite`` drops the whole database first; without it only tables of the
@@ -68,13 +80,14 @@ def load_csvs(spark: SparkSession, raw_dir: str, database: str, location: str |
     at = f" LOCATION '{location}'" if location else ""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`{at}")
     for name in names:
-        df = read_csv(spark, f"{raw_dir.rstrip('/')}/{name}.csv", (types or {}).get(name))
+        df = read_csv(spark, f"{raw_dir.rstrip('/')}/{name}.csv", (types or {}).get(name), multi_line)
         df.write.mode("overwrite").format("parquet").saveAsTable(f"`{database}`.`{name}`")
     return names
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Values with quotes, separators or line breaks are quoted, quotes doubled."""
+    df.write.mode("overwrite").options(**_CSV).csv(path)
 
 
 def list_tables(spark: SparkSession, database: str) -> DataFrame:

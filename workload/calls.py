@@ -15,7 +15,7 @@ CASE (conv_id + turn) % 8
    || '<parameter=sql>first</parameter><parameter=sql> SELECT ' || turn || ' </parameter><parameter=purpose>'
    || role || '</parameter></function></tool_call><|im_end|>'
  WHEN 1 THEN text || '<tool_call>' || CASE WHEN conv_id % 2 = 0
-   THEN '{{"name": "retrieve_context", "arguments": {{"query": "' || role || '", "top_k": ' || turn || '}}}}'
+   THEN '{{"name": "old", "name": "retrieve_context", "arguments": {{"query": "' || role || '", "top_k": ' || turn || '}}}}'
    ELSE 'json {{"tool": "", "function": "retrieve_context", "args": "{{\\"query\\": \\"' || role || '\\", \\"top_k\\": ' || turn || '}}"}}'
    END || '</tool_call>'
  WHEN 2 THEN '<THINK a=1>deep</THINK> <tool_call> </tool_call><tool_call>' || role || '</tool_call>' || text

@@ -214,17 +214,20 @@ FROM orders ORDER BY orders.o_orderkey LIMIT 50""",
     "C18_limit": """
 SELECT o_custkey, sum(o_totalprice) AS revenue FROM orders GROUP BY 1
 ORDER BY revenue DESC, o_custkey LIMIT 10""",
-    "C19_ground_truth_tasks": f"""
+    "C19_ground_truth_tasks": """
 WITH v AS (SELECT o_orderstatus, o_orderpriority, date_trunc('month', o_orderdate) AS mt,
-             {_M} AS month, sum(o_totalprice) AS value FROM orders GROUP BY 1, 2, 3, 4),
-t AS (SELECT o_orderstatus, mt, sum(value) AS total FROM v GROUP BY 1, 2),
-b AS (SELECT v.*, t.total FROM v JOIN t USING (o_orderstatus, mt))
-SELECT 'o_orderpriority=' || c.o_orderstatus || '/' || c.o_orderpriority || '@' || c.month AS task_id,
-  c.o_orderpriority AS root_cause_dimension,
-  round((c.total - p.total) / p.total, 6) AS total_change,
-  round((c.value - p.value) / p.value, 6) AS member_change,
-  coalesce(round((c.value - p.value) / nullif(c.total - p.total, 0), 6), 0) AS contribution,
-  p.value AS base_value
-FROM b c JOIN b p ON c.o_orderstatus = p.o_orderstatus AND c.o_orderpriority = p.o_orderpriority
-  AND p.mt = c.mt - INTERVAL 1 MONTH""",
+             sum(o_totalprice) AS value FROM orders GROUP BY ALL),
+t AS (SELECT o_orderstatus, mt, sum(value) AS total FROM v GROUP BY ALL),
+p AS (SELECT c.*, b.total AS base_total FROM t c JOIN t b ON c.o_orderstatus = b.o_orderstatus AND b.mt = c.mt - INTERVAL 1 MONTH),
+m AS (SELECT DISTINCT o_orderstatus, o_orderpriority, mt FROM v
+      UNION SELECT o_orderstatus, o_orderpriority, CAST(mt + INTERVAL 1 MONTH AS DATE) FROM v),
+b AS (SELECT m.*, strftime(m.mt, '%Y-%m') AS month, p.total, p.base_total, coalesce(c.value, 0) AS value,
+        coalesce(a.value, 0) AS base_value
+  FROM m JOIN p ON m.o_orderstatus = p.o_orderstatus AND m.mt = p.mt
+  LEFT JOIN v c ON m.o_orderstatus = c.o_orderstatus AND m.o_orderpriority IS NOT DISTINCT FROM c.o_orderpriority AND c.mt = m.mt
+  LEFT JOIN v a ON m.o_orderstatus = a.o_orderstatus AND m.o_orderpriority IS NOT DISTINCT FROM a.o_orderpriority AND a.mt = m.mt - INTERVAL 1 MONTH)
+SELECT 'o_orderpriority=' || o_orderstatus || '/' || o_orderpriority || '@' || month AS task_id,
+  o_orderpriority AS root_cause_dimension, round((total - base_total) / base_total, 6) AS total_change,
+  coalesce(round((value - base_value) / nullif(base_value, 0), 6), 0) AS member_change,
+  coalesce(round((value - base_value) / nullif(total - base_total, 0), 6), 0) AS contribution, base_value FROM b""",
 }

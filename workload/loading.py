@@ -8,21 +8,23 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from anomalens.operators import profile as P
 from anomalens.plans.storage import scratch_path
 from anomalens.sources import records as R, tables as S
 from workload.tables import NAMES, heavy, table
 
-_STAR = ("customer", "nation", "orders", "part")
-_PROFILED = ("customer", "labels", "nation", "orders", "part", "region", "supplier")
+
+def _flat(df: DataFrame) -> DataFrame:
+    """A list has no place in a CSV cell; it becomes JSON."""
+    return df.withColumns({f.name: F.to_json(f.name) for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)})
 
 
 def _csv_dir(spark: SparkSession, sf: str) -> str:
     root = scratch_path(spark, "csv")
-    for name in _STAR:
-        S.write_csv(table(spark, sf, name), f"{root}/{name}.csv")
+    for name in NAMES:
+        S.write_csv(_flat(table(spark, sf, name)), f"{root}/{name}.csv")
     return root
 
 
@@ -63,11 +65,18 @@ def materialise(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def csv_sink(spark: SparkSession, sf: str) -> DataFrame:
-    path = scratch_path(spark, "orders.csv")
-    S.write_csv(table(spark, sf, "orders"), path)
-    return (spark.read.option("header", True).csv(path)
-            .groupBy("o_orderstatus").agg(F.count("*").alias("n"),
-                                          F.sum(F.col("o_totalprice").cast("double")).alias("total")))
+    """Texts with quotes, separators and line breaks, through CSV and back, value by
+    value."""
+    root = scratch_path(spark, "texts")
+    docs, talks = table(spark, sf, "documents"), table(spark, sf, "conversations")
+    S.write_csv(docs.select("doc_id", "text", "source"), f"{root}/my documents.csv")
+    S.write_csv(talks.select("conv_id", "turn", F.concat(F.lit('say "'), "text", F.lit('",\n ')).alias("text"), "role"),
+                f"{root}/talks.csv")
+    docs, talks = (S.read_csv(spark, f"{root}/{n}.csv") for n in S.csv_tables(spark, root))
+    return docs.select(F.lit("documents").alias("table_name"), F.col("doc_id").alias("id"), F.lit(0).cast("bigint").alias("turn"),
+                       F.md5("text").alias("digest"), F.col("source").alias("label")).unionByName(
+        talks.select(F.lit("conversations").alias("table_name"), F.col("conv_id").alias("id"), "turn",
+                     F.md5("text").alias("digest"), F.col("role").alias("label")))
 
 
 _EVENT = "event_id bigint, user_id bigint, event_type string, value double"
@@ -114,31 +123,55 @@ def context_scan(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "context")
     R.write_context(document_entries(spark, sf), path)
     e = R.read_context(spark, path, lines=True)
-    return e.select("id", "kind", "title", F.length("text").alias("chars"),
+    return e.select("id", "kind", "title", "ord", F.md5("text").alias("digest"),
                     F.array_join("tags", ",").alias("tags"), F.array_join("tables", ",").alias("tables"))
 
 
 def list_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """The loaded tables with their row counts."""
     name, _ = _loaded(spark, sf)
-    return S.list_tables(spark, name)
+    counts = _with_table({n: P.row_count(spark.table(f"{name}.{n}")) for n in NAMES})
+    return S.list_tables(spark, name).join(counts, "table_name")
 
 
 def _all(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     return {n: table(spark, sf, n) for n in NAMES}
 
 
+def _value_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Non-null values of every column."""
+    frames = []
+    for name, df in _all(spark, sf).items():
+        cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).isNotNull().alias("v")) for c in df.columns])
+        frames.append(df.select(F.lit(name).alias("table_name"), F.inline(cells)))
+    return _union(frames).groupBy("table_name", "column_name").agg(F.count_if("v").alias("n_values"))
+
+
 def column_types(spark: SparkSession, sf: str) -> DataFrame:
-    """Columns with the type family both engines share."""
+    """Columns with the type family both engines share, and how many values they hold."""
     listing = S.schema_listing(spark, _all(spark, sf))
     t = F.col("data_type")
-    return listing.select("table_name", "column_name", F.when(t.startswith("array"), "list")
-                          .when(t.isin("bigint", "int"), "integer").when(t == "double", "double")
-                          .when(t.startswith("timestamp"), "timestamp").otherwise("text").alias("family"))
+    family = (F.when(t.startswith("array"), "list").when(t.isin("bigint", "int"), "integer").when(t == "double", "double")
+              .when(t.startswith("timestamp"), "timestamp").otherwise("text"))
+    return listing.select("table_name", "column_name", family.alias("family")).join(
+        _value_counts(spark, sf), ["table_name", "column_name"])
+
+
+def schema_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """The listing next to the rows of each table."""
+    counts = _with_table({n: P.row_count(df) for n, df in _all(spark, sf).items()})
+    return S.schema_listing(spark, _all(spark, sf)).drop("data_type", "nullable").join(counts, "table_name")
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    """Samples as one text. Engines print floats of lists differently; those are counted."""
+    text = F.array_join("sample_values", "|")
+    return df.withColumn("sample_values", F.when(
+        F.col("column_name") == "embedding", F.size("sample_values").cast("string")).otherwise(text))
 
 
 def profiled(spark: SparkSession, sf: str) -> DataFrame:
-    """Profiles without samples; those hold texts that engines print differently."""
-    return P.profile_tables(_all(spark, sf), _PROFILED, sample_n=0)
+    return P.profile_tables(_all(spark, sf))
 
 
 def _with_table(frames: dict[str, DataFrame]) -> DataFrame:
@@ -162,27 +195,17 @@ QUERIES = {
     "A8_context_document": context_scan,
     "B1_list_tables": list_tables,
     "B2_column_types": column_types,
-    "B3_schema_listing": lambda s, d: S.schema_listing(s, _all(s, d)).drop("data_type", "nullable"),
+    "B3_schema_listing": schema_listing,
     "B4_row_count": lambda s, d: _with_table({n: P.row_count(df) for n, df in _all(s, d).items()}),
-    "B5_null_ratio": lambda s, d: _with_table(
-        {n: P.null_ratios(table(s, d, n)) for n in _PROFILED}),
-    "B6_distinct_count": lambda s, d: _with_table(
-        {n: P.distinct_counts(table(s, d, n), max_distinct_scan=10_000) for n in _PROFILED}),
-    "B7_sample_values": lambda s, d: _with_table(
-        {n: P.samples(table(s, d, n)) for n in ("customer", "lineitem")}).withColumn(
-            "sample_values", F.array_join("sample_values", "|")),
-    "B8_profile": lambda s, d: profiled(s, d).drop("data_type"),
-    "B9_summarize": lambda s, d: P.summarize(table(s, d, "lineitem"), accuracy=1_000_000).filter(
-        "column_name IN ('l_quantity', 'l_extendedprice', 'l_discount', 'l_returnflag')").drop(
-            "approx_unique"),
+    "B5_null_ratio": lambda s, d: _with_table({n: P.null_ratios(df) for n, df in _all(s, d).items()}),
+    "B6_distinct_count": lambda s, d: _with_table({n: P.distinct_counts(df) for n, df in _all(s, d).items()}),
+    "B7_sample_values": lambda s, d: _shown(_with_table({n: P.samples(df) for n, df in _all(s, d).items()})),
+    "B8_profile": lambda s, d: _shown(profiled(s, d).drop("data_type")),
+    "B9_summarize": lambda s, d: P.summarize(table(s, d, "lineitem"), accuracy=1_000_000).drop("approx_unique"),
     "B10_profile_entries": profile_entries,
 }
 
 
-def _stars(select: str) -> str:
-    return "\nUNION ALL\n".join(select.format(t=t) for t in _STAR)
-
-
 _COLUMNS = {
     "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
     "nation": "n_nationkey n_name n_regionkey",
@@ -193,34 +216,52 @@ _COLUMNS = {
     "labels": "doc_id quality toxic",
     "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice "
                 "l_discount l_tax l_returnflag l_linestatus l_shipdate",
+    "events": "event_id ts user_id event_type value props",
+    "documents": "doc_id text lang source n_chars",
+    "embeddings": "vec_id embedding label",
+    "pages": "page_id url html",
+    "benchmark": "item_id text",
+    "conversations": "conv_id turn role text",
 }
 
 
-def _per_column(select: str, names) -> str:
-    """One SELECT per table and column ({t}, {c}, {i})."""
+def _per_column(select: str, names=NAMES) -> str:
+    """One SELECT per table and column ({t}, {c}, {i}, {sample})."""
     return "\nUNION ALL\n".join(
-        select.format(t=t, c=c, i=i) for t in names for i, c in enumerate(_COLUMNS[t].split()))
+        select.format(t=t, c=c, i=i, sample=(_LISTED if c == "embedding" else _SAMPLE).format(t=t, c=c))
+        for t in names for i, c in enumerate(_COLUMNS[t].split()))
+
+
+_SAMPLE = ("(SELECT coalesce(string_agg(CAST(v AS VARCHAR), '|' ORDER BY v), '') FROM (SELECT DISTINCT {c} AS v FROM {t} "
+           "WHERE {c} IS NOT NULL ORDER BY 1 LIMIT 5))")
+_LISTED = "(SELECT CAST(least(5, count(DISTINCT {c})) AS VARCHAR) FROM {t})"
 
 
 _SUMMARY_SQL = "\nUNION ALL\n".join(
     f"SELECT '{t}' AS table_name, count(*) AS row_count, "
-    f"{' + '.join(f'count({c})' for c in _COLUMNS[t].split())} AS cell_count FROM {t}" for t in _STAR)
+    f"{' + '.join(f'count({c})' for c in _COLUMNS[t].split())} AS cell_count FROM {t}" for t in NAMES)
 
 _NULLS = "CASE WHEN count(*) = 0 THEN 0.0 ELSE count(*) FILTER ({c} IS NULL) / count(*) END"
 _EVENT_SQL = "SELECT event_id, user_id, event_type, value FROM events"
 _SCHEMA_SQL = ("FROM information_schema.columns WHERE table_name IN ("
                + ", ".join(f"'{n}'" for n in NAMES) + ")")
 
+_NO_NUMBER = ("l_returnflag", "l_linestatus", "l_shipdate")
 _SUMMARIZE_SQL = "\nUNION ALL\n".join(
     f"SELECT {i} AS ordinal, '{c}' AS column_name, CAST(min({c}) AS VARCHAR) AS min, "
     f"CAST(max({c}) AS VARCHAR) AS max, "
-    + (f"avg({c}) AS avg, stddev_samp({c}) AS std, quantile_disc({c}, 0.25) AS q25, "
-       f"quantile_disc({c}, 0.5) AS q50, quantile_disc({c}, 0.75) AS q75, " if i != 8 else
+    + (f"CAST(avg({c}) AS DOUBLE) AS avg, stddev_samp({c}) AS std, CAST(quantile_disc({c}, 0.25) AS DOUBLE) AS q25, "
+       f"CAST(quantile_disc({c}, 0.5) AS DOUBLE) AS q50, CAST(quantile_disc({c}, 0.75) AS DOUBLE) AS q75, "
+       if c not in _NO_NUMBER else
        "CAST(NULL AS DOUBLE) AS avg, CAST(NULL AS DOUBLE) AS std, CAST(NULL AS DOUBLE) AS q25, "
        "CAST(NULL AS DOUBLE) AS q50, CAST(NULL AS DOUBLE) AS q75, ")
     + f"count(*) AS row_count, 100.0 * count(*) FILTER ({c} IS NULL) / count(*) AS null_percentage "
       "FROM lineitem"
-    for i, c in ((4, "l_quantity"), (5, "l_extendedprice"), (6, "l_discount"), (8, "l_returnflag")))
+    for i, c in enumerate(_COLUMNS["lineitem"].split()))
+_VALUES_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, count({c}) AS n_values FROM {t}"
+    for t in NAMES for c in _COLUMNS[t].split())
+_ROWS_SQL = " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {n}" for n in NAMES)
 
 ORACLES = {
     "A1_csv_directory_scan": _SUMMARY_SQL,
@@ -228,7 +269,9 @@ ORACLES = {
 SELECT lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS code, c_custkey, c_acctbal FROM customer""",
     "A3_materialise_tables": _SUMMARY_SQL,
     "A4_csv_sink": """
-SELECT o_orderstatus, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY 1""",
+SELECT 'documents' AS table_name, doc_id AS id, 0::BIGINT AS turn, md5(text) AS digest, source AS label FROM documents
+UNION ALL SELECT 'conversations', conv_id, turn, md5('say "' || text || '",' || chr(10) || ' '), role
+FROM conversations""",
     "A5_jsonl_scan": _EVENT_SQL,
     "A6_jsonl_overwrite": f"""
 SELECT count(*) AS n, sum(value) AS total, CAST(count(*) AS INTEGER) AS written
@@ -240,35 +283,30 @@ SELECT event_type, count(*) AS n, sum(value) AS total,
   CAST((SELECT count(*) FROM c) AS INTEGER) AS appended FROM a GROUP BY 1""",
     "A8_context_document": """
 SELECT 'doc.' || doc_id AS id, CASE WHEN lang = 'en' THEN 'metric' ELSE 'table_note' END AS kind,
-  source AS title, CAST(length(text) AS INTEGER) AS chars, lang AS tags, source AS tables FROM documents""",
-    "B1_list_tables": "SELECT * FROM (VALUES ('customer'), ('nation'), ('orders'), ('part')) v(table_name)",
+  source AS title, doc_id AS ord, md5(text) AS digest, lang AS tags, source AS tables FROM documents""",
+    "B1_list_tables": _ROWS_SQL,
     "B2_column_types": f"""
 SELECT table_name, column_name, CASE WHEN data_type LIKE '%[]' THEN 'list'
   WHEN data_type IN ('BIGINT', 'INTEGER') THEN 'integer' WHEN data_type = 'DOUBLE' THEN 'double'
-  WHEN data_type LIKE 'TIMESTAMP%' THEN 'timestamp' ELSE 'text' END AS family
-{_SCHEMA_SQL}""",
+  WHEN data_type LIKE 'TIMESTAMP%' THEN 'timestamp' ELSE 'text' END AS family, n_values
+FROM (SELECT * {_SCHEMA_SQL}) JOIN ({_VALUES_SQL}) USING (table_name, column_name)""",
     "B3_schema_listing": f"""
-SELECT table_name, CAST(ordinal_position - 1 AS INTEGER) AS ordinal, column_name
-{_SCHEMA_SQL}""",
+SELECT table_name, CAST(ordinal_position - 1 AS INTEGER) AS ordinal, column_name, row_count
+FROM (SELECT * {_SCHEMA_SQL}) JOIN ({_ROWS_SQL}) USING (table_name)""",
     "B4_row_count": "\nUNION ALL\n".join(
         f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {n}" for n in NAMES),
     "B5_null_ratio": _per_column(
-        f"SELECT '{{t}}' AS table_name, '{{c}}' AS column_name, {_NULLS} AS null_ratio FROM {{t}}", _PROFILED),
+        f"SELECT '{{t}}' AS table_name, '{{c}}' AS column_name, {_NULLS} AS null_ratio FROM {{t}}"),
     "B6_distinct_count": _per_column(
-        "SELECT '{t}' AS table_name, '{c}' AS column_name, "
-        "CASE WHEN count(*) > 10000 THEN -1 ELSE count(DISTINCT {c}) END AS distinct_count FROM {t}",
-        _PROFILED),
+        "SELECT '{t}' AS table_name, '{c}' AS column_name, count(DISTINCT {c}) AS distinct_count FROM {t}"),
     "B7_sample_values": _per_column(
-        "SELECT '{t}' AS table_name, '{c}' AS column_name, (SELECT string_agg(CAST(v AS VARCHAR), '|' "
-        "ORDER BY v) FROM (SELECT DISTINCT {c} AS v FROM {t} WHERE {c} IS NOT NULL ORDER BY 1 LIMIT 5)) "
-        "AS sample_values", ("customer", "lineitem")),
+        "SELECT '{t}' AS table_name, '{c}' AS column_name, {sample} AS sample_values"),
     "B8_profile": _per_column(
         f"SELECT '{{t}}' AS table_name, {{i}} AS ordinal, '{{c}}' AS column_name, count(*) AS row_count, "
-        f"{_NULLS} AS null_ratio, CASE WHEN count(*) > 100000 THEN -1 ELSE count(DISTINCT {{c}}) END "
-        "AS distinct_count FROM {t}", _PROFILED),
+        f"{_NULLS} AS null_ratio, count(DISTINCT {{c}}) AS distinct_count, {{sample}} AS sample_values FROM {{t}}"),
     "B9_summarize": _SUMMARIZE_SQL,
     "B10_profile_entries": "\nUNION ALL\n".join(
         f"SELECT 'profile.{t}' AS id, 'table_note' AS kind, 'Columns of table {t}' AS title, "
         f"CAST(count(*) AS VARCHAR) AS rows, '{t},{','.join(_COLUMNS[t].split())}' AS tags, "
-        f"'{t}' AS tables FROM {t}" for t in _PROFILED),
+        f"'{t}' AS tables FROM {t}" for t in NAMES),
 }

@@ -56,12 +56,16 @@ def _with(column):
     return lambda s, d: query_log(s, d).select("turn", column(F.col("sql")).alias("out"))
 
 
+# Appended to a form; it shares no character run with one that could match twice.
+_SUFFIX = "repeat('~', CAST(turn % 100 AS INT))"
+
+
 def similarity(spark: SparkSession, sf: str) -> DataFrame:
-    """Every call against its session's first call (whole log, one pair per call)."""
+    """Every call against itself with up to 99 characters behind it. For forms under
+    200 characters the ratio is then 2a / (2a + b), all values between 0 and 1."""
     log = query_log(spark, sf)
-    first = log.groupBy("traj_id").agg(F.min_by("sql", "turn").alias("first_sql"))
-    sim = M.sql_similarity(F.col("sql"), F.col("first_sql"))
-    return log.join(first, "traj_id").select("turn", sim.alias("similarity"))
+    longer = F.concat(S.normalize(F.col("sql")), F.expr(_SUFFIX))
+    return log.select("turn", M.sql_similarity(F.col("sql"), longer).alias("similarity"))
 
 
 def match(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,6 +99,7 @@ def coerced(spark: SparkSession, sf: str) -> DataFrame:
            .when(i % 7 == 3, F.col("props"))
            .when(i % 7 == 4, F.concat(F.lit("[{'k': "), i.cast("string"), F.lit(", 'ok': True}]")))
            .when(i % 7 == 5, F.concat(i.cast("string"), F.lit(".25")))
+           .when(i % 14 == 6, F.lit('[1, NaN, {"a": 1, "a": 2}]'))
            .otherwise(F.concat(F.lit("[broken "), F.col("event_type"))))
     return e.select("event_id", F.to_json(V.coerce_value(raw)).alias("json"))
 
@@ -168,6 +173,9 @@ SELECT count(*) AS total, count(*) FILTER (ok) AS ok, count(*) FILTER (error_typ
   count(*) FILTER (error_type = 'timeout') AS timeout,
   count(*) FILTER (error_type = 'execution') AS execution_error FROM {LOG}""",
     "D8_normal_form": f"SELECT turn, form, masked_form FROM {FORMS}",
+    "D9_sql_similarity": f"""
+SELECT turn, CASE WHEN turn % 100 = 0 AND form = '' THEN 1.0 WHEN form = '' THEN 0.0
+  ELSE 2.0 * length(form) / (2.0 * length(form) + turn % 100) END AS similarity FROM {FORMS}""",
     "D10_text_match": """
 SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS score FROM documents""",
     "D11_numeric_close": """
@@ -183,5 +191,6 @@ FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*|\d+') AS
 SELECT event_id, CASE event_id % 7 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN 'true'
   WHEN 2 THEN 'null' WHEN 3 THEN '{"k":' || regexp_extract(props, '([0-9]+)', 1) || '}'
   WHEN 4 THEN '[{"k":' || event_id || ',"ok":true}]' WHEN 5 THEN event_id || '.25'
-  ELSE '"[broken ' || event_type || '"' END AS json FROM events""",
+  ELSE CASE WHEN event_id % 14 = 6 THEN '[1,"NaN",{"a":2}]' ELSE '"[broken ' || event_type || '"' END END AS json
+FROM events""",
 }

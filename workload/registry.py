@@ -22,7 +22,6 @@ _DIGITS, _MONEY_DIGITS = 8, 4
 # The double columns of each query that has SQL to compare with.
 FLOATS: dict[str, tuple[str, ...]] = {
     "A2_csv_type_override": ("c_acctbal",),
-    "A4_csv_sink": ("total",),
     "A5_jsonl_scan": ("value",),
     "A6_jsonl_overwrite": ("total",),
     "A7_jsonl_append": ("total",),
@@ -47,6 +46,7 @@ FLOATS: dict[str, tuple[str, ...]] = {
     "C17_capped_result": ("o_totalprice",),
     "C18_limit": ("revenue",),
     "C19_ground_truth_tasks": ("total_change", "member_change", "contribution", "base_value"),
+    "D9_sql_similarity": ("similarity",),
     "D10_text_match": ("score",),
     "F8_redundant_rate": ("redundant_query_rate",),
     "F9_recovery_pairs": ("similarity",),

@@ -251,13 +251,19 @@ ORACLES = {
 SELECT CAST(o_orderkey AS VARCHAR) AS task_id, {_REASON} AS terminated_reason, n_turns, n_sql_calls,
   duplicate_sql_count, CAST(o_custkey % 10 AS DOUBLE) AS a FROM orders JOIN ({_STATS}) s ON s.o = o_orderkey""",
     "A10_task_scan": """
-WITH v AS (SELECT o_orderpriority, date_trunc('month', o_orderdate) AS mt, strftime(o_orderdate, '%Y-%m') AS month,
-             sum(o_totalprice) AS value FROM orders GROUP BY 1, 2, 3),
-t AS (SELECT mt, sum(value) AS total FROM v GROUP BY 1),
-b AS (SELECT v.*, t.total FROM v JOIN t USING (mt))
-SELECT 'o_orderpriority=' || c.o_orderpriority || '@' || c.month AS task_id,
-  coalesce(round((c.value - p.value) / nullif(c.total - p.total, 0), 6), 0) AS contribution
-FROM b c JOIN b p ON c.o_orderpriority = p.o_orderpriority AND p.mt = c.mt - INTERVAL 1 MONTH""",
+WITH v AS (SELECT o_orderpriority, date_trunc('month', o_orderdate) AS mt,
+             sum(o_totalprice) AS value FROM orders GROUP BY ALL),
+t AS (SELECT mt, sum(value) AS total FROM v GROUP BY ALL),
+p AS (SELECT c.*, b.total AS base_total FROM t c JOIN t b ON b.mt = c.mt - INTERVAL 1 MONTH),
+m AS (SELECT DISTINCT o_orderpriority, mt FROM v
+      UNION SELECT o_orderpriority, CAST(mt + INTERVAL 1 MONTH AS DATE) FROM v),
+b AS (SELECT m.*, strftime(m.mt, '%Y-%m') AS month, p.total, p.base_total, coalesce(c.value, 0) AS value,
+        coalesce(a.value, 0) AS base_value
+  FROM m JOIN p ON m.mt = p.mt
+  LEFT JOIN v c ON m.o_orderpriority IS NOT DISTINCT FROM c.o_orderpriority AND c.mt = m.mt
+  LEFT JOIN v a ON m.o_orderpriority IS NOT DISTINCT FROM a.o_orderpriority AND a.mt = m.mt - INTERVAL 1 MONTH)
+SELECT 'o_orderpriority=' || o_orderpriority || '@' || month AS task_id,
+  coalesce(round((value - base_value) / nullif(total - base_total, 0), 6), 0) AS contribution FROM b""",
     "A11_reward_sink": f"""
 SELECT task_id, round(total, 6) AS total, task_success, (SELECT count(*) FROM orders) AS written FROM {_S}""",
     "F14_record_stats": f"SELECT CAST(o AS VARCHAR) AS task_id, * EXCLUDE (o) FROM ({_STATS})",

@@ -114,7 +114,7 @@ j AS (SELECT *, CASE WHEN tool_name IS NULL THEN CASE WHEN idle >= {BUDGET.turns
     WHEN chars > {BUDGET.max_chars} THEN 'budget_chars' END AS reason
   FROM r WHERE turn_no <= {BUDGET.max_turns}),
 s AS (SELECT traj_id, coalesce(min(turn_no) FILTER (reason IS NOT NULL), max(turn_no)) AS n_turns FROM j GROUP BY 1)
-SELECT j.traj_id, j.turn AS stop_turn, s.n_turns, coalesce(j.reason, 'max_turns') AS reason
+SELECT j.traj_id, j.turn AS stop_turn, s.n_turns, coalesce(j.reason, CASE WHEN s.n_turns = {BUDGET.max_turns} THEN 'max_turns' ELSE 'log_end' END) AS reason
 FROM j JOIN s ON j.traj_id = s.traj_id AND j.turn_no = s.n_turns""",
     "F14_session_stats": f"""
 SELECT c.*, {_FLAGS.replace('n_', 'c.n_')} AS over_budget,
