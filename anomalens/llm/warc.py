@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from anomalens.llm.common import text_of
 
 _FILE_BYTES = 32 << 20
+BROADCAST_ROWS = 1_000_000
 _END = "\r\n\r\n"
 # Fixed by the format: version line, field names and the revisit profile.
 _VERSION = "WARC/1.1"
@@ -47,20 +48,23 @@ def _record_name(id: Column) -> Column:
 
 def write_archive(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", payload: str = "html",
                   least: int = 0) -> None:
-    """Write ``path/payloads`` (sha256, bytes, payload) and ``path/headers``."""
+    """Write ``path/headers`` and ``path/payloads`` (sha256, bytes, payload).
+
+    Headers need digests only. Payloads then stay where they are read: the rows that
+    repeat one are known, and up to ``BROADCAST_ROWS`` of them are sent to all tasks;
+    beyond that payloads meet by digest. The row numbers behind this need a table that
+    is scanned alike twice, as files are; a store without exactly one payload for each
+    digest is refused."""
     body = text_of(payload).cast("binary")
     rows = pages.select(F.col(id).alias("id"), F.coalesce(F.col(url), F.lit("")).alias("url"), body.alias("payload"),
                         F.sha2(body, 256).alias("sha256"), F.sha1(body).alias("sha1"),
                         F.octet_length(body).cast("bigint").alias("bytes"),
                         F.monotonically_increasing_id().alias("rid"))
-    # A digest's bytes pass the shuffle once per task that has them.
-    store = rows.groupBy("sha256").agg(F.first("payload").alias("payload"), F.first("bytes").alias("bytes"))
-    store.write.mode("overwrite").parquet(f"{path}/payloads")
     narrow = rows.drop("payload")
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("rid"))
     first = narrow.groupBy("sha256").agg(F.min(order).alias("first"))
     kind = F.when((F.col("bytes") < least) | (F.col("rid") == F.col("first.rid")), "response").otherwise("revisit")
-    rows = narrow.join(first, "sha256").withColumn("kind", kind)
+    heads = narrow.join(first, "sha256").withColumn("kind", kind)
     revisit = F.col("kind") == "revisit"
     head = F.concat(
         F.lit(f"{_VERSION}\r\nWARC-Type: "), F.col("kind"),
@@ -71,8 +75,20 @@ def write_archive(pages: DataFrame, path: str, id: str = "page_id", url: str = "
                                  _record_name(F.col("first.id")))).otherwise(F.lit("")),
         F.lit("\r\nContent-Type: text/html\r\nX-Payload-Length: "), F.col("bytes").cast("string"),
         F.lit("\r\nContent-Length: "), F.when(revisit, F.lit("0")).otherwise(F.col("bytes").cast("string")))
-    rows.select("id", "kind", "sha256", "sha1", "bytes", head.alias("header")).write.mode("overwrite").parquet(
-        f"{path}/headers")
+    heads.select("id", "rid", "kind", "sha256", "sha1", "bytes", (F.col("rid") == F.col("first.rid")).alias("first"),
+                 head.alias("header")).write.mode("overwrite").parquet(f"{path}/headers")
+    spark = pages.sparkSession
+    heads = spark.read.parquet(f"{path}/headers")
+    again = heads.filter("NOT first").select("rid")
+    if again.count() <= BROADCAST_ROWS:
+        store = rows.join(F.broadcast(again), "rid", "left_anti").select("sha256", "payload", "bytes")
+    else:
+        store = rows.groupBy("sha256").agg(F.first("payload").alias("payload"), F.first("bytes").alias("bytes"))
+    store.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/payloads")
+    kept = spark.read.parquet(f"{path}/payloads").select("sha256")
+    one = kept.groupBy("sha256").count().filter("count > 1").isEmpty()
+    if not one or kept.count() != heads.filter("first").count():
+        raise ValueError("the table was not scanned alike twice; write it to files first")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -87,8 +103,9 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_warc(spark: SparkSession, archive: str, path: str) -> None:
-    """Write the archive's records as WARC files (gzip). Only responses fetch their
-    payload; a file holds about 32 MB of records, dealt out by digest, id and header."""
+    """Write the archive's records as WARC files (gzip) of about 32 MB of records each.
+    Only responses fetch their payload; the join deals them out by digest, and every
+    task writes what it has joined."""
     heads = spark.read.parquet(f"{archive}/headers")
     store = spark.read.parquet(f"{archive}/payloads").select("sha256", "payload")
     answer = heads.filter("kind = 'response'").join(store, "sha256").select(
@@ -96,9 +113,9 @@ def write_warc(spark: SparkSession, archive: str, path: str) -> None:
     again = heads.filter("kind = 'revisit'").select("header", F.lit("").alias("body"))
     size = heads.agg(F.sum(F.when(F.col("kind") == "response", F.col("bytes")).otherwise(0)
                            + F.octet_length("header"))).first()[0] or 0
-    files = max(1, -(-size // _FILE_BYTES))
+    each = max(1, int(_FILE_BYTES * heads.count() // max(size, 1)))
     records = answer.unionByName(again).select(F.concat("header", F.lit(_END), "body").alias("value"))
-    (records.repartition(files, F.xxhash64("value")).write.mode("overwrite")
+    (records.write.mode("overwrite").option("maxRecordsPerFile", each)
      .option("lineSep", _END).option("compression", "gzip").text(path))
 
 
