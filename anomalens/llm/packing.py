@@ -4,7 +4,8 @@ A task tokenises its documents and packs them as they come: a fixed number of op
 bins, their free space kept as the bits of one integer, a piece goes where least
 space is left over, and when no bin has room the fullest open one closes first.
 Closed sequences are final. The pieces that remain in open bins, a bounded number
-per task, are packed again in larger groups, so small splits cost no space.
+per task, are packed again in groups of about ``AGAIN_ROWS``, longest first and with
+as many bins as they need, so small splits cost no space.
 
 Defined cases: a null text counts as empty; a document longer than a sequence is cut
 into full pieces, the first piece taking the remainder; a key may repeat or be null,
@@ -197,7 +198,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
     def repack(table: pa.Table) -> pa.Table:
         group = table["g"][0].as_py()
         order = np.lexsort((table["offset"].to_numpy(), table["sequence_id"].to_numpy(), -table["length"].to_numpy()))
-        bins, place = Bins(size, open_bins), {}
+        bins, place = Bins(size, table.num_rows), {}
         for i in order:
             place[i] = bins.place(int(table["length"][int(i)].as_py()))
         put = [place[i] for i in range(table.num_rows)]

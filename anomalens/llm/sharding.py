@@ -37,8 +37,6 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
 
 def shard_of(key: Column, shards: int) -> Column:
     """The shard of a key column of any hashable type."""
-    if shards < 1:
-        raise ValueError("there must be at least one shard")
 
     @F.pandas_udf("int")
     def place(hashes: pd.Series) -> pd.Series:
@@ -51,6 +49,8 @@ def assign_shards(df: DataFrame, key: str = "doc_id", shards: int = 16, chunk_ro
     (gapless from 0 within the shard). Slots follow a hash of the whole row, in
     chunks of about ``chunk_rows``; the row that is hashed decides, so reruns agree
     up to rows equal in every column."""
+    if shards < 1:
+        raise ValueError("there must be at least one shard")
     chunks = max(1, -(-df.count() // (shards * chunk_rows)))
     rows = packed(df, shard=shard_of(F.col(key), shards), grown=shard_of(F.col(key), shards + 1),
                   h=F.xxhash64(F.to_json(F.struct(*df.columns))))
