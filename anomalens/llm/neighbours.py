@@ -15,7 +15,8 @@ On clustered and on random unit vectors of 64 components the standard setting
 
 Defined cases: null or zero vectors and those with null or non-finite components take
 no part; vectors of different lengths never meet; equal scores are ordered by the
-smaller id; an empty table gives an empty result.
+smaller id; rows that agree in id and vector count once, and no row finds another one
+of its own id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -150,12 +151,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id
     rows = vectors.select(F.col(id).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("vec"),
                           is_query.alias("ask")).filter(sound(F.col("vec")) & F.col("id").isNotNull())
     rows = rows.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0).cast("float")))
+    rows = rows.groupBy("id", "vec").agg(F.max("ask").alias("ask"))
     first = Window.partitionBy("vec").orderBy("id")
     few = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1)
     asked = rows.groupBy("vec").agg(F.max("ask").alias("ask"))
     entries = few.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).join(asked, "vec")
     entries = cut_lineage(entries.select(F.monotonically_increasing_id().alias("vid"), "vec", "ids", "ask"))
-    # A length normalises the hashed side only; scores are of the original vectors.
     queries = entries.filter("ask")
     n = queries.count()
     found = cut_lineage(_search(queries, entries, k + 1, tables, probes, seed, n))
