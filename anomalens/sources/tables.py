@@ -33,7 +33,8 @@ def csv_tables(spark: SparkSession, raw_dir: str) -> list[str]:
 
 
 def _reader(spark: SparkSession, multi_line: bool) -> DataFrameReader:
-    return spark.read.options(**_CSV).option("multiLine", multi_line)
+    # An empty cell is NULL, a quoted empty one is an empty text.
+    return spark.read.options(**_CSV).option("nullValue", "\u0000").option("multiLine", multi_line)
 
 
 def csv_schema(spark: SparkSession, path: str, types: Mapping[str, str] | None = None,

@@ -14,34 +14,34 @@ def test_month_bucket_of_dates_and_texts(sales):
     for df in (sales, sales.withColumn("order_date", F.col("order_date").cast("string"))):
         got = D.period_trend(df, "region", "order_date", gmv(), ["2026-02", "2026-03"]).collect()
         assert [tuple(r) for r in got] == [
-            ("华东", "2026-02", 300.0), ("华东", "2026-03", 268.0), ("华北", "2026-03", 150.0)]
+            ("north", "2026-02", 400.0), ("north", "2026-03", 360.0), ("south", "2026-03", 200.0)]
 
 def test_month_filter_is_a_range_over_the_year_end(sales):
     text = str(D.in_months(sales, "order_date", ["2026-12", "2027-01"]))
     assert "2026-12-01" in text and "2027-02-01" in text and "date_format" not in text
 
 def test_drill_down_and_scalars(sales):
-    got = D.drill_down(sales, "category", gmv(), {"region": "华东"}, "order_date", "2026-03").collect()
-    assert [tuple(r) for r in got] == [("家电", 198.0), ("手机", 70.0)]
-    where = {"region": "华东"}
-    assert D.scalar_sum(sales, F.col("gmv"), where, "order_date", "2026-02").first().value == 300.0
-    assert D.scalar_sum(sales, F.col("gmv"), {"region": "华南"}, "order_date", "2026-02").first().value is None
-    other = D.exclusion_breakdown(sales, "category", "手机", gmv(), where, "order_date", "2026-03").collect()
-    assert [tuple(r) for r in other] == [("家电", 198.0)]
+    got = D.drill_down(sales, "category", gmv(), {"region": "north"}, "order_date", "2026-03").collect()
+    assert [tuple(r) for r in got] == [("rice", 270.0), ("tea", 90.0)]
+    where = {"region": "north"}
+    assert D.scalar_sum(sales, F.col("gmv"), where, "order_date", "2026-02").first().value == 400.0
+    assert D.scalar_sum(sales, F.col("gmv"), {"region": "west"}, "order_date", "2026-02").first().value is None
+    other = D.exclusion_breakdown(sales, "category", "tea", gmv(), where, "order_date", "2026-03").collect()
+    assert [tuple(r) for r in other] == [("rice", 270.0)]
 
 def test_slice_metrics(sales):
-    m = D.slice_metrics(sales, "order_date", F.col("gmv"), "2026-02", "2026-03", {"region": "华东"}, {"category": "手机"}).first()
-    assert tuple(m) == pytest.approx((-0.106667, -0.30, 0.9375), abs=1e-6)
-    none = D.slice_metrics(sales, "order_date", F.col("gmv"), "2026-02", "2026-03", {"region": "华南"}, {"category": "手机"}).first()
+    m = D.slice_metrics(sales, "order_date", F.col("gmv"), "2026-02", "2026-03", {"region": "north"}, {"category": "tea"}).first()
+    assert tuple(m) == pytest.approx((-0.10, -0.25, 0.75), abs=1e-6)
+    none = D.slice_metrics(sales, "order_date", F.col("gmv"), "2026-02", "2026-03", {"region": "west"}, {"category": "tea"}).first()
     assert tuple(none) == (None, None, None)
 
 def test_attribution(sales):
     rows = {(r.dimension, r.member): r for r in D.attribution(
         sales, ["region", "category"], "order_date", F.col("gmv"), "2026-02", "2026-03").collect()}
-    # 300 -> 418 in total; a member without a base has change 0
-    assert rows["region", "华北"].contribution == pytest.approx(150 / 118) and rows["region", "华北"].change == 0.0
-    assert rows["region", "华东"].contribution == pytest.approx(-32 / 118) and rows["region", "华东"].rank == 2
-    assert rows["category", "手机"].rank == 1
+    # 400 -> 560 in total; a member without a base has change 0
+    assert rows["region", "south"].contribution == pytest.approx(200 / 160) and rows["region", "south"].change == 0.0
+    assert rows["region", "north"].contribution == pytest.approx(-40 / 160) and rows["region", "north"].rank == 2
+    assert rows["category", "tea"].rank == 1
 
 def test_no_change_means_no_contribution(spark):
     df = spark.createDataFrame([("a", "2026-01-01", 5.0), ("a", "2026-02-01", 5.0)], "d string, t string, v double")
@@ -65,16 +65,33 @@ def test_join_unique_with_a_hot_key(spark):
     assert sorted(map(tuple, got.select("k", "id", "s").collect())) == sorted(map(tuple, want.select("k", "id", "s").collect()))
 
 def test_by_attribute_sums_before_the_join(sales, spark):
-    dim = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "order_id int, brand string")
+    dim = spark.createDataFrame([(11, "x"), (12, "x"), (13, "y")], "order_id int, brand string")
     got = D.by_attribute(sales, dim, "order_id", "brand", gmv())
-    assert [tuple(r) for r in got.collect()] == [("x", 300.0), ("y", 70.0)]
+    assert [tuple(r) for r in got.collect()] == [("x", 400.0), ("y", 90.0)]
     left = D.by_attribute(sales, dim, "order_id", "brand", gmv(), how="left").collect()
-    assert (None, 348.0) in [tuple(r) for r in left]
+    assert (None, 470.0) in [tuple(r) for r in left]
 
 def test_ground_truth(sales):
-    t = D.ground_truth(sales.filter("region = '华东'"), "category", "order_date", F.col("gmv"), within="region").collect()
+    t = D.ground_truth(sales.filter("region = 'north'"), "category", "order_date", F.col("gmv"), within="region").collect()
     numbers = {r.task_id: r.reference.key_numbers for r in t}
-    assert numbers["category=华东/手机@2026-03"] == {"total_change": -0.106667, "member_change": -0.3, "contribution": 0.9375}
+    assert numbers["category=north/tea@2026-03"] == {"total_change": -0.1, "member_change": -0.25, "contribution": 0.75}
+
+def test_ground_truth_keeps_vanished_new_and_null_members(spark):
+    rows = [("gone", "2026-01-05", 60.0), ("stays", "2026-01-06", 40.0), (None, "2026-01-07", 100.0),
+            ("stays", "2026-02-06", 50.0), (None, "2026-02-08", 90.0), ("new", "2026-02-09", 10.0),
+            ("late", "2026-05-01", 1.0)]
+    df = spark.createDataFrame(rows, "who string, day string, v double")
+    t = {r.task_id: r.reference for r in D.ground_truth(df, "who", "day", F.col("v")).drop("meta").collect()}
+    assert set(t) == {f"who={m}@2026-02" for m in ("gone", "stays", "NULL", "new")}  # May has no month before
+    assert t["who=gone@2026-02"].key_numbers == {"total_change": -0.25, "member_change": -1.0, "contribution": 1.2}
+    assert t["who=new@2026-02"].key_numbers == {"total_change": -0.25, "member_change": 0.0, "contribution": -0.2}
+    assert t["who=NULL@2026-02"].expected_sql_fragments == ["who IS NULL"]
+
+def test_month_filter_on_texts_is_a_range(sales):
+    df = sales.withColumn("order_date", F.col("order_date").cast("string"))
+    text = str(D.in_months(df, "order_date", ["2026-12", "2027-01"]))
+    assert "2026-12" in text and "2027-02" in text and "substring" not in text
+    assert df.filter(D.in_month(df, "order_date", "2026-02")).count() == 2
 
 def test_capped_result(sales):
     r = capped(sales, 3).first()

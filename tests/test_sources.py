@@ -1,3 +1,4 @@
+import csv
 import json
 
 import pytest
@@ -106,3 +107,65 @@ def test_profile_entries(spark):
     df = spark.createDataFrame([(1, "a")], "n int, s string")
     e = P.profile_entries(P.profile(df, "t")).first()
     assert (e.id, e.text, e.tags) == ("profile.t", "1 rows. Columns: n (int), s (string)", ["t", "n", "s"])
+
+
+def test_csv_as_others_write_it(spark, tmp_path):
+    write(tmp_path, "my table.csv", 'id,text\n1,"say ""hi"", ok"\n2,"two\nlines"\n3,""\n4,\n5, kept \n')
+    assert S.csv_tables(spark, str(tmp_path)) == ["my table"]
+    got = [tuple(r) for r in S.read_csv(spark, f"{tmp_path}/my table.csv").orderBy("id").collect()]
+    assert got == [(1, 'say "hi", ok'), (2, "two\nlines"), (3, ""), (4, None), (5, " kept ")]
+
+
+def test_csv_round_trip_and_other_readers(spark, tmp_path):
+    rows = [(1, 'a "b", c\\'), (2, "x\ny"), (3, "x\r\ny"), (4, ""), (5, None), (6, "  "), (7, "\\"), (8, 'q"')]
+    S.write_csv(spark.createDataFrame(rows, "id long, text string").coalesce(1), f"{tmp_path}/t.csv")
+    assert [tuple(r) for r in S.read_csv(spark, f"{tmp_path}/t.csv").orderBy("id").collect()] == rows
+    part = next((tmp_path / "t.csv").glob("part-*"))
+    with part.open(newline="", encoding="utf-8") as f:
+        assert [(int(i), t) for i, t in list(csv.reader(f))[1:]] == [(i, t or "") for i, t in rows]
+
+
+def test_csv_types_come_from_all_rows(spark, tmp_path):
+    write(tmp_path, "n.csv", "v\n" + "1\n" * 25_000 + "2.5\n")
+    df = S.read_csv(spark, f"{tmp_path}/n.csv")
+    assert S.column_types(df) == {"v": "double"} and df.agg({"v": "max"}).first()[0] == 2.5
+
+
+def test_context_order_and_missing_ids(spark, tmp_path):
+    df = spark.range(500).selectExpr("concat('e', id) AS id", "'metric' AS kind", "'' AS title", "repeat('x', cast(id % 50 as int)) AS text",
+                                     "array('t') AS tags", "array('s') AS tables", "id * 3 AS ord").repartition(6)
+    R.write_context(df, f"{tmp_path}/c")
+    back = R.read_context(spark, f"{tmp_path}/c", lines=True)
+    assert [(r.id, r.ord) for r in back.orderBy("ord").collect()] == [(f"e{i}", 3 * i) for i in range(500)]
+    write(tmp_path, "bad.json", json.dumps([{"id": "a"}, {"title": "no id"}]))
+    with pytest.raises(Exception, match="without an id"):
+        R.read_context(spark, f"{tmp_path}/bad.json").collect()
+
+
+def test_equal_records_are_different_sessions(spark, tmp_path):
+    rec = {"task_id": "t", "question": "q", "steps": [{"turn": 0}]}
+    write(tmp_path, "a.jsonl", "\n".join(json.dumps(r) for r in (rec, rec, {**rec, "error": "x"})))
+    write(tmp_path, "b.jsonl", json.dumps(rec))
+    df = R.read_trajectories(spark, f"{tmp_path}/*.jsonl")
+    assert df.select("traj_id").distinct().count() == 4
+    assert sorted(r[0] for r in df.select("traj_id").collect()) == sorted(r[0] for r in df.select("traj_id", "steps").collect())
+
+
+def test_counts_are_exact_at_any_size(spark):
+    df = spark.range(150_000).selectExpr("id", "id % 7 AS few", "repeat(cast(id % 3 as string), 100) AS long",
+                                         "if(id % 2 = 0, -0.0D, 0.0D) AS zero", "nullif(id % 4, 0) AS some")
+    got = {r.column_name: (r.row_count, r.null_ratio, r.distinct_count) for r in P.profile(df, "t", sample_n=0).collect()}
+    assert got == {"id": (150_000, 0.0, 150_000), "few": (150_000, 0.0, 7), "long": (150_000, 0.0, 3), "zero": (150_000, 0.0, 1),
+                   "some": (150_000, 0.25, 3)}
+
+
+def test_variants_are_profiled_as_json(spark):
+    df = spark.createDataFrame([('{"a": 1}',), ("[2]",), ("[2]",), (None,)], "j string").selectExpr("parse_json(j) AS v")
+    r = P.profile(df, "t").first()
+    assert (r.distinct_count, r.null_ratio, r.sample_values) == (2, 0.25, ["[2]", '{"a":1}'])
+
+
+def test_approximate_uniques_are_near(spark):
+    df = spark.range(20_000).selectExpr("id", "id % 900 AS some")
+    got = {r.column_name: r.approx_unique for r in P.summarize(df).collect()}
+    assert abs(got["id"] - 20_000) < 2400 and abs(got["some"] - 900) < 110
