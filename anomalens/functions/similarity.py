@@ -15,20 +15,24 @@ from pyspark.sql import Column, functions as F, types as T
 
 from anomalens.functions.sqltext import normalize, strip
 
-_CACHED = 50_000
+_CACHED_CHARS = 20_000_000
 
 
 class _Compare:
     """Comparison of two texts inside a task. Argument order matters. Query
-    templates repeat a lot, so a bounded number of answers is kept."""
+    templates repeat a lot, so the answers to a bounded number of characters are
+    kept."""
 
     def __init__(self) -> None:
         self._answers: dict[tuple, float | bool] = {}
+        self._chars = 0
 
     def _cached(self, key: tuple, compute) -> float | bool:
         if key not in self._answers:
-            if len(self._answers) >= _CACHED:
+            self._chars += len(key[0]) + len(key[1])
+            if self._chars > _CACHED_CHARS:
                 self._answers.clear()
+                self._chars = len(key[0]) + len(key[1])
             self._answers[key] = compute()
         return self._answers[key]
 
@@ -101,18 +105,72 @@ def text_match(pred: Column, gold: Column) -> Column:
     return _decide(_clean(pred), _clean(gold), contains_match(pred, gold))
 
 
+class _Near:
+    """Texts that may reach a ratio with another one, without comparing all.
+
+    A ratio of t leaves at most ``(1 - t) * (la + lb)`` characters of both texts
+    unmatched. A text is cut into one segment more than that, so one segment stands
+    unchanged in any text that is close enough, shifted by no more than that. Segments
+    are looked up at those places; nothing that could reach the ratio is missed.
+    """
+
+    _FEW = 24
+
+    def __init__(self, threshold: float) -> None:
+        self._t = threshold
+        self._texts: list[str] = []
+        self._lengths: dict[int, tuple[int, list[int], list[dict[str, list[int]]]]] = {}
+
+    def _unmatched(self, a: int, b: int) -> int:
+        return int((1.0 - self._t) * (a + b) + 1e-6)
+
+    def add(self, text: str) -> None:
+        n = len(text)
+        if n not in self._lengths:
+            longest = int(n * (2.0 - self._t) / self._t) + 1
+            parts = min(n, self._unmatched(longest, n) + 1)
+            cuts = [n * i // parts for i in range(parts + 1)]
+            self._lengths[n] = parts, cuts, [{} for _ in range(parts)]
+        _, cuts, segments = self._lengths[n]
+        for i, found in enumerate(segments):
+            found.setdefault(text[cuts[i]:cuts[i + 1]], []).append(len(self._texts))
+        self._texts.append(text)
+
+    def candidates(self, text: str):
+        if len(self._texts) <= self._FEW:
+            yield from self._texts
+            return
+        n, tried = len(text), set()
+        for m, (parts, cuts, segments) in self._lengths.items():
+            if 2.0 * min(m, n) < self._t * (m + n):
+                continue
+            shift = self._unmatched(m, n)
+            # Too short to be cut that often: every text of that length.
+            whole = parts <= shift
+            for i, found in enumerate(segments):
+                low, size = cuts[i], cuts[i + 1] - cuts[i]
+                hits = found.values() if whole else (
+                    found[s] for p in range(max(0, low - shift), min(n - size, low + shift) + 1)
+                    if (s := text[p:p + size]) in found)
+                for some in hits:
+                    for k in some:
+                        if k not in tried:
+                            tried.add(k)
+                            yield self._texts[k]
+
+
 def _walk(compare: _Compare, texts, masks, dropped, threshold: float) -> list[bool]:
     """Which forms of an ordered list are kept when a form that is empty, known to
     be dropped, close to an earlier kept one, or equal to one under the number
     mask is dropped."""
-    kept: list[str] = []
+    kept = _Near(threshold)
     seen: set[str] = set()
     flags = []
     for text, mask, gone in zip(texts, masks, dropped):
         new = (text != "" and not gone and mask not in seen
-               and not any(compare.at_least(text, k, threshold) for k in kept))
+               and not any(compare.at_least(text, k, threshold) for k in kept.candidates(text)))
         if new:
-            kept.append(text)
+            kept.add(text)
             seen.add(mask)
         flags.append(new)
     return flags
@@ -128,9 +186,13 @@ def _kept_forms(forms: pd.Series, masked: pd.Series, dropped: pd.Series,
 @F.pandas_udf(T.ArrayType(T.BooleanType()))
 def _close_to_any(forms: pd.Series, kept: pd.Series, threshold: pd.Series) -> pd.Series:
     """For each form of the first list: is it close to any form of the second?"""
-    compare = _Compare()
-    return pd.Series([[any(compare.at_least(f, k, t) for k in known) for f in some]
-                      for some, known, t in zip(forms, kept, threshold)])
+    compare, out = _Compare(), []
+    for some, known, t in zip(forms, kept, threshold):
+        near = _Near(t)
+        for k in known:
+            near.add(k)
+        out.append([any(compare.at_least(f, k, t) for k in near.candidates(f)) for f in some])
+    return pd.Series(out)
 
 
 _SESSION = T.StructType([

@@ -49,6 +49,9 @@ def numbered(df: DataFrame, group: Sequence[str], chunk: Column, order: Sequence
     says that it is the same everywhere, which spares the counting."""
     keys = [*group, "_chunk"]
     df = df.withColumn("_chunk", chunk)
+    if chunks:
+        # Rows that come dealt out by the group alone would stay so.
+        df = df.repartition(*keys)
     inside = Window.partitionBy(*keys).orderBy(*order)
     ranked = df.withColumn(out, F.row_number().over(inside).cast("bigint") - 1)
     if not chunks:

@@ -37,7 +37,8 @@ def group_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
         F.col(key).alias("k"), text_digest(text).alias("sha"), F.monotonically_increasing_id().alias("rid")))
     single, double = _split(rows)
     best = double.groupBy("sha").agg(F.max(F.struct("k", "rid")).alias("best"), F.count("*").alias("n"))
-    double = double.join(best, "sha")
+    # Written, so that the join gets an exchange on either side and a large group can be split.
+    double = double.join(cut_lineage(best), "sha")
     one = single.select(F.col("k").alias(key), F.col("k").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"),
                         F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     more = double.select(F.col("k").alias(key), F.col("best.k").alias("keep_id"), F.col("n").alias("group_size"),

@@ -22,7 +22,8 @@ from anomalens.plans.skew import join_unique
 from anomalens.plans.storage import cut_lineage
 
 KEY, POSITION = "traj_id", "turn"
-BLOCK_FORMS = 1024
+# Forms that one task walks; segments keep that close to linear.
+BLOCK_FORMS = 20_000
 _SALTS = 16
 
 
@@ -237,8 +238,10 @@ def session_stats(steps: DataFrame, budget: Budget = Budget(),
                   threshold: float = DUPLICATE_SIMILARITY,
                   min_similarity: float = RECOVERY_SIMILARITY) -> DataFrame:
     """The stats record of every session (rate to 4 decimals)."""
-    dups = duplicate_counts(steps, threshold).drop("n_sql_calls")
-    fixed = recovery_pairs(steps, min_similarity).groupBy(KEY).agg(F.count("*").alias("recovery_count"))
+    # The SQL calls are needed three times: they are written, the log is read twice.
+    calls = cut_lineage(_sql_steps(steps).select(KEY, POSITION, "tool_name", "sql", "ok", "error", "error_type"))
+    dups = duplicate_counts(calls, threshold).drop("n_sql_calls")
+    fixed = recovery_pairs(calls, min_similarity).groupBy(KEY).agg(F.count("*").alias("recovery_count"))
     out = _join(_join(budget_flags(session_counts(steps), budget), dups, [], "left"), fixed, [], "left")
     return out.withColumns({
         "duplicate_sql_count": F.coalesce("duplicate_sql_count", F.lit(0)),
