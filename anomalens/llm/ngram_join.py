@@ -11,7 +11,9 @@ vertical partitioning.
    that link share an n-gram of both prefixes.
 3. Prefixes propose pairs. Two rounds test each document with the document it shares
    most of its prefix with; documents found linked are one component, and only pairs
-   across components are tested after that. All of those are: nothing is capped.
+   across components are tested after that. All of those are: nothing is capped. An
+   overlap cannot exceed the n-grams that either set has in common with any other one,
+   so a pair is left out if even that many would not reach the similarity.
 4. A pair is tested fragment by fragment: partial overlaps are counted separately and
    summed per pair.
 
@@ -205,7 +207,7 @@ def _sets(rows: DataFrame, sized: DataFrame, width: int) -> DataFrame:
 def _labels(sets: DataFrame, percent: int) -> DataFrame:
     """(sid, label) of the sets that link with another one."""
     ordered = _ordered(sets, percent)
-    posts = ordered.select("sid", "n", F.explode("prefix").alias("g"))
+    posts = ordered.select("sid", "n", "s", F.explode("prefix").alias("g"))
     shared = posts.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g")
     posts = cut_lineage(posts.join(shared, "g"))
     labels = None
@@ -213,22 +215,31 @@ def _labels(sets: DataFrame, percent: int) -> DataFrame:
     tested = None
     for turn in range(ROUNDS + 1):
         now = _relabel(posts, labels)
-        mixed = now.groupBy("g").agg(F.min("label").alias("a"), F.max("label").alias("b"),
-                                     F.min(F.struct("label", "sid", "n")).alias("first"),
-                                     F.max(F.struct("label", "sid", "n")).alias("last")).filter("a <> b")
-        now = now.join(mixed.select("g", "first", "last"), "g")
+        mixed = now.groupBy("g").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min("n").alias("least"),
+                                     F.min(F.struct("label", "sid", "n", "s")).alias("first"),
+                                     F.max(F.struct("label", "sid", "n", "s")).alias("last")).filter("a <> b")
+        # Whoever cannot reach even the smallest set under an n-gram has no partner there.
+        now = now.join(mixed.select("g", "least", "first", "last"), "g").filter(_reach("n", "s", "least", "s", percent))
         if turn < ROUNDS:
             # The leader of an n-gram stands in another component than the document.
             lead = F.when(F.col("first.label") < F.col("label"), F.col("first")).otherwise(F.col("last"))
             now = now.withColumn("lead", lead).filter("lead.label <> label")
-            pairs = now.groupBy("sid", "n", F.col("lead.sid").alias("other"), F.col("lead.n").alias("m")).agg(
-                F.count("*").alias("c")).filter(_lengths("n", "m", percent))
+            pairs = now.groupBy("sid", "n", "s", F.col("lead.sid").alias("other"), F.col("lead.n").alias("m"),
+                                F.col("lead.s").alias("z")).agg(F.count("*").alias("c")).filter(
+                _lengths("n", "m", percent) & _reach("n", "s", "m", "z", percent))
             best = Window.partitionBy("sid").orderBy(F.desc("c"), "other")
             pairs = pairs.withColumn("r", F.row_number().over(best)).filter("r = 1")
         else:
-            other = now.select("g", F.col("sid").alias("other"), F.col("n").alias("m"), F.col("label").alias("ol"))
-            pairs = now.join(other, "g").filter((F.col("label") != F.col("ol")) & (F.col("sid") < F.col("other"))
-                                                & _lengths("n", "m", percent))
+            # Of two components under an n-gram one at least is not its largest; the largest never meets itself.
+            sizes = now.groupBy("g", "label").agg(F.count("*").alias("c")).groupBy("g").agg(
+                F.max(F.struct("c", "label")).alias("top")).select("g", F.col("top.label").alias("top"))
+            now = cut_lineage(now.select("g", "sid", "n", "s", "label").join(sizes, "g"))
+            other = now.select("g", F.col("sid").alias("other"), F.col("n").alias("m"), F.col("s").alias("z"),
+                               F.col("label").alias("ol"))
+            once = (F.col("ol") == F.col("top")) | (F.col("sid") < F.col("other"))
+            pairs = now.filter("label <> top").join(other, "g").filter(
+                (F.col("label") != F.col("ol")) & once & _lengths("n", "m", percent)
+                & _reach("n", "s", "m", "z", percent))
         a, b = F.least("sid", "other"), F.greatest("sid", "other")
         pairs = pairs.select(a.alias("a"), b.alias("b")).distinct()
         if tested is not None:
@@ -249,6 +260,12 @@ def _lengths(n: str, m: str, percent: int):
     return (100 * F.least(n, m) >= percent * F.greatest(n, m))
 
 
+def _reach(n: str, s: str, m: str, z: str, percent: int):
+    """Whether sets of sizes n and m could link, if s and z of their n-grams occur elsewhere."""
+    most = F.least(s, z)
+    return 100 * most >= percent * (F.col(n) + F.col(m) - most)
+
+
 def _relabel(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return posts.withColumn("label", F.col("sid"))
@@ -256,8 +273,8 @@ def _relabel(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _ordered(sets: DataFrame, percent: int) -> DataFrame:
-    """(sid, n, prefix, grams): n-grams that occur in two sets at least, in the global
-    order, and the part of the prefix among them. Sets without one cannot link and
+    """(sid, n, s, prefix, grams): the ``s`` n-grams that occur in two sets at least, in the
+    global order, and the part of the prefix among them. Sets without one cannot link and
     are left out. Written."""
     total = sets.agg(F.sum("n")).first()[0] or 0
     fragments = max(1, -(-total // FRAGMENT_NGRAMS))
@@ -329,22 +346,22 @@ def _ordered(sets: DataFrame, percent: int) -> DataFrame:
         order = np.lexsort((gram, place, doc))
         doc, gram = doc[order], gram[order]
         ends = np.searchsorted(doc, np.arange(len(names) + 1))
-        out = {"sid": [], "n": [], "prefix": [], "grams": []}
+        out = {"sid": [], "n": [], "s": [], "prefix": [], "grams": []}
         for (sid, i), n in zip(names.items(), sizes):
             own = gram[ends[i]:ends[i + 1]]
             # N-grams of one set only come first in the order and take their places.
             long = n - -(-n * percent // 100) + 1 - (n - len(own))
             if long > 0:
-                for c, v in zip(out, (sid, n, own[:long].view(np.int64), _blob(np.sort(own)))):
+                for c, v in zip(out, (sid, n, len(own), own[:long].view(np.int64), _blob(np.sort(own)))):
                     out[c].append(v)
         return pa.table({"sid": pa.array(out["sid"], pa.string()), "n": pa.array(out["n"], pa.int64()),
-                         "prefix": pa.array(out["prefix"], pa.list_(pa.int64())),
+                         "s": pa.array(out["s"], pa.int64()), "prefix": pa.array(out["prefix"], pa.list_(pa.int64())),
                          "grams": pa.array(out["grams"], pa.binary())})
 
     tagged = sets.select("sid", "n", "grams", F.pmod(F.xxhash64("sid"), F.lit(groups)).cast("int").alias("g"))
     parts = tagged.mapInArrow(cut, schema).groupBy("f").applyInArrow(rank, schema)
     return cut_lineage(parts.groupBy("g").applyInArrow(
-        gather, "sid string, n bigint, prefix array<bigint>, grams binary"))
+        gather, "sid string, n bigint, s bigint, prefix array<bigint>, grams binary"))
 
 
 def _linked(pairs: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
