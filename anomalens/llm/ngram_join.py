@@ -13,7 +13,9 @@ vertical partitioning.
    most of its prefix with; documents found linked are one component, and only pairs
    across components are tested after that. All of those are: nothing is capped. An
    overlap cannot exceed the n-grams that either set has in common with any other one,
-   so a pair is left out if even that many would not reach the similarity.
+   so a pair is left out if even that many would not reach the similarity. So is one
+   whose sets differ in too many places of a parity bitmap: every place where the
+   bitmaps differ is an n-gram in one set only.
 4. A pair is tested fragment by fragment: partial overlaps are counted separately and
    summed per pair.
 
@@ -45,6 +47,9 @@ ROUNDS = 2
 _BLOCK, _MANY = 8192, 0x3FFF
 _HALF = np.uint64(1 << 63)
 _MASK = np.uint64(_MANY)
+# Words of 64 places in the parity bitmap of a set.
+_WORDS = 8
+_MARKS = [f"p{i}" for i in range(_WORDS)]
 
 
 def _blob(a: np.ndarray) -> bytes:
@@ -233,13 +238,14 @@ def _labels(sets: DataFrame, percent: int) -> DataFrame:
             # Of two components under an n-gram one at least is not its largest; the largest never meets itself.
             sizes = now.groupBy("g", "label").agg(F.count("*").alias("c")).groupBy("g").agg(
                 F.max(F.struct("c", "label")).alias("top")).select("g", F.col("top.label").alias("top"))
-            now = cut_lineage(now.select("g", "sid", "n", "s", "label").join(sizes, "g"))
+            marks = ordered.select("sid", *[F.col("marks")[i].alias(c) for i, c in enumerate(_MARKS)])
+            now = cut_lineage(now.select("g", "sid", "n", "s", "label").join(sizes, "g").join(marks, "sid"))
             other = now.select("g", F.col("sid").alias("other"), F.col("n").alias("m"), F.col("s").alias("z"),
-                               F.col("label").alias("ol"))
+                               F.col("label").alias("ol"), *[F.col(c).alias(f"{c}o") for c in _MARKS])
             once = (F.col("ol") == F.col("top")) | (F.col("sid") < F.col("other"))
             pairs = now.filter("label <> top").join(other, "g").filter(
                 (F.col("label") != F.col("ol")) & once & _lengths("n", "m", percent)
-                & _reach("n", "s", "m", "z", percent))
+                & _reach("n", "s", "m", "z", percent) & _alike("n", "s", "m", "z", percent))
         a, b = F.least("sid", "other"), F.greatest("sid", "other")
         pairs = pairs.select(a.alias("a"), b.alias("b")).distinct()
         if tested is not None:
@@ -266,6 +272,15 @@ def _reach(n: str, s: str, m: str, z: str, percent: int):
     return 100 * most >= percent * (F.col(n) + F.col(m) - most)
 
 
+def _alike(n: str, s: str, m: str, z: str, percent: int):
+    """Whether sets may link by the n-grams that are in one of them for certain: those
+    that occur nowhere else, and one for each place where the bitmaps differ."""
+    apart = F.col(n) - F.col(s) + F.col(m) - F.col(z)
+    for c in _MARKS:
+        apart = apart + F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}o")))
+    return (100 - percent) * (F.col(n) + F.col(m)) >= (100 + percent) * apart
+
+
 def _relabel(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return posts.withColumn("label", F.col("sid"))
@@ -273,8 +288,8 @@ def _relabel(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _ordered(sets: DataFrame, percent: int) -> DataFrame:
-    """(sid, n, s, prefix, grams): the ``s`` n-grams that occur in two sets at least, in the
-    global order, and the part of the prefix among them. Sets without one cannot link and
+    """(sid, n, s, marks, prefix, grams): the ``s`` n-grams that occur in two sets at least, in
+    the global order, their parity bitmap, and the part of the prefix among them. Sets without one cannot link and
     are left out. Written."""
     total = sets.agg(F.sum("n")).first()[0] or 0
     fragments = max(1, -(-total // FRAGMENT_NGRAMS))
@@ -346,22 +361,25 @@ def _ordered(sets: DataFrame, percent: int) -> DataFrame:
         order = np.lexsort((gram, place, doc))
         doc, gram = doc[order], gram[order]
         ends = np.searchsorted(doc, np.arange(len(names) + 1))
-        out = {"sid": [], "n": [], "s": [], "prefix": [], "grams": []}
+        out = {"sid": [], "n": [], "s": [], "marks": [], "prefix": [], "grams": []}
         for (sid, i), n in zip(names.items(), sizes):
             own = gram[ends[i]:ends[i + 1]]
             # N-grams of one set only come first in the order and take their places.
             long = n - -(-n * percent // 100) + 1 - (n - len(own))
             if long > 0:
-                for c, v in zip(out, (sid, n, len(own), own[:long].view(np.int64), _blob(np.sort(own)))):
+                odd = np.bincount((buffers.stir(own) % np.uint64(64 * _WORDS)).astype(np.int64), minlength=64 * _WORDS) & 1
+                marks = np.packbits(odd.astype(np.uint8)).view(np.int64)
+                for c, v in zip(out, (sid, n, len(own), marks, own[:long].view(np.int64), _blob(np.sort(own)))):
                     out[c].append(v)
         return pa.table({"sid": pa.array(out["sid"], pa.string()), "n": pa.array(out["n"], pa.int64()),
-                         "s": pa.array(out["s"], pa.int64()), "prefix": pa.array(out["prefix"], pa.list_(pa.int64())),
+                         "s": pa.array(out["s"], pa.int64()),
+                         "marks": pa.array(out["marks"], pa.list_(pa.int64())), "prefix": pa.array(out["prefix"], pa.list_(pa.int64())),
                          "grams": pa.array(out["grams"], pa.binary())})
 
     tagged = sets.select("sid", "n", "grams", F.pmod(F.xxhash64("sid"), F.lit(groups)).cast("int").alias("g"))
     parts = tagged.mapInArrow(cut, schema).groupBy("f").applyInArrow(rank, schema)
     return cut_lineage(parts.groupBy("g").applyInArrow(
-        gather, "sid string, n bigint, s bigint, prefix array<bigint>, grams binary"))
+        gather, "sid string, n bigint, s bigint, marks array<bigint>, prefix array<bigint>, grams binary"))
 
 
 def _linked(pairs: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
