@@ -9,8 +9,8 @@ vertical partitioning.
    is cut into fragments by hash; each fragment counts its n-grams and hands the
    counts back, which gives every document its order and its prefix: two documents
    that link share an n-gram of both prefixes.
-3. Prefixes propose pairs. Two rounds test each document with the document it shares
-   most of its prefix with; documents found linked are one component, and only pairs
+3. Prefixes propose pairs. Some rounds test each document with one that stands for
+   others, of which the least is its own; documents found linked are one component, and only pairs
    across components are tested after that. All of those are: nothing is capped. An
    overlap cannot exceed the n-grams that either set has in common with any other one,
    so a pair is left out if even that many would not reach the similarity. So is one
@@ -43,7 +43,7 @@ BUCKET_BYTES = 4 << 20
 FRAGMENT_NGRAMS, GROUP_DOCS, FRAGMENTS = 500_000, 1000, 8
 # Keys of candidates are broadcast up to this many, beyond it Spark joins.
 BROADCAST_KEYS = 2_000_000
-ROUNDS = 2
+ROUNDS = 3
 _BLOCK, _MANY = 8192, 0x3FFF
 _HALF = np.uint64(1 << 63)
 _MASK = np.uint64(_MANY)
@@ -222,16 +222,25 @@ def _labels(sets: DataFrame, percent: int) -> DataFrame:
         now = _relabel(posts, labels)
         mixed = now.groupBy("g").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min("n").alias("least"),
                                      F.min(F.struct("label", "sid", "n", "s")).alias("first"),
-                                     F.max(F.struct("label", "sid", "n", "s")).alias("last")).filter("a <> b")
+                                     F.max(F.struct("label", "sid", "n", "s")).alias("last"),
+                                     F.max(F.struct((F.col("s") / F.col("n")).alias("share"), "label", "sid", "n", "s"))
+                                     .alias("core")).filter("a <> b")
         # Whoever cannot reach even the smallest set under an n-gram has no partner there.
-        now = now.join(mixed.select("g", "least", "first", "last"), "g").filter(_reach("n", "s", "least", "s", percent))
+        now = now.join(mixed.select("g", "least", "first", "last", "core"), "g").filter(_reach("n", "s", "least", "s", percent))
         if turn < ROUNDS:
-            # The leader of an n-gram stands in another component than the document.
-            lead = F.when(F.col("first.label") < F.col("label"), F.col("first")).otherwise(F.col("last"))
+            # The leader of an n-gram stands in another component than the document: the
+            # set with the least of its own, or else the first or last one.
+            lead = F.when(F.col("core.label") != F.col("label"),
+                          F.struct(*[F.col(f"core.{c}").alias(c) for c in ("label", "sid", "n", "s")]))
+            lead = lead.when(F.col("first.label") < F.col("label"), F.col("first")).otherwise(F.col("last"))
             now = now.withColumn("lead", lead).filter("lead.label <> label")
             pairs = now.groupBy("sid", "n", "s", F.col("lead.sid").alias("other"), F.col("lead.n").alias("m"),
                                 F.col("lead.s").alias("z")).agg(F.count("*").alias("c")).filter(
                 _lengths("n", "m", percent) & _reach("n", "s", "m", "z", percent))
+            if tested is not None:
+                done = tested.select(F.col("a").alias("sid"), F.col("b").alias("other"))
+                done = done.unionByName(done.select(F.col("other").alias("sid"), F.col("sid").alias("other")))
+                pairs = pairs.join(done, ["sid", "other"], "left_anti")
             best = Window.partitionBy("sid").orderBy(F.desc("c"), "other")
             pairs = pairs.withColumn("r", F.row_number().over(best)).filter("r = 1")
         else:
