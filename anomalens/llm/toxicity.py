@@ -4,9 +4,10 @@ Words that occur in toxic documents far oftener than chance allows form the lexi
 a trie with one weight per term. Every distinct word of a text is run through the
 trie by a Levenshtein automaton (``EDITS`` edits, for words of ``FUZZY_LENGTH``
 letters on); an exact test on word halves (with one edit, one half stays as it is)
-spares most words the walk. Hits inside quotation marks, or near words of report in
-between marks, count as quotation, the others as abuse. A logistic fit over these
-counts gives the score.
+spares most words the walk. Hits inside a pair of quotation marks count as quotation,
+the others as abuse; words of report are not looked at. Marks are paired over the whole
+text, and a text with no word outside its pairs quotes nothing. A logistic fit over
+these counts gives the score.
 
 The fit uses at most ``PER_CLASS`` labelled documents of each class. For the fit, the
 hits in one half of the sample come from the lexicon of the other half.
@@ -34,10 +35,14 @@ from anomalens.plans.storage import cut_lineage
 PER_CLASS = 10_000
 EDITS, FUZZY_LENGTH = 1, 5
 SIGNIFICANCE, LEAST_DOCS, LEAST_ODDS = 12.0, 3, 3.0
-WINDOW = 8  # words on either side that are searched for quotation marks
 _CACHED = 400_000
 _WORD = re.compile(r"[^\W\d_]+")
-_QUOTE = re.compile("[\"“”„«»‘’]|(?<!\\w)'|'(?!\\w)")
+# Not the apostrophes inside a word, nor those for letters left out before one.
+_QUOTE = re.compile(r"[\"“”„«»]|(?<!\w)['‘’‚]|['‘’‚](?!\w)")
+_ELISION = re.compile(r"(?:tis|twas|cause|em|til|bout|round|n|\d0s)\b")
+# Per closing mark the marks that it may close; habits differ between languages.
+_CLOSES = {'"': '"', "'": "'", "”": "“„”", "“": "„", "»": "«»", "«": "»", "’": "‘‚’", "‘": "‚"}
+_LEADING = frozenset("([{-–—/=:\"'“”„«»‘’‚")
 FEATURES = ("abuse", "abuse_misspelt", "quoted", "density", "heaviest", "terms", "total")
 
 
@@ -122,10 +127,10 @@ def features_of(text: str, lexicon: Lexicon) -> tuple[float, ...]:
         return (0.0,) * len(FEATURES)
     abuse = misspelt = quoted = 0
     total, heaviest, terms = 0.0, 0.0, set()
-    marks = [m.start() for m in _QUOTE.finditer(lower)]
+    pairs = _pairs(lower)
     wanted = {w for w, _ in hits}
-    places = [m for m in _WORD.finditer(lower) if m.group() in wanted] if marks else None
-    inside = _quoted(places, marks, lower) if marks else [False] * len(hits)
+    places = [m for m in _WORD.finditer(lower) if m.group() in wanted] if pairs else None
+    inside = _quoted([m.start() for m in places], pairs, lower) if pairs else [False] * len(hits)
     for (_, (term, distance)), quote in zip(hits, inside):
         weight = lexicon.terms[term] * (0.5 if distance else 1.0)
         if quote:
@@ -140,18 +145,46 @@ def features_of(text: str, lexicon: Lexicon) -> tuple[float, ...]:
             heaviest, np.log1p(len(terms)), np.log1p(total))
 
 
-def _quoted(places, marks: list[int], text: str) -> list[bool]:
-    """Whether each hit stands between quotation marks of its context window."""
-    at = np.asarray(marks)
+def _pairs(text: str) -> list[tuple[int, int]]:
+    """The places of opening and closing marks that belong together. An opening mark
+    that is never closed quotes nothing; one that is repeated at the start of a line
+    goes on with the quotation, elsewhere it starts another in its place."""
+    at: dict[str, int] = {}
     out = []
-    for m in places:
-        i = int(np.searchsorted(at, m.start()))
-        left = i > 0 and len(_WORD.findall(text[at[i - 1]:m.start()])) <= WINDOW
-        right = i < len(at) and len(_WORD.findall(text[m.end():at[i]])) <= WINDOW
-        out.append(left and right)
+    for m in _QUOTE.finditer(text):
+        i, mark = m.start(), m.group()
+        free = not i or text[i - 1].isspace() or text[i - 1] in _LEADING
+        leads = free and i + 1 < len(text) and not text[i + 1].isspace()
+        mates = [at[o] for o in _CLOSES.get(mark, "") if o in at]
+        if mates and not (mark in at and leads):
+            low = max(mates)
+            at = {o: p for o, p in at.items() if p < low}
+            out.append((low, i))
+        elif mark in "'‘’" and _ELISION.match(text, i + 1):
+            continue
+        elif (leads or free and mark in '"“„«') and not (mark in at and _heads_line(text, i)):
+            at[mark] = i
     return out
 
 
+def _heads_line(text: str, at: int) -> bool:
+    while at and text[at - 1] in " \t":
+        at -= 1
+    return not at or text[at - 1] == "\n"
+
+
+def _quoted(places: list[int], pairs: list[tuple[int, int]], text: str) -> list[bool]:
+    """Whether each place lies inside a pair, in a text with words outside its pairs."""
+    depth = np.zeros(len(text) + 1, np.int32)
+    for low, high in pairs:
+        depth[low] += 1
+        depth[high] -= 1
+    inside = np.cumsum(depth) > 0
+    if all(inside[m.start()] for m in _WORD.finditer(text)):
+        return [False] * len(places)
+    return inside[places].tolist()
+
+
 def learn_terms(sample: DataFrame, parts: list[int]) -> dict[str, float]:
     """Terms by the likelihood ratio of their document counts in both classes."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -107,6 +107,27 @@ def test_quotation_is_told_from_abuse():
     assert set(toxicity.features_of("", lexicon)) == {0.0} == set(toxicity.features_of("fine words", lexicon))
 
 
+@pytest.mark.parametrize("text, abuse, quoted", [
+    ("You’re a scumbag and you don’t know", 1, 0),
+    ("you‘re a scumbag and don‘t know", 1, 0),
+    ('"hello," you scumbag, "good bye" then', 1, 0),
+    ('it is 5" wide, you scumbag, and 6" tall', 1, 0),
+    ('then "you scumbag and no end', 1, 0),
+    ("'tis true, you scumbag, the dogs' bowl", 1, 0),
+    ('"you scumbag"', 1, 0),
+    ("they wrote “you scumbag” and left", 0, 1),
+    ("they wrote „you scumbag“, « you rotter » and »scumbag« and ‘rotter’", 0, 4),
+    ("they wrote “he’s a scumbag, isn’t he” and left", 0, 1),
+    ('they wrote "' + "word " * 20 + "rotter " + "word " * 20 + '" and left', 0, 1),
+    ("they wrote “one scumbag\n\n“two rotter” and left", 0, 2),
+    ('he said "a scumbag" and "b" but you rotter "c" too', 1, 1),
+])
+def test_hits_are_quoted_inside_a_pair_only(text, abuse, quoted):
+    lexicon = toxicity.Lexicon({"scumbag": 4.0, "rotter": 4.0})
+    got = dict(zip(toxicity.FEATURES, toxicity.features_of(text, lexicon)))
+    assert (got["abuse"], got["quoted"]) == pytest.approx((np.log1p(abuse), np.log1p(quoted)))
+
+
 def accuracy(df, labels, label):
     rows = df.join(labels.select("doc_id", F.col(label).alias("y")), "doc_id").filter("held_out").collect()
     pairs = [(r.score, r.y) for r in rows]
