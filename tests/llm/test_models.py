@@ -128,6 +128,47 @@ def test_hits_are_quoted_inside_a_pair_only(text, abuse, quoted):
     assert (got["abuse"], got["quoted"]) == pytest.approx((np.log1p(abuse), np.log1p(quoted)))
 
 
+@pytest.mark.parametrize("text, abuse, misspelt", [
+    ("you id1ot", 0, 1), ("you cl0wn!", 0, 1), ("a st*pid, st_pid one", 0, 2), ("you idoit, iidot", 0, 2),
+    ("*scu* and sc*m", 0, 2), ("you,id1ot", 0, 1), ("1diot $tupid", 0, 2), ("idiot's idiot-like you/idiot.clown", 4, 0),
+    ("scam", 0, 1), ("loss", 0, 0),
+])
+def test_misspellings_with_digits_symbols_and_swaps(text, abuse, misspelt):
+    lexicon = toxicity.Lexicon(dict.fromkeys(["idiot", "clown", "stupid", "scum", "lose"], 1.0), swaps=True,
+                               strict=frozenset(["lose"]))
+    got = dict(zip(toxicity.FEATURES, toxicity.features_of(text, lexicon)))
+    assert (got["abuse"], got["abuse_misspelt"]) == pytest.approx((np.log1p(abuse), np.log1p(misspelt)))
+
+
+def test_short_terms_are_fuzzy_by_measured_false_hits(spark):
+    rows = [(i, 1, i % 2, "you scum lose") for i in range(10)] + [(i, 0, i % 2, "at a loss here") for i in range(10, 20)]
+    sample = spark.createDataFrame(rows, "k int, y int, part int, text string")
+    assert toxicity.strict_terms(sample, toxicity.count_words(sample), {"scum": 1.0, "lose": 1.0}) == {"lose"}
+
+
+def distance_with_swaps(a, b):
+    rows = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(rows[-1][j - 1] + (x != y), rows[-1][j] + 1, new[-1] + 1))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                new[-1] = min(new[-1], rows[-2][j - 2] + 1)
+        rows.append(new)
+    return rows[-1][-1]
+
+
+def test_automaton_counts_a_swap_as_one_edit():
+    r = random.Random(5)
+    terms = {"".join(r.choice("abc") for _ in range(r.randint(2, 7))): 1.0 for _ in range(40)}
+    lexicon = toxicity.Lexicon(terms, 1, fuzzy=3, swaps=True)
+    for _ in range(1500):
+        word = "".join(r.choice("abcd") for _ in range(r.randint(1, 8)))
+        near = [(distance_with_swaps(word, t), t) for t in terms]
+        near = [(d, t) for d, t in near if d <= (len(t) >= 3)]
+        assert lexicon.match(word) == (min(near)[::-1] if near else None), word
+
+
 def accuracy(df, labels, label):
     rows = df.join(labels.select("doc_id", F.col(label).alias("y")), "doc_id").filter("held_out").collect()
     pairs = [(r.score, r.y) for r in rows]
