@@ -71,25 +71,31 @@ class Bins:
 
 class Encoder:
     """Token ids as little-endian 32-bit bytes, equal to those of the tokenizers
-    library without special tokens.
+    library, which adds no special tokens. With ``added`` a literal added token in a
+    text, such as an end mark, has its own id as there; else it is text like any other.
 
     Byte-level BPE works inside words, and for its pattern a text may be cut before
     every blank that a non-blank follows; the pieces repeat, so a bounded number of
     them is kept. If every merge makes a larger id than those before, ids are ranks
-    and the faster library with the same merges is used.
+    and the faster library with the same merges is used for texts without added tokens.
     """
 
     PATTERN = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: bool = False) -> None:
         import re
 
         from tokenizers import Tokenizer
 
         self._slow = Tokenizer.from_file(path)
-        self._slow.encode_special_tokens = True
+        self._slow.encode_special_tokens = not added
         self._fast = self._ranked(path)
         self._cuts = re.compile(r" (?:\s|\Z)")
+        # Added tokens that are no special ones are found whatever the flag says.
+        tokens = [t for t in self._slow.get_added_tokens_decoder().values() if added or not t.special]
+        if any(t.normalized for t in tokens):
+            self._fast = None  # found in another form of the text
+        self._added = re.compile("|".join(re.escape(t.content) for t in tokens)) if tokens else None
         self._kept: dict[str, bytes] = {}
 
     def _ranked(self, path: str):
@@ -115,7 +121,7 @@ class Encoder:
         return tiktoken.Encoding("own", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if self._fast is None:
+        if self._fast is None or self._added and self._added.search(text):
             return array("I", self._slow.encode(text, add_special_tokens=False).ids).tobytes()
         if self._cuts.search(text):
             return array("I", self._fast.encode_ordinary(text)).tobytes()
@@ -150,7 +156,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, bins, held = None, Bins(size, open_bins), {}
         for batch in batches:
-            encode = encode or Encoder(tokenizer)
+            encode = encode or Encoder(tokenizer, added=True)
             out: dict[str, list] = {c: [] for c in ("row", "piece", "start", "length", "ids", "bin", "offset")}
             for i, x in enumerate(batch.column(1)):
                 ids = encode(x.as_py() or "") + closing

@@ -113,6 +113,25 @@ def test_ids_equal_the_tokenizers_library(texts):
         assert np.frombuffer(encode(t), "<u4").tolist() == slow.encode(t, add_special_tokens=False).ids, t[:40]
 
 
+def test_added_tokens_keep_their_ids(spark, texts, tmp_path):
+    """Against the library as it comes, also through the whole operator."""
+    plain = Tokenizer.from_file(tokenizer_path())
+    encode = packing.Encoder(tokenizer_path(), added=True)
+    assert encode._fast is not None
+    odd = [*ODD, "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y", "<|endoftext |>", "<|endoftext|"]
+    for t in [*odd, *(x for x in texts if x)]:
+        assert np.frombuffer(encode(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t[:40]
+    df = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    for r in packing.pack(df, tokenizer_path()).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == [*plain.encode(odd[r.doc_id], add_special_tokens=False).ids, 2]
+    # An added token that is no special one, in any text.
+    plain.add_tokens(["ko"])
+    plain.save(str(tmp_path / "t.json"))
+    encode = packing.Encoder(str(tmp_path / "t.json"), added=True)
+    for t in odd + ["a ko b", "kokoko"]:
+        assert np.frombuffer(encode(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
+
+
 def test_bins_follow_best_fit():
     """Against a plain list of bins: tightest fit, the fullest closes first."""
     r = random.Random(2)
