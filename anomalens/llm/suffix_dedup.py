@@ -44,7 +44,7 @@ BLOCK_BYTES, BLOCK_ROWS, MOST_BUCKETS = 4 << 20, 4096, 20_000
 ANCHOR_BUCKET, SUFFIX_BUCKET = 16 << 20, 8 << 20  # bytes of text per bucket
 _FIRST = np.iinfo(np.int64).min
 _BITS = np.uint64((1 << 39) - 1)
-_TOP = np.uint32(0xFFFFFFFE)
+_LEAST, _TOP = np.uint32(1), np.uint32(0xFFFFFFFE)
 RESULT = "kept binary, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>"
 
 
@@ -118,7 +118,8 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.nda
     low, high = at[:n], at[8:n + 8]
     value = ((low * np.uint64(0x9E3779B97F4A7C15)) ^ (high * np.uint64(0xC2B2AE3D27D4EB4F)))
     value ^= value >> np.uint64(29)
-    value = np.minimum((value * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.uint32), _TOP)
+    # 0 stands for no window, the value above _TOP for no gram.
+    value = np.clip((value * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.uint32), _LEAST, _TOP)
     value = np.concatenate([value, np.full(2 * reach, 0xFFFFFFFF, np.uint32)])
     starts, size = offsets[:-1], np.diff(offsets)
     inside = np.zeros(n + 1, np.int32)

@@ -98,6 +98,14 @@ def test_repeats_of_low_variety_texts(spark):
     check_removed(spark.createDataFrame([(2, "ab" * 60), (1, "ba" * 60), (0, "ab" * 25)], "doc_id long, text string"), 40)
 
 
+def test_repeats_of_nul_bytes(spark):
+    """Sixteen NUL bytes have the smallest hash."""
+    nul = "\0"
+    texts = [nul * 90, nul * 70, "head " + nul * 60 + " tail", "x" * 40 + nul * 16 + "y" * 40, "z" * 9 + "x" * 40 + nul * 16 + "y" * 40,
+             "a" * 30 + nul * 17 + "b" * 30, "c" + "a" * 30 + nul * 17 + "b" * 30 + nul * 200, nul * 15 + "a" * 30 + nul * 17 + "b" * 30]
+    check_removed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+
+
 def test_null_id_ranks_first(spark, no_docs):
     df = spark.createDataFrame([(None, "x" * 60), (1, "x" * 70), (1, "y" * 60), (1, "y" * 60)], "doc_id int, text string")
     got = Counter((r.doc_id, len(r.kept)) for r in suffix_dedup.remove_repeats(df).collect())
