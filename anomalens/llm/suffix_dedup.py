@@ -40,6 +40,7 @@ from anomalens.plans.storage import cut_lineage, scratch_path
 
 WINDOW = 50
 GRAM = 16
+MOST_WINDOW = 63 + GRAM  # the windows of one anchor are the bits of a 64-bit number
 BLOCK_BYTES, BLOCK_ROWS, MOST_BUCKETS = 4 << 20, 4096, 20_000
 ANCHOR_BUCKET, SUFFIX_BUCKET = 16 << 20, 8 << 20  # bytes of text per bucket
 _FIRST = np.iinfo(np.int64).min
@@ -51,8 +52,8 @@ RESULT = "kept binary, n_bytes bigint, spans array<struct<start:bigint,end:bigin
 def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, kept, n_bytes, spans): the bytes of each text that no window covers which
     also starts in a document with a smaller key, and the removed stretches."""
-    if not 2 * GRAM <= window <= 80:
-        raise ValueError(f"the window must have {2 * GRAM} to 80 bytes")
+    if not 2 * GRAM <= window <= MOST_WINDOW:
+        raise ValueError(f"the window must have {2 * GRAM} to {MOST_WINDOW} bytes")
     blocks, total = _blocks(docs, text, key)
     anchors = max(1, -(-total // ANCHOR_BUCKET))
     suffixes = max(1, -(-total // SUFFIX_BUCKET))
@@ -354,7 +355,9 @@ def repeats(stretches: np.ndarray, size: np.ndarray, ids: np.ndarray, window: in
     for j in [*range(0, window - 7, 8), window - 8]:
         same &= at[base[live] + j] == at[base[lead] + j]
     live = live[same]
-    return np.bincount(entry[live], np.ldexp(1.0, shift[live]), minlength=len(size)).astype(np.uint64)
+    found = np.zeros(len(size), np.uint64)
+    np.bitwise_or.at(found, entry[live], np.uint64(1) << shift[live].astype(np.uint64))
+    return found
 
 
 def _apply(window: int, key: str):
@@ -371,7 +374,7 @@ def _apply(window: int, key: str):
                 low, high = (offsets[found["doc"]] + found[c] for c in ("start", "end"))
             else:
                 found = np.frombuffer(blob.as_py(), _MARK)
-                bits = (found["which"][:, None] >> np.arange(window, dtype=np.uint64)) & np.uint64(1)
+                bits = (found["which"][:, None] >> np.arange(window - GRAM + 1, dtype=np.uint64)) & np.uint64(1)
                 entry, shift = np.nonzero(bits)
                 low = offsets[found["doc"][entry]] + found["start"][entry] + shift
                 high = low + window

@@ -106,6 +106,16 @@ def test_repeats_of_nul_bytes(spark):
     check_removed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
 
 
+@pytest.mark.parametrize("window", [70, 79])
+def test_repeats_of_long_windows(spark, window):
+    rng = np.random.default_rng(8)
+    copied = "".join(rng.choice(list("abcdefgh"), 300))
+    texts = [copied, *("k" * i + copied[i:i + 200] + "m" * i for i in range(0, 100, 7))]
+    check_removed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), window)
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(spark.createDataFrame([(0, "a")], "doc_id long, text string"), 80)
+
+
 def test_null_id_ranks_first(spark, no_docs):
     df = spark.createDataFrame([(None, "x" * 60), (1, "x" * 70), (1, "y" * 60), (1, "y" * 60)], "doc_id int, text string")
     got = Counter((r.doc_id, len(r.kept)) for r in suffix_dedup.remove_repeats(df).collect())
