@@ -4,9 +4,9 @@ copy of the package. Nothing outside this folder imports it."""
 
 from pyspark import cloudpickle
 
-from anomalens.llm import (buffers, common, mixing, neighbours, ngram_join, packing, quality, sharding, suffix_dedup,
-                           toxicity, training, warc)
+from anomalens.llm import (buffers, common, conversation_repair, mixing, neighbours, ngram_join, packing, quality, sharding,
+                           suffix_dedup, toxicity, training, warc, whitening)
 
-for _module in (buffers, common, mixing, neighbours, ngram_join, packing, quality, sharding, suffix_dedup, toxicity,
-                training, warc):
+for _module in (buffers, common, conversation_repair, mixing, neighbours, ngram_join, packing, quality, sharding, suffix_dedup,
+                toxicity, training, warc, whitening):
     cloudpickle.register_pickle_by_value(_module)
