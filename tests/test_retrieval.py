@@ -7,16 +7,16 @@ import pytest
 from anomalens.operators import retrieval as I
 
 ENTRIES = [
-    ("m.gmv", "metric", "GMV 口径", "GMV 指订单成交金额合计，sales.gmv 求和", ["gmv", "成交额"], ["sales"]),
-    ("m.net", "metric", "净成交额", "SUM(gmv) - SUM(refund_amount)", ["退款", "gmv"], ["sales"]),
-    ("t.date", "table_note", "日期字段", "order_date is a DATE", ["order_date", "month"], []),
-    ("r.cust", "relation", "sales and customers", "sales.customer_id = customers.customer_id", ["join", "segment"], ["sales", "customers"]),
+    ("m.late", "metric", "晚点 率", "late 指晚点五分钟以上的车次占比，trips.delay 计算", ["late", "晚点率"], ["trips"]),
+    ("m.lost", "metric", "损失客时", "sum of delay times riders, late trips only", ["客时", "late"], ["trips"]),
+    ("t.start", "table_note", "发车时刻", "start_ts holds local time", ["start_ts", "hour"], []),
+    ("r.stop", "relation", "trips and stations", "a trip begins at the stations row of its first stop", ["stop", "platform"], ["trips", "stations"]),
     ("same.1", "metric", "", "alpha beta beta", [], []),
     ("same.2", "metric", "", "alpha beta beta", [], []),
     ("tag.only", "metric", "", "!!", ["zz"], ["other"]),
     ("empty.tag", "metric", "", "", [""], []),
 ]
-QUERIES = ["GMV 口径", "alpha", "buzz unseen", "净成交额 gmv 退款", "order_date month month", "  ", "?!", "customers join", "口  径"]
+QUERIES = ["LATE 晚点 率", "alpha", "buzz unseen", "损失客时 late 客时", "start_ts hour hour", "  ", "?!", "stations stop", "晚  点"]
 
 
 def tokens(text):
@@ -59,7 +59,7 @@ def queries(spark):
     return spark.createDataFrame(list(enumerate(QUERIES)), "qid int, query string")
 
 
-@pytest.mark.parametrize("k,kind,tables", [(3, None, None), (20, None, None), (20, "metric", None), (20, None, ["customers"])])
+@pytest.mark.parametrize("k,kind,tables", [(3, None, None), (20, None, None), (20, "metric", None), (20, None, ["stations"])])
 def test_search_equals_brute_force(index, queries, k, kind, tables):
     got = {}
     for r in I.search(index, queries, k, kind, tables).orderBy("qid", "rank").collect():
@@ -76,7 +76,7 @@ def test_blocks_of_queries_give_the_same_hits(index, queries, monkeypatch):
 
 
 def test_requests(spark, index):
-    asked = spark.createDataFrame([(0, "gmv", 0), (1, "gmv", 1), (2, "gmv", 99), (3, " \t", 3), (4, "?!", None)],
+    asked = spark.createDataFrame([(0, "late", 0), (1, "late", 1), (2, "late", 99), (3, " \t", 3), (4, "?!", None)],
                                   "qid int, query string, top_k int")
     rows = I.retrieve(index, asked).collect()
     n = Counter(r.qid for r in rows if r.id)
@@ -94,7 +94,7 @@ def test_added_entries_change_the_index(spark, queries):
 
 def test_phrases_of_a_query(index, queries):
     got = {(r.qid, r.phrase): (r.boost, r.owners) for r in I.boosts(index, queries).collect()}
-    assert got[0, "gmv 口径"] == (0.35, 1) and got[0, "gmv"] == (0.25, 2) and got[1, ""] == (0.25, 1)
+    assert got[0, "晚点 率"] == (0.35, 1) and got[0, "late"] == (0.25, 2) and got[1, ""] == (0.25, 1)
     assert not [k for k in got if k[0] in (5, 6)]  # no tokens, no phrases
 
 

@@ -39,7 +39,7 @@ RECORDS = [
     record("no_answer", [(A,)], None, REF),
     record("fabricated", [(A,)], answer(findings=((6.5, "TABLE nothing -- not run"),)), REF),
     record("not_grounded", [(A,)], answer(findings=((987.0, A),)), REF),
-    record("illegal", [("DELETE FROM trips", False, "illegal"), (A,)]),
+    record("illegal", [("DELETE FROM trips", False, "illegal"), (B,)]),
     record("duplicate", [(A,), (A,)]),
     record("respelled", [(A,), (A.lower().replace(" ", "  "),)]),
     record("different", [(A,), (B,)]),
@@ -59,7 +59,7 @@ RECORDS = [
         step(3, METRICS_SQL, rows=[tuple(NUMBERS.values())]),
         step(4, "", True, None, "final_answer")],
         answer(findings=[(v, METRICS_SQL) for v in NUMBERS.values()]), {**REF, "key_numbers": NUMBERS}),
-    record("bad_demo", [("DELETE FROM trips", False, "illegal"), (A,), (A,),
+    record("bad_demo", [("DELETE FROM trips", False, "illegal"), (B,), (B,),
                         ("TABLE no_such_table", False, "execution"), step(4, "", True, None, "final_answer")],
            answer("wet", "mud", ((987.0, "FROM x -- invented"),)), REF),
 ]
@@ -95,7 +95,7 @@ def near(x):
 ])
 def test_scores(scored, name, column, want):
     got = scored[name][column]
-    assert got == near(want) if isinstance(want, float) else got == want
+    assert got == (near(want) if isinstance(want, float) else want)
 
 
 def test_total_is_the_sum_of_components(scored):

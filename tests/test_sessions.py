@@ -88,8 +88,8 @@ def test_chunked_windows_equal_plain_ones(spark, chunk_rows):
 
 @pytest.mark.parametrize("chunk_rows", [2, 100_000])
 def test_recovery_pairs(spark, chunk_rows):
-    a, fixed = "SELECT SUM(gmv) FROM sales WHERE day = 1", "SELECT SUM(gmv) FROM sales WHERE day = 2 AND x"
-    log = [(1, a, False), (2, fixed, True), (3, "DROP TABLE sales", False), (4, "SELECT COUNT(*) FROM customers", True),
+    a, fixed = "SELECT max(delay) FROM trips WHERE hour = 7", "SELECT max(delay) FROM trips WHERE hour = 8 AND wet"
+    log = [(1, a, False), (2, fixed, True), (3, "TRUNCATE trips", False), (4, "FROM stations SELECT count(roof)", True),
            (5, a, False), (6, None, None), (7, fixed, True), (8, a, False), (9, a, False)]
     rows = [(0, t, "execute_sql" if ok is not None else "retrieve_context", q, ok if ok is not None else True, None, None)
             for t, q, ok in log]

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from anomalens.functions import similarity as M, sqltext as S, tokens as T, values as V
 from anomalens.operators import querylog as Q
 
-SQL_A = "SELECT SUM(gmv) FROM sales WHERE region = '华东'"
-SQL_A_FIXED = SQL_A + " AND category = '手机'"
+LATE = "SELECT avg(delay) FROM trips WHERE line = 'U4'"
+LATE_BY_HOUR = "SELECT hour(start), avg(delay) FROM trips WHERE line = 'U4' GROUP BY 1"
 
 
 def column(spark, values, expr, kind="string"):
@@ -16,21 +16,21 @@ def column(spark, values, expr, kind="string"):
 
 
 VERDICTS = {
-    "SELECT COUNT(*) FROM sales": ("ok", None),
-    "WITH t AS (SELECT 1 AS x) SELECT * FROM t": ("ok", None),
-    "DROP TABLE sales": ("kind_not_allowed", "DROP"),
-    "INSERT INTO sales VALUES (9,'2026-01-01','华东','手机',1)": ("kind_not_allowed", "INSERT"),
-    "UPDATE sales SET gmv = 0": ("kind_not_allowed", "UPDATE"),
-    "ATTACH 'other.db' AS o": ("kind_not_allowed", "ATTACH"),
-    "COPY sales TO '/tmp/out.csv'": ("kind_not_allowed", "COPY"),
-    "SELECT 1; DROP TABLE sales": ("multi_statement", "2"),
-    "SELECT * FROM read_csv('/etc/passwd')": ("banned_function", "read_csv"),
+    "SELECT line, max(delay) FROM trips GROUP BY line": ("ok", None),
+    "WITH late AS (SELECT * FROM trips WHERE delay > 9) SELECT line FROM late": ("ok", None),
+    "TRUNCATE trips": ("kind_not_allowed", "TRUNCATE"),
+    "MERGE INTO stations USING trips ON false WHEN NOT MATCHED THEN INSERT VALUES (3)": ("kind_not_allowed", "MERGE"),
+    "ALTER TABLE stations ADD COLUMN roof boolean": ("kind_not_allowed", "ALTER"),
+    "DELETE FROM trips WHERE delay IS NULL": ("kind_not_allowed", "DELETE"),
+    "CREATE TABLE copy_of_trips AS FROM trips": ("kind_not_allowed", "CREATE"),
+    "TABLE stations; TABLE trips; TRUNCATE trips": ("multi_statement", "3"),
+    "SELECT count(*) FROM read_parquet('trips/*.parquet')": ("banned_function", "read_parquet"),
     "   ": ("empty", None),
     "　\t": ("empty", None),
     "": ("empty", None),
-    "SELECT created_at, updated_at, offset_v FROM t2": ("ok", None),
-    "SELECT 'DROP TABLE' AS note": ("ok", None),
-    "SELECT 'read_csv is dangerous' AS note": ("ok", None),
+    "SELECT dropped_off, inserted_by, altered FROM trips": ("ok", None),
+    "SELECT line FROM trips WHERE remark = 'please TRUNCATE'": ("ok", None),
+    "SELECT 'glob (everything)' AS hint FROM stations": ("ok", None),
     "-- only a comment": ("kind_not_allowed", "UNKNOWN"),
     "(SELECT 1) UNION (SELECT 2)": ("ok", None),
     "select 1 ; ;": ("ok", None),
@@ -68,9 +68,11 @@ def test_normal_form(spark):
 
 
 def test_similarity_of_statements(spark):
-    pairs = [(SQL_A, SQL_A_FIXED, 0.8302), ("DROP TABLE sales", SQL_A, 0.2667),
-             ("DROP TABLE sales", "SELECT COUNT(*) FROM customers", 0.2609), ("SELECT 1", SQL_A, 0.2692),
-             ("", "-- x", 1.0), ("", "SELECT 1", 0.0), (SQL_A.lower(), SQL_A, 1.0)]
+    def near(a, b):  # of normal forms written out by hand
+        return SequenceMatcher(None, a, b).ratio()
+    late, by_hour = "select avg(delay) from trips where line = ''", "select hour(start),avg(delay) from trips where line = '' group by 1"
+    pairs = [(LATE, LATE_BY_HOUR, near(late, by_hour)), ("TABLE stations ;", LATE, near("table stations", late)),
+             ("SELECT  7", "select 23", near("select 7", "select 23")), ("", "/* y */", 1.0), ("", "TABLE trips", 0.0), (LATE.upper(), LATE, 1.0)]
     df = spark.createDataFrame(pairs, "a string, b string, want double")
     for r in df.select("want", M.sql_similarity(F.col("a"), F.col("b")).alias("got")).collect():
         assert r.got == pytest.approx(r.want, abs=5e-5)
@@ -84,8 +86,8 @@ def test_similarity_keeps_argument_order_and_long_texts(spark):
 
 
 def test_text_match(spark):
-    df = spark.createDataFrame([("手机品类", "手机品类"), ("下滑主因是手机品类问题", "手机品类"), ("家电", "手机品类"),
-                                (" Market ", "mark"), (None, "x"), ("abcd", "bcde")], "p string, g string")
+    df = spark.createDataFrame([("地铁四号线", "地铁四号线"), ("晚点集中在地铁四号线一段", "地铁四号线"), ("天气", "地铁四号线"),
+                                (" Signal fault ", "signal"), (None, "x"), ("mnop", "nopq")], "p string, g string")
     got = [r[0] for r in df.select(M.text_match(F.col("p"), F.col("g"))).collect()]
     assert got == [1.0, 1.0, 0.0, 1.0, 0.0, 0.75]
 
