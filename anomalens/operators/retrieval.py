@@ -5,25 +5,43 @@ order). Weights are ``(1 + ln tf) * idf`` with ``idf = ln((n + 1) / (df + 1)) +
 over all entries; the score is the cosine plus boosts for tags and titles that
 occur in the query.
 
-Shape of the work: an entry's term counts are complete before the shuffle,
-because all its tokens sit in one row (map-side combining); document frequencies
-combine the same way; the frequency of a term reaches its postings through a join
-that broadcasts only the provably few hot terms (``plans.skew.join_unique``), so a
-word that occurs in every entry does not pile up in one task. The index keeps an
-entry's terms in one row. A search takes entries in chunks and queries in blocks of
-bounded size; a score is final inside such a cell, and only the best hits of each
-query leave it. No (query, entry) pairs are shuffled, and filters on entries come
-first.
+The index is made of segments. A segment holds the term counts of its entries and its
+own document frequencies; adding entries tokenises these alone. Frequencies are summed
+over the segments, and from them come the entries' lengths and the posting blocks; many
+segments are merged into one by ``compact``, without a text being read.
+
+Postings of a term are kept by impact (their share of the cosine): a block is one term,
+one step of impact and one of the parts that a frequent term is spread over, with the
+largest impact in it. Tags and titles are postings, too: their impact is the boost.
+
+A small search reads all blocks of its terms; what it would read is known beforehand.
+Beyond ``PLAN_POSTINGS`` postings it looks for what it can leave out:
+
+1. Each query reads the blocks that promise most per posting. The best entries found
+   are scored in full; the k-th of them is the floor that a hit has to reach.
+2. Blocks are left out as long as an entry that shows up in nothing else would stay
+   below the floor even with every boost it could have. Whole terms go by their length:
+   entries have length 1, so terms of length r add at most r. Of others the lowest steps
+   go, with the largest impact in them as the bound. Every hit then shows up in a block
+   that is read; tags and titles are read only if they alone could reach the floor.
+3. An entry's sum over the blocks read, with its boosts, what its terms that were not
+   seen could add, and what the rest of its length could, drops nearly all entries. Only
+   for those left are the other blocks added.
+
+Both ways give the same hits; nothing is approximate, and no entry meets a query that
+it shares no block with.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import heapq
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from anomalens.config import TAG_BOOST, TITLE_BOOST
@@ -32,28 +50,57 @@ from anomalens.functions.tokens import tokenize
 from anomalens.plans.skew import join_unique
 from anomalens.plans.storage import cut_lineage
 
-# A cell: entries of a chunk, characters of a block of queries.
-CHUNK_ENTRIES, BLOCK_CHARS = 2000, 1_000_000
+# Postings in a block; steps of impact to a halving.
+BLOCK_POSTINGS, STEPS = 512, 2
+# The first reading: postings and entries scored per hit asked for.
+FIRST_POSTINGS, FIRST_SCORED = 64, 4
+# Postings that a search reads without looking for what it can leave out.
+PLAN_POSTINGS = 50_000_000
+# The shares of the floor (less the boosts) that whole terms left out, and all that is
+# left out, may come to. An entry has to reach the rest in the blocks read.
+TERMS_OUT, LEFT_OUT = 0.4, 0.6
+# Segments of an index before they are merged.
+MOST_SEGMENTS = 8
 # Phrases are found by their first characters, shorter ones by all they have.
 GRAM = 8
-_SLICE, _PAIRS = 256, 1_000_000
-_DIRECT = 200_000
+# Scores are sums in no fixed order; bounds leave this much room.
+_SLACK = 1e-9
+# Marks of phrases among the terms; no token has them.
+_TAG, _TITLE = "\x01", "\x02"
+
+
+@dataclass(frozen=True)
+class Segment:
+    """``entries`` (metadata, ``toks`` and their ``counts``) and ``terms`` (tok, df),
+    both written."""
+
+    entries: DataFrame
+    terms: DataFrame
 
 
 @dataclass(frozen=True)
 class Index:
-    """``entries`` (metadata, norm, ``toks`` and their ``counts``), ``terms`` (tok,
-    df) and ``size``, a one-row table with the number of entries."""
+    """``entries`` (metadata, ``norm``, ``toks``, ``counts``), ``terms`` (tok, df),
+    ``size`` (a one-row table with the number of entries), ``blocks`` (tok, step, part,
+    top, postings), ``steps`` (tok, and of each step its top, postings and parts) and the
+    number of tags of the entry that has most."""
 
+    segments: tuple[Segment, ...]
     entries: DataFrame
     terms: DataFrame
     size: DataFrame
+    blocks: DataFrame
+    steps: DataFrame
+    most_tags: int
+
+
+def _body() -> Column:
+    return F.concat_ws(" ", "title", "text", F.array_join("tags", " "))
 
 
 def entry_terms(entries: DataFrame) -> DataFrame:
     """``ord, tok, c``: term counts of title, text and tags."""
-    body = F.concat_ws(" ", "title", "text", F.array_join("tags", " "))
-    return _counted(entries, "ord", body)
+    return _counted(entries, "ord", _body())
 
 
 def _counted(df: DataFrame, key: str, text: Column) -> DataFrame:
@@ -61,6 +108,34 @@ def _counted(df: DataFrame, key: str, text: Column) -> DataFrame:
     return tokens.groupBy(key, "tok").agg(F.count("*").alias("c"))
 
 
+def _row_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, lists of tokens, becomes lists of distinct ones and of their
+    counts. An entry's tokens are in its row, so this takes no shuffle."""
+    for batch in batches:
+        lists = batch.column(batch.num_columns - 1)
+        offsets = lists.offsets.to_numpy()
+        words = lists.flatten().dictionary_encode()
+        size = max(1, len(words.dictionary))
+        owner = np.repeat(np.arange(len(lists), dtype=np.int64), np.diff(offsets))
+        pair, count = np.unique(owner * size + words.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
+        ends = pa.array(np.searchsorted(pair, np.arange(len(lists) + 1) * size), pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:-1], pa.ListArray.from_arrays(ends, words.dictionary.take(pa.array(pair % size))),
+             pa.ListArray.from_arrays(ends, pa.array(count, pa.int64()))], names=[*batch.schema.names[:-1], "toks", "counts"])
+
+
+def build_segment(entries: DataFrame) -> Segment:
+    """Tokenise entries and write their term counts and document frequencies."""
+    rows = entries.select("ord", "id", "kind", "title", "tags", "tables", F.coalesce(tokenize(_body()), F.array()).alias("_t"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    known = cut_lineage(rows.mapInArrow(_row_counts, f"{schema}, toks array<string>, counts array<bigint>"))
+    return Segment(known, cut_lineage(known.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))))
+
+
+def _union(tables: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
 def _tf(count: Column) -> Column:
     return 1 + F.log(count.cast("double"))
 
@@ -69,33 +144,89 @@ def _idf(df: Column, n: Column) -> Column:
     return F.log((n + 1) / (df + 1)) + 1
 
 
-def build_index(entries: DataFrame, keep: bool = True) -> Index:
-    """Index of the entries. With ``keep`` postings, terms and norms are written to
-    shared storage once, since every search reads them."""
-    postings = entry_terms(entries)
-    if keep:
-        postings = cut_lineage(postings)
-    terms = postings.groupBy("tok").agg(F.count("*").alias("df"))
-    if keep:
-        terms = cut_lineage(terms)
-    size = entries.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
-    weighted = join_unique(postings, terms.withColumn("postings", F.col("df")), "tok", "postings")
-    weight = _tf(F.col("c")) * _idf(F.col("df"), size.scalar())
-    rows = weighted.withColumn("w", weight).groupBy("ord").agg(
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("tok", "c")).alias("t"))
-    known = entries.select("ord", "id", "kind", "title", "tags", "tables").join(rows, "ord", "left")
-    known = known.select("ord", "id", "kind", "title", "tags", "tables", F.coalesce("norm", F.lit(1.0)).alias("norm"),
-                         F.coalesce("t.tok", F.array().cast("array<string>")).alias("toks"),
-                         F.coalesce("t.c", F.array().cast("array<bigint>")).alias("counts"))
-    return Index(cut_lineage(known) if keep else known, terms, size)
-
-
-def extend_index(entries: DataFrame, more: DataFrame) -> DataFrame:
-    """Entries with others added behind them; index them again, since every
-    document frequency may change."""
-    last = entries.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("m")).scalar()
+def build_index(entries: DataFrame) -> Index:
+    """Index of the entries, written to shared storage since every search reads it."""
+    return assemble((build_segment(entries),))
+
+
+def extend_index(index: Index, more: DataFrame) -> Index:
+    """The index with entries added behind its own; only these are tokenised. Document
+    frequencies, and with them all weights, are put together anew from the counts."""
+    last = index.entries.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("m")).scalar()
     first = more.agg(F.min("ord").alias("m")).scalar()
-    return entries.unionByName(more.withColumn("ord", F.col("ord") - first + last + 1))
+    segments = (*index.segments, build_segment(more.withColumn("ord", F.col("ord") - first + last + 1)))
+    return assemble(segments if len(segments) <= MOST_SEGMENTS else (compact(segments),))
+
+
+def compact(segments: Sequence[Segment]) -> Segment:
+    """One segment with the counts of several."""
+    terms = _union([s.terms for s in segments]).groupBy("tok").agg(F.sum("df").alias("df"))
+    return Segment(cut_lineage(_union([s.entries for s in segments])), cut_lineage(terms))
+
+
+def frequencies(segments: Sequence[Segment]) -> tuple[DataFrame, DataFrame]:
+    """(tok, df) over all segments, and a one-row table with the number of entries."""
+    terms = segments[0].terms
+    if len(segments) > 1:
+        terms = cut_lineage(_union([s.terms for s in segments]).groupBy("tok").agg(F.sum("df").alias("df")))
+    return terms, _union([s.entries.select("ord") for s in segments]).agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
+
+
+def _weighted(entries: DataFrame, terms: DataFrame, size: DataFrame) -> DataFrame:
+    """``ord, tok, w, d``: weights and document frequencies. Written."""
+    postings = entries.select("ord", F.explode(F.arrays_zip("toks", "counts")).alias("p")).select(
+        "ord", F.col("p.toks").alias("tok"), F.col("p.counts").alias("c"))
+    weighted = join_unique(postings, terms.withColumn("postings", F.col("df")).withColumn("d", F.col("df")), "tok", "postings")
+    return cut_lineage(weighted.select("ord", "tok", (_tf(F.col("c")) * _idf(F.col("d"), size.scalar())).alias("w"), "d"))
+
+
+def _norms(weighted: DataFrame) -> DataFrame:
+    return cut_lineage(weighted.groupBy("ord").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")))
+
+
+def lengths(segments: Sequence[Segment]) -> DataFrame:
+    """``ord, norm`` of the entries; one without terms has length 1."""
+    entries = _union([s.entries for s in segments])
+    norms = _norms(_weighted(entries, *frequencies(segments)))
+    return entries.select("ord").join(norms, "ord", "left").select("ord", F.coalesce("norm", F.lit(1.0)).alias("norm"))
+
+
+def assemble(segments: Sequence[Segment]) -> Index:
+    """Frequencies, lengths and posting blocks over all segments, from their counts."""
+    entries, (terms, size) = _union([s.entries for s in segments]), frequencies(segments)
+    weighted = _weighted(entries, terms, size)
+    norms = _norms(weighted)
+    known = cut_lineage(entries.join(norms, "ord", "left").select(
+        "ord", "id", "kind", "title", "tags", "tables", F.coalesce("norm", F.lit(1.0)).alias("norm"), "toks", "counts"))
+    impacts = weighted.join(norms, "ord").select("tok", "ord", (F.col("w") / F.col("norm")).alias("impact"), "d")
+    many = F.col("d") > BLOCK_POSTINGS
+    blocks = _blocks(impacts.filter(~many).drop("d"), impacts.filter(many).drop("d").unionByName(_phrase_postings(entries)))
+    steps = blocks.groupBy("tok", "step").agg(F.max("top").alias("top"), F.sum(F.size("postings")).alias("n"),
+                                              F.max("parts").alias("parts"), F.count("*").alias("blocks"))
+    steps = cut_lineage(steps.groupBy("tok").agg(F.collect_list(F.struct("step", "top", "n", "parts", "blocks")).alias("steps")))
+    most_tags = known.agg(F.max(F.size(F.array_distinct(F.coalesce("tags", F.array().cast("array<string>")))))).first()[0] or 0
+    return Index(tuple(segments), known, terms, size, blocks, steps, most_tags)
+
+
+def _phrase_postings(entries: DataFrame) -> DataFrame:
+    """Tags and titles as postings."""
+    tags = entries.select("ord", F.explode("tags").alias("p"), F.lit(TAG_BOOST).alias("b"), F.lit(_TAG).alias("m"))
+    titles = entries.filter("title <> ''").select("ord", F.col("title").alias("p"), F.lit(TITLE_BOOST).alias("b"), F.lit(_TITLE).alias("m"))
+    rows = tags.unionByName(titles).filter("p IS NOT NULL").withColumn("tok", F.concat("m", F.lower("p")))
+    return rows.groupBy("tok", "ord").agg(F.sum("b").alias("impact"))
+
+
+def _blocks(few: DataFrame, many: DataFrame) -> DataFrame:
+    """Postings of terms that fit into a block, and of those that may not: these are
+    counted by step and dealt out over so many parts. A term with a large share of all
+    postings is split in the join by its counts, and many keys after it."""
+    step = F.greatest(F.lit(0), F.floor(-F.log2("impact") * STEPS)).cast("int")
+    many = many.withColumn("step", step)
+    counts = cut_lineage(many.groupBy("tok", "step").agg(F.ceil(F.count("*") / BLOCK_POSTINGS).cast("int").alias("parts")))
+    many = many.join(counts, ["tok", "step"]).withColumn("part", F.pmod(F.xxhash64("ord"), F.col("parts")).cast("int"))
+    few = few.withColumn("step", step).withColumn("parts", F.lit(1)).withColumn("part", F.lit(0))
+    return cut_lineage(few.unionByName(many, allowMissingColumns=True).groupBy("tok", "step", "part").agg(
+        F.max("parts").alias("parts"), F.max("impact").alias("top"), F.collect_list(F.struct("ord", "impact")).alias("postings")))
 
 
 def query_vectors(index: Index, queries: DataFrame) -> DataFrame:
@@ -134,131 +265,264 @@ def boosts(index: Index, queries: DataFrame) -> DataFrame:
 
 
 def _asked(index: Index, queries: DataFrame) -> DataFrame:
-    """One row per query that has tokens: its text and its weighted terms."""
-    terms = query_vectors(index, queries).groupBy("qid").agg(F.collect_list(F.when(
+    """One row per query that has tokens: its text, its terms with their weights, and
+    those terms and phrases that the index has, with their steps. Written."""
+    vectors = cut_lineage(query_vectors(index, queries))
+    found = vectors.filter("df IS NOT NULL").select("qid", "tok", "qw").unionByName(
+        boosts(index, queries).select("qid", F.concat(
+            F.when(F.col("boost") == TAG_BOOST, F.lit(_TAG)).otherwise(F.lit(_TITLE)), "phrase").alias("tok"),
+            F.lit(1.0).alias("qw")).distinct())
+    steps = found.join(index.steps, "tok").groupBy("qid").agg(F.collect_list(F.struct("tok", "qw", "steps")).alias("terms"))
+    words = vectors.groupBy("qid").agg(F.collect_list(F.when(
         F.col("df").isNotNull(), F.struct("tok", (F.col("qw") * F.col("idf")).alias("w")))).alias("t"))
-    rows = terms.join(queries.select("qid", F.lower("query").alias("q")), "qid")
-    return rows.select("qid", "q", F.col("t.tok").alias("toks"), F.col("t.w").alias("ws"))
-
-
-def _cell(k: int, entries: pd.DataFrame, queries: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query row, entry rows, scores): the best ``k`` hits of every query."""
-    vocabulary: dict[str, int] = {}
-    token, owner, weight = [], [], []
-    for i, (toks, ws) in enumerate(zip(queries["toks"], queries["ws"])):
-        token += [vocabulary.setdefault(t, len(vocabulary)) for t in toks]
-        owner += [i] * len(toks)
-        weight += list(ws)
-    token, owner, weight = np.array(token, np.int64), np.array(owner, np.int64), np.array(weight, float)
-    order = np.argsort(token, kind="stable")
-    token, owner, weight = token[order], owner[order], weight[order]
-    first = np.searchsorted(token, np.arange(len(vocabulary) + 1))
-    boost = _boosted(entries, queries["q"].tolist())
-    ord_, norm, m = entries["ord"].to_numpy(), entries["norm"].to_numpy(), len(queries)
-    best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * m
-    for low in range(0, len(entries), _SLICE):
-        part = entries.iloc[low:low + _SLICE]
-        score = np.zeros(len(part) * m)
-        found = [(i, vocabulary[t], c) for i, (toks, counts) in enumerate(zip(part["toks"], part["counts"]))
-                 for t, c in zip(toks, counts) if t in vocabulary]
-        row, term, count = (np.array(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
-        tf = 1 + np.log(np.maximum(count, 1))
-        many = first[term + 1] - first[term] if len(term) else term
-        ends = np.cumsum(many)
-        at = 0
-        while at < len(row):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PAIRS)))
-            n = many[at:to]
-            use = np.repeat(first[term[at:to]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            score += np.bincount(np.repeat(row[at:to], n) * m + owner[use], np.repeat(tf[at:to], n) * weight[use],
-                                 len(score))
-            at = to
-        score = score.reshape(len(part), m) / norm[low:low + _SLICE, None]
-        for i in range(len(part)):
-            for q, extra in boost.get(low + i, ()):
-                score[i, q] += extra
-        for q in range(m):
-            rows = np.flatnonzero(score[:, q] > 0)
-            if len(rows):
-                r, v = np.append(best[q][0], rows + low), np.append(best[q][1], score[rows, q])
-                top = np.lexsort((ord_[r], -np.round(v, 12)))[:k]
-                best[q] = r[top], v[top]
-    for q, (rows, values) in enumerate(best):
-        if len(rows):
-            yield q, rows, values
-
-
-def _boosted(entries: pd.DataFrame, texts: list[str]) -> dict[int, list[tuple[int, float]]]:
-    """Per entry row the queries that hold one of its phrases, with the boost."""
-    users: dict[str, list[tuple[int, float]]] = defaultdict(list)
-    for i, (title, tags) in enumerate(zip(entries["title"], entries["tags"])):
-        for tag in tags:
-            if tag is not None:
-                users[tag].append((i, TAG_BOOST))
-        if title:
-            users[title].append((i, TITLE_BOOST))
-    out: dict[int, list[tuple[int, float]]] = defaultdict(list)
-    for phrase, asking in _contained(list(users), texts):
-        for i, boost in users[phrase]:
-            out[i] += [(q, boost) for q in asking]
+    rows = words.join(steps, "qid").join(queries.select("qid", F.lower("query").alias("q")), "qid")
+    return cut_lineage(rows.select("qid", "q", F.col("t.tok").alias("toks"), F.col("t.w").alias("ws"), "terms"))
+
+
+def _promising(terms: list[dict], postings: int) -> list[tuple[str, int]]:
+    """The steps that promise most per posting, up to a number of postings."""
+    ranked = sorted((-t["qw"] * s["top"] / s["n"], t["tok"], s["step"], s["n"]) for t in terms for s in t["steps"])
+    out, read = [], 0
+    for _, tok, step, n in ranked:
+        if out and read + n > postings:
+            break
+        out.append((tok, step))
+        read += n
     return out
 
 
-def _contained(known: list[str], texts: list[str]) -> Iterator[tuple[str, list[int]]]:
-    """Phrases and the texts that contain them."""
-    if len(known) * len(texts) <= _DIRECT:
-        for phrase in known:
-            yield phrase, [i for i, t in enumerate(texts) if phrase in t]
-        return
-    by_gram: dict[str, list[str]] = defaultdict(list)
-    for phrase in known:
-        by_gram[phrase[:GRAM]].append(phrase)
-    lengths = {len(g) for g in by_gram}
-    out: dict[str, list[int]] = defaultdict(list)
-    for i, t in enumerate(texts):
-        grams = {t[p:p + n] for n in lengths for p in range(len(t) - n + 1)} & by_gram.keys()
-        for g in grams:
-            for phrase in by_gram[g]:
-                if phrase in t:
-                    out[phrase].append(i)
-    yield from out.items()
-
-
-def hits(index: Index, queries: DataFrame, k: int, kind: str | None = None,
-         tables: Sequence[str] | None = None) -> DataFrame:
-    """``qid, ord, score``: the best ``k`` hits of every query and cell, with a score
-    above 0. ``queries`` has ``qid`` and ``query``; a query without tokens has none.
-    ``kind`` keeps entries of that kind, ``tables`` those that share a table or have
-    none."""
+def most_boost(phrases_: list[dict], tags: int) -> float:
+    """The most that an entry of one title and so many tags can get."""
+    tops = {m: sorted((max(s["top"] for s in t["steps"]) for t in phrases_ if t["tok"][0] == m), reverse=True)
+            for m in (_TAG, _TITLE)}
+    return sum(tops[_TAG][:tags]) + sum(tops[_TITLE][:1])
+
+
+def _left_out(terms: list[dict], floor: float, tags: int) -> tuple[float, dict[tuple[str, int], float]]:
+    """What need not be read to find all that reaches the floor: (length of the whole
+    terms left out, the steps left out with the most that each can add). Of a term with
+    some steps left out only the best of them counts. Those go first, greedily, that
+    save most postings for the bound they use up."""
+    words = [t for t in terms if t["tok"][:1] not in (_TAG, _TITLE)]
+    phrases_ = [t for t in terms if t["tok"][:1] in (_TAG, _TITLE)]
+    # Room below the floor beside all boosts; without any, phrases have to be read.
+    boost = most_boost(phrases_, tags)
+    room = (floor - boost) * (1 - _SLACK) - _SLACK
+    if room <= 0:
+        return 0.0, {}
+    out = {(t["tok"], s["step"]): 0.0 for t in phrases_ for s in t["steps"]}
+    square, whole = 0.0, set()
+    for t in sorted(words, key=lambda t: -sum(s["n"] for s in t["steps"]) / max(t["qw"], 1e-150) ** 2):
+        if math.sqrt(square + t["qw"] ** 2) <= TERMS_OUT * room:
+            square += t["qw"] ** 2
+            whole.add(t["tok"])
+    out |= {(t["tok"], s["step"]): 0.0 for t in words if t["tok"] in whole for s in t["steps"]}
+    terms, used, room = [t for t in words if t["tok"] not in whole], math.sqrt(square), LEFT_OUT * room
+    heap = []
+
+    def offer(i: int, rows: list[dict], at: int, weight: float, now: float) -> None:
+        # The run of further steps with the best ratio.
+        best, saved = None, 0
+        for j in range(at, len(rows)):
+            saved += rows[j]["n"]
+            price = weight * rows[j]["top"] - now
+            if best is None or saved / max(price, 1e-300) > best[0]:
+                best = (saved / max(price, 1e-300), j + 1, price)
+        if best is not None:
+            heapq.heappush(heap, (-best[0], i, at, best[1], best[2], now))
+    sorted_terms = [(t["tok"], t["qw"], sorted(t["steps"], key=lambda s: s["top"])) for t in terms]
+    for i, (_, weight, rows) in enumerate(sorted_terms):
+        offer(i, rows, 0, weight, 0.0)
+    while heap:
+        _, i, at, to, price, now = heapq.heappop(heap)
+        tok, weight, rows = sorted_terms[i]
+        if used + price < room:
+            used += price
+            out |= {(tok, r["step"]): weight * r["top"] for r in rows[at:to]}
+            offer(i, rows, to, weight, now + price)
+        elif to > at + 1:  # a shorter run may fit
+            offer(i, rows[:to - 1], at, weight, now)
+    return math.sqrt(square), out
+
+
+_READS = pa.list_(pa.struct([("tok", pa.string()), ("qw", pa.float64()), ("step", pa.int32()), ("parts", pa.int32()),
+                             ("most", pa.float64())]))
+
+
+def _plan(first: int | None, tags: int):
+    """Per query what to read. The first time by promise, then by the floor."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = batch.column(batch.schema.get_field_index("terms")).to_pylist()
+            floors = [0.0] * len(terms) if first else batch.column(batch.schema.get_field_index("floor")).to_pylist()
+            reads, left, rests, lengths, boosts_, known, kept = [], [], [], [], [], [], []
+            for own, floor in zip(terms, floors):
+                everything = [(t["tok"], t["qw"], s) for t in own for s in t["steps"]]
+                length, skipped = 0.0, {}
+                if first:
+                    chosen = set(_promising(own, first))
+                else:
+                    length, skipped = _left_out(own, floor, tags)
+                    chosen = {(t, s["step"]) for t, _, s in everything} - skipped.keys()
+                most: dict[str, float] = {}
+                for (t, _), bound in skipped.items():
+                    most[t] = max(most.get(t, 0.0), bound)
+                for rows, wanted in ((reads, True), (left, False)):
+                    rows.append([{"tok": t, "qw": w, "step": s["step"], "parts": s["parts"], "most": most.get(t, 0.0)}
+                                 for t, w, s in everything if ((t, s["step"]) in chosen) is wanted
+                                 and (wanted or t[:1] not in (_TAG, _TITLE))])
+                rests.append(sum(most.values()))
+                lengths.append(length)
+                boosts_.append(most_boost([t for t in own if t["tok"][:1] in (_TAG, _TITLE)], tags))
+                known.append(sum(s["blocks"] for *_, s in everything))
+                kept.append(sum(s["blocks"] for t, _, s in everything if (t, s["step"]) in chosen))
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array(floors, pa.float64()), pa.array(rests, pa.float64()),
+                pa.array(lengths, pa.float64()), pa.array(boosts_, pa.float64()), pa.array(known, pa.int64()),
+                pa.array(kept, pa.int64()), pa.array(reads, _READS), pa.array(left, _READS)],
+                names=["qid", "floor", "rest", "length", "boosts", "blocks", "blocks_read", "reads", "left"])
+    return run
+
+
+def _planned(index: Index, asked: DataFrame, first: int | None = None) -> DataFrame:
+    kind = asked.schema["qid"].dataType.simpleString()
+    reads = "array<struct<tok string, qw double, step int, parts int, most double>>"
+    columns = ["qid", "terms"] if first else ["qid", "terms", "floor"]
+    return asked.select(*columns).mapInArrow(_plan(first, index.most_tags), (
+        f"qid {kind}, floor double, rest double, length double, boosts double, blocks bigint, blocks_read bigint, "
+        f"reads {reads}, left {reads}"))
+
+
+def _postings(index: Index, reads: DataFrame) -> DataFrame:
+    """``qid, ord, phrase, qw, most, impact`` of the blocks in (qid, reads). A block meets
+    a query under its term, step and part, so a frequent term is many keys."""
+    asks = reads.select("qid", F.explode("reads").alias("r")).select(
+        "qid", F.col("r.tok").alias("tok"), F.col("r.step").alias("step"), F.col("r.qw").alias("qw"), F.col("r.most").alias("most"),
+        F.substring("r.tok", 1, 1).isin(_TAG, _TITLE).alias("phrase"),
+        F.explode(F.sequence(F.lit(0), F.col("r.parts") - 1)).alias("part"))
+    blocks = index.blocks.select("tok", "step", "part", "postings")
+    rows = asks.join(blocks, ["tok", "step", "part"]).select("qid", "phrase", "qw", "most", F.explode("postings").alias("p"))
+    return rows.select("qid", F.col("p.ord").alias("ord"), "phrase", "qw", "most", F.col("p.impact").alias("impact"))
+
+
+def _read(index: Index, reads: DataFrame) -> DataFrame:
+    """``qid, ord, part, square, seen, boost``: an entry's sum over the blocks read, their
+    share of its squared length, what the other blocks of the terms seen could have
+    added, and the boosts read."""
+    none, impact = F.lit(0.0), F.col("impact")
+    return _postings(index, reads).groupBy("qid", "ord").agg(
+        F.sum(F.when(F.col("phrase"), none).otherwise(F.col("qw") * impact)).alias("part"),
+        F.sum(F.when(F.col("phrase"), none).otherwise(impact * impact)).alias("square"), F.sum("most").alias("seen"),
+        F.sum(F.when(F.col("phrase"), impact).otherwise(none)).alias("boost"))
+
+
+def _within_reach(index: Index, asked: DataFrame, plan: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``qid, ord, part, own``: the pairs that may reach the floor, first with the most
+    that boosts can add, then with the entry's ``own``."""
+    known = plan.join(asked.select("qid", "q"), "qid").select("qid", "q", "floor", "rest", "length", "boosts")
+    reach = (F.col("part") + F.col("rest") - F.col("seen")
+             + F.col("length") * F.sqrt(F.greatest(F.lit(0.0), 1 + F.lit(_SLACK) - F.col("square"))))
+    need = F.col("floor") * (1 - _SLACK) - _SLACK
+    near = pairs.join(known, "qid").withColumn("reach", reach).filter(F.col("reach") + F.col("boosts") >= need)
+    entries = index.entries.select("ord", F.lower(F.coalesce("title", F.lit(""))).alias("title"), F.transform("tags", F.lower).alias("tags"))
+    own = (F.coalesce(F.size(F.filter("tags", lambda t: F.contains("q", t))), F.lit(0)) * TAG_BOOST
+           + F.when((F.col("title") != "") & F.contains("q", "title"), TITLE_BOOST).otherwise(0.0))
+    near = near.join(entries, "ord").withColumn("own", own)
+    return near.filter(F.col("reach") + F.col("own") >= need).select("qid", "ord", "part", "own")
+
+
+def _score_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole scores of (query, entry) rows."""
+    for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
+        col = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
+        scores = []
+        weights, last = {}, None
+        for qid, q, toks, ws, words, counts, norm, title, tags in zip(*[col[n] for n in (
+                "qid", "q", "toks", "ws", "words", "counts", "norm", "title", "tags")]):
+            if qid != last or not weights:
+                weights, last = dict(zip(toks, ws)), qid
+            s = sum((1 + math.log(c)) * weights[w] for w, c in zip(words, counts) if w in weights) / norm
+            s += sum(TAG_BOOST for t in tags or () if t is not None and t in q)
+            scores.append(s + (TITLE_BOOST if title and title in q else 0.0))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())],
+                                         names=["qid", "ord", "score"])
+
+
+def _scored(index: Index, asked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``qid, ord, score`` of pairs, in full."""
+    entries = index.entries.select("ord", F.col("toks").alias("words"), "counts", "norm",
+                                   F.lower(F.coalesce("title", F.lit(""))).alias("title"), F.transform("tags", F.lower).alias("tags"))
+    rows = pairs.select("qid", "ord").join(entries, "ord").join(asked.select("qid", "q", "toks", "ws"), "qid")
+    kinds = pairs.schema["qid"].dataType.simpleString(), pairs.schema["ord"].dataType.simpleString()
+    return rows.select("qid", "ord", "q", "toks", "ws", "words", "counts", "norm", "title", "tags").mapInArrow(
+        _score_pairs, f"qid {kinds[0]}, ord {kinds[1]}, score double")
+
+
+def _best(scored: DataFrame, k: int, by: Column) -> DataFrame:
+    order = Window.partitionBy("qid").orderBy(by.desc(), F.asc("ord"))
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _allowed(index: Index, kind: str | None, tables: Sequence[str] | None) -> DataFrame | None:
+    """The entries of a kind that share a table with the ones named, or have none."""
+    if not kind and not tables:
+        return None
     entries = index.entries
     if kind:
         entries = entries.filter(F.col("kind") == kind)
     if tables:
-        wanted = F.array(*[F.lit(t) for t in tables])
-        entries = entries.filter((F.size("tables") == 0) | F.arrays_overlap("tables", wanted))
-    chars = queries.agg(F.sum(F.length("query"))).first()[0] or 0
-    blocks, chunks = -(-chars // BLOCK_CHARS) or 1, -(-entries.count() // CHUNK_ENTRIES) or 1
-    zero = F.lit(0).cast("bigint")
-    left = entries.select(
-        F.explode(F.sequence(zero, F.lit(blocks - 1).cast("bigint"))).alias("block"),
-        F.pmod(F.xxhash64("ord"), F.lit(chunks).cast("bigint")).alias("chunk"), "ord", "norm", "toks", "counts",
-        F.lower(F.coalesce("title", F.lit(""))).alias("title"), F.transform("tags", F.lower).alias("tags"))
-    right = _asked(index, queries).select(
-        F.pmod(F.xxhash64("qid"), F.lit(blocks).cast("bigint")).alias("block"),
-        F.explode(F.sequence(zero, F.lit(chunks - 1).cast("bigint"))).alias("chunk"), "qid", "q", "toks", "ws")
-    qid, place = queries.schema["qid"].dataType, index.entries.schema["ord"].dataType
-    schema = f"qid {qid.simpleString()}, ord {place.simpleString()}, score double"
-
-    def run(e: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        found = list(_cell(k, e, q)) if len(e) and len(q) else []
-        if not found:
-            return pd.DataFrame({"qid": q["qid"][:0], "ord": e["ord"][:0], "score": np.zeros(0)})
-        return pd.DataFrame({
-            "qid": np.concatenate([np.repeat(q["qid"].to_numpy()[i], len(r)) for i, r, _ in found]),
-            "ord": np.concatenate([e["ord"].to_numpy()[r] for _, r, _ in found]),
-            "score": np.concatenate([v for *_, v in found])})
-    key = ["block", "chunk"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(run, schema)
+        entries = entries.filter((F.size("tables") == 0) | F.arrays_overlap("tables", F.array(*[F.lit(t) for t in tables])))
+    return entries.select("ord")
+
+
+def _only(pairs: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    return pairs if allowed is None else pairs.join(allowed, "ord", "left_semi")
+
+
+def search_plan(index: Index, asked: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+    """Per query its ``floor``, the ``blocks`` of its terms, ``blocks_read`` of them and
+    what the others may add (``rest``). Written."""
+    share = 1.0
+    if allowed is not None:
+        share = max(1, allowed.count()) / index.size.first()[0]
+    first = _best(_only(_read(index, _planned(index, asked, math.ceil(FIRST_POSTINGS * k / share))), allowed), FIRST_SCORED * k, F.col("part") + F.col("boost"))
+    scored = _best(_scored(index, asked, cut_lineage(first)), k, F.col("score"))
+    floors = scored.groupBy("qid").agg(F.count("*").alias("n"), F.min("score").alias("low"))
+    floors = floors.select("qid", F.when(F.col("n") == k, F.col("low")).alias("floor"))
+    known = asked.join(floors, "qid", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+    return cut_lineage(_planned(index, known))
+
+
+def hits(index: Index, queries: DataFrame, k: int, kind: str | None = None,
+         tables: Sequence[str] | None = None) -> DataFrame:
+    """``qid, ord, score``: all that the best ``k`` hits of every query are among, with
+    a score above 0. ``queries`` has ``qid`` and ``query``; a query without tokens has
+    none. ``kind`` keeps entries of that kind, ``tables`` those that share a table or
+    have none."""
+    asked, allowed = _asked(index, queries), _allowed(index, kind, tables)
+    if (asked.agg(F.sum(_postings_of("terms"))).first()[0] or 0) > PLAN_POSTINGS:
+        scored = _pruned(index, asked, k, allowed)
+    else:
+        everything = F.flatten(F.transform("terms", lambda t: F.transform(t["steps"], lambda s: F.struct(
+            t["tok"].alias("tok"), t["qw"].alias("qw"), s["step"].alias("step"), s["parts"].alias("parts"), F.lit(0.0).alias("most")))))
+        pairs = _only(_read(index, asked.select("qid", everything.alias("reads"))), allowed)
+        scored = pairs.select("qid", "ord", (F.col("part") + F.col("boost")).alias("score"))
+    return scored.filter("score > 0")
+
+
+def _postings_of(terms: str) -> Column:
+    sizes = F.flatten(F.transform(terms, lambda t: F.transform(t["steps"], lambda s: s["n"])))
+    return F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, n: a + n)
+
+
+def _pruned(index: Index, asked: DataFrame, k: int, allowed: DataFrame | None) -> DataFrame:
+    """``qid, ord, score`` of all that the best hits are among, by the floor."""
+    plan = search_plan(index, asked, k, allowed)
+    near = cut_lineage(_within_reach(index, asked, plan, _only(_read(index, plan), allowed)))
+    others = _postings(index, plan.select("qid", F.col("left").alias("reads"))).join(near.select("qid", "ord"), ["qid", "ord"])
+    others = others.groupBy("qid", "ord").agg(F.sum(F.col("qw") * F.col("impact")).alias("more"))
+    return near.join(others, ["qid", "ord"], "left").select(
+        "qid", "ord", (F.col("part") + F.coalesce("more", F.lit(0.0)) + F.col("own")).alias("score"))
 
 
 def clamp_k(k: int | None) -> int:
@@ -269,11 +533,9 @@ def clamp_k(k: int | None) -> int:
 def search(index: Index, queries: DataFrame, top_k: int = 3, kind: str | None = None,
            tables: Sequence[str] | None = None) -> DataFrame:
     """The ``top_k`` hits per query by score, equal scores in insertion order
-    (equal to 12 decimals: the order of a sum is not fixed). Cells hand on ``top_k``
-    rows per query, and the limit is applied again before the only shuffle of them."""
-    order = Window.partitionBy("qid").orderBy(F.round("score", 12).desc(), F.asc("ord"))
-    best = hits(index, queries, top_k, kind, tables).withColumn("rank", F.row_number().over(order))
-    best = best.filter(F.col("rank") <= top_k)
+    (equal to 12 decimals: the order of a sum is not fixed). The limit is applied
+    before scores are shuffled."""
+    best = _best(hits(index, queries, top_k, kind, tables), top_k, F.round("score", 12))
     return best.join(index.entries.select("ord", "id", "kind", "title"), "ord").select(
         "qid", "ord", "id", "kind", "title", "score", "rank")
 

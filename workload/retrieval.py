@@ -30,12 +30,12 @@ def term_frequencies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def idf(spark: SparkSession, sf: str) -> DataFrame:
-    x = _index(spark, sf)
-    return x.terms.select("tok", "df", I._idf(F.col("df"), x.size.scalar()).alias("idf"))
+    terms, size = I.frequencies((I.build_segment(document_entries(spark, sf)),))
+    return terms.select("tok", "df", I._idf(F.col("df"), size.scalar()).alias("idf"))
 
 
 def norms(spark: SparkSession, sf: str) -> DataFrame:
-    return _index(spark, sf).entries.select("ord", "norm")
+    return I.lengths((I.build_segment(document_entries(spark, sf)),))
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -60,8 +60,7 @@ def extended(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("relation").alias("kind"), F.lit("").alias("title"), F.col("html").alias("text"),
         F.array().cast("array<string>").alias("tags"), F.array().cast("array<string>").alias("tables"),
         F.col("page_id").alias("ord"))
-    both = I.extend_index(document_entries(spark, sf), p)
-    return _shown(I.search(I.build_index(both), _queries(spark, sf), 5))
+    return _shown(I.search(I.extend_index(_index(spark, sf), p), _queries(spark, sf), 5))
 
 
 QUERIES = {
