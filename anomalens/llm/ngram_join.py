@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from anomalens.llm import buffers
 from anomalens.llm.common import packed, text_of, unpacked
@@ -44,7 +44,7 @@ FRAGMENT_NGRAMS, GROUP_DOCS, FRAGMENTS = 500_000, 1000, 8
 # Keys of candidates are broadcast up to this many, beyond it Spark joins.
 BROADCAST_KEYS = 2_000_000
 ROUNDS = 3
-_BLOCK, _MANY = 8192, 0x3FFF
+_BLOCK, _MANY = 4096, 0x3FFF
 _HALF = np.uint64(1 << 63)
 _MASK = np.uint64(_MANY)
 # Words of 64 places in the parity bitmap of a set.
@@ -65,6 +65,10 @@ def _edges(parts: int, span: int) -> np.ndarray:
     return np.array([span * i // parts for i in range(1, parts)], np.uint64)
 
 
+def _digest(text: str) -> Column:
+    return F.unhex(F.md5(text_of(text).cast("binary")))
+
+
 def components(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH,
                percent: int = PERCENT) -> DataFrame:
     """One row per document: the key, ``n_shingles`` and ``component_id`` (smallest
@@ -78,19 +82,20 @@ def drop_linked(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
     """The documents without those that have a smaller key in their component."""
     found = _components(docs, text, key, width, percent)
     gone = found.filter(~F.col("first")).select(F.col("id").alias("_i"), F.col("key").alias("_k")).distinct()
-    rows = packed(docs, i=F.col(key), k=F.md5(text_of(text).cast("binary")))
+    rows = packed(docs, i=F.col(key), k=_digest(text))
     rows = rows.join(gone, F.col("i").eqNullSafe(F.col("_i")) & (F.col("k") == F.col("_k")), "left_anti")
     return unpacked(rows)
 
 
 def _components(docs: DataFrame, text: str, key: str, width: int, percent: int) -> DataFrame:
-    rows = docs.select(F.col(key).alias("id"), F.md5(text_of(text).cast("binary")).alias("key"),
+    rows = docs.select(F.col(key).alias("id"), _digest(text).alias("key"),
                        text_of(text).alias("text"))
     sized = _possible(rows, width, percent)
     sets = _sets(rows, sized, width)
-    labels = _labels(sets.select("sid", "n", "grams").dropDuplicates(["sid"]), percent)
-    members = sets.select("key", "sid").join(labels, "sid", "left").select(
-        "key", F.coalesce("label", "sid").alias("label"))
+    numbers = _numbered(sets)
+    labels = _labels(sets.select("key", "grams").join(numbers.select("key", "sid", "n"), "key").drop("key"), numbers, percent)
+    named = numbers.join(labels, "sid", "left").select("digest", F.coalesce("label", "sid").alias("label"))
+    members = sets.select("key", "digest").join(named, "digest").select("key", "label")
     named = sized.filter("n > 0").join(members, "key")
     least = named.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("least"))
     least = members.join(least, "label").select("key", "least")
@@ -107,7 +112,7 @@ def _possible(rows: DataFrame, width: int, percent: int) -> DataFrame:
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"bucket int, block bigint, words binary, ids array<{kind}>, keys array<string>, n array<bigint>, need array<bigint>"
+    schema = f"bucket int, block bigint, words binary, ids array<{kind}>, keys array<binary>, n array<bigint>, need array<bigint>"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -184,12 +189,12 @@ def _possible(rows: DataFrame, width: int, percent: int) -> DataFrame:
 
     sent = rows.mapInArrow(send, schema)
     back = sent.groupBy("bucket").applyInArrow(count, schema)
-    return cut_lineage(back.groupBy("block").applyInArrow(settle, f"id {kind}, key string, n bigint, maybe boolean"))
+    return cut_lineage(back.groupBy("block").applyInArrow(settle, f"id {kind}, key binary, n bigint, maybe boolean"))
 
 
 def _sets(rows: DataFrame, sized: DataFrame, width: int) -> DataFrame:
-    """(key, sid, n, grams) of the distinct texts that may link; equal sets have one
-    ``sid``. Written."""
+    """(key, digest, n, grams) of the distinct texts that may link; equal sets have one
+    ``digest``. Written."""
     keys = sized.filter("maybe").select("key").distinct()
     if keys.count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
@@ -204,14 +209,20 @@ def _sets(rows: DataFrame, sized: DataFrame, width: int) -> DataFrame:
                     pa.array([_blob(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())],
                     names=["key", "n", "grams"])
 
-    sets = few.mapInArrow(run, "key string, n bigint, grams binary")
-    # 120 bits of a digest name a set; they are spread evenly, so any order of them is as good as another.
-    return cut_lineage(sets.withColumn("sid", F.md5("grams")))
+    sets = few.mapInArrow(run, "key binary, n bigint, grams binary")
+    return cut_lineage(sets.withColumn("digest", F.unhex(F.md5("grams"))))
+
+
+def _numbered(sets: DataFrame) -> DataFrame:
+    """(sid, digest, key, n): a number for every distinct set, with one of its texts.
+    Rounds carry eight bytes for a set and for a label. Written, so that the numbers stay."""
+    one = sets.groupBy("digest").agg(F.min(F.struct("key", "n")).alias("one"))
+    return cut_lineage(one.select(F.monotonically_increasing_id().alias("sid"), "digest", "one.key", "one.n"))
 
 
-def _labels(sets: DataFrame, percent: int) -> DataFrame:
+def _labels(sets: DataFrame, numbers: DataFrame, percent: int) -> DataFrame:
     """(sid, label) of the sets that link with another one."""
-    ordered = _ordered(sets, percent)
+    ordered = _ordered(sets, numbers, percent)
     posts = ordered.select("sid", "n", "s", F.explode("prefix").alias("g"))
     shared = posts.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g")
     posts = cut_lineage(posts.join(shared, "g"))
@@ -296,18 +307,18 @@ def _relabel(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
     return posts.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
 
 
-def _ordered(sets: DataFrame, percent: int) -> DataFrame:
+def _ordered(sets: DataFrame, numbers: DataFrame, percent: int) -> DataFrame:
     """(sid, n, s, marks, prefix, grams): the ``s`` n-grams that occur in two sets at least, in
     the global order, their parity bitmap, and the part of the prefix among them. Sets without one cannot link and
     are left out. Written."""
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    fragments = max(1, -(-total // FRAGMENT_NGRAMS))
-    groups = max(1, -(-sets.count() // GROUP_DOCS))
-    schema = "f int, g int, sids array<string>, n array<bigint>, many array<bigint>, grams binary, ranks binary"
+    total, count = numbers.agg(F.sum("n"), F.count("*")).first()
+    fragments = max(1, -(-(total or 0) // FRAGMENT_NGRAMS))
+    groups = max(1, -(-count // GROUP_DOCS))
+    schema = "f int, g int, sids array<bigint>, n array<bigint>, many array<bigint>, grams binary, ranks binary"
 
     def pack_rows(f, g, sids, n, many, grams, ranks) -> pa.RecordBatch:
         return pa.record_batch([
-            pa.array(f, pa.int32()), pa.array(g, pa.int32()), pa.array(sids, pa.list_(pa.string())),
+            pa.array(f, pa.int32()), pa.array(g, pa.int32()), pa.array(sids, pa.list_(pa.int64())),
             pa.array(n, pa.list_(pa.int64())), pa.array(many, pa.list_(pa.int64())), pa.array(grams, pa.binary()),
             pa.array(ranks, pa.binary())], names=["f", "g", "sids", "n", "many", "grams", "ranks"])
 
@@ -380,7 +391,7 @@ def _ordered(sets: DataFrame, percent: int) -> DataFrame:
                 marks = np.packbits(odd.astype(np.uint8)).view(np.int64)
                 for c, v in zip(out, (sid, n, len(own), marks, own[:long].view(np.int64), _blob(np.sort(own)))):
                     out[c].append(v)
-        return pa.table({"sid": pa.array(out["sid"], pa.string()), "n": pa.array(out["n"], pa.int64()),
+        return pa.table({"sid": pa.array(out["sid"], pa.int64()), "n": pa.array(out["n"], pa.int64()),
                          "s": pa.array(out["s"], pa.int64()),
                          "marks": pa.array(out["marks"], pa.list_(pa.int64())), "prefix": pa.array(out["prefix"], pa.list_(pa.int64())),
                          "grams": pa.array(out["grams"], pa.binary())})
@@ -388,7 +399,7 @@ def _ordered(sets: DataFrame, percent: int) -> DataFrame:
     tagged = sets.select("sid", "n", "grams", F.pmod(F.xxhash64("sid"), F.lit(groups)).cast("int").alias("g"))
     parts = tagged.mapInArrow(cut, schema).groupBy("f").applyInArrow(rank, schema)
     return cut_lineage(parts.groupBy("g").applyInArrow(
-        gather, "sid string, n bigint, s bigint, marks array<bigint>, prefix array<bigint>, grams binary"))
+        gather, "sid bigint, n bigint, s bigint, marks array<bigint>, prefix array<bigint>, grams binary"))
 
 
 def _linked(pairs: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
@@ -406,7 +417,7 @@ def _linked(pairs: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
                     n.append(m)
                     f.append(i)
                     part.append(_blob(grams[ends[i]:ends[i + 1]]))
-            yield pa.record_batch([pa.array(sid, pa.string()), pa.array(n, pa.int64()), pa.array(f, pa.int32()),
+            yield pa.record_batch([pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(f, pa.int32()),
                                    pa.array(part, pa.binary())], names=["sid", "n", "f", "part"])
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -426,11 +437,11 @@ def _linked(pairs: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
                 yield pa.record_batch([*[batch.column(i) for i in range(4)], pa.array(common)],
                                       names=["a", "b", "n", "m", "common"])
 
-    parts = ordered.select("sid", "n", "grams").mapInArrow(cut, "sid string, n bigint, f int, part binary")
+    parts = ordered.select("sid", "n", "grams").mapInArrow(cut, "sid bigint, n bigint, f int, part binary")
     left = parts.select(F.col("sid").alias("a"), "n", "f", F.col("part").alias("x"))
     right = parts.select(F.col("sid").alias("b"), F.col("n").alias("m"), "f", F.col("part").alias("y"))
     joined = pairs.join(left, "a").join(right, ["b", "f"]).select("a", "b", "n", "m", "x", "y")
-    counted = joined.mapInArrow(overlap, "a string, b string, n bigint, m bigint, common bigint").groupBy(
+    counted = joined.mapInArrow(overlap, "a bigint, b bigint, n bigint, m bigint, common bigint").groupBy(
         "a", "b", "n", "m").agg(F.sum("common").alias("c"))
     return counted.filter(100 * F.col("c") >= percent * (F.col("n") + F.col("m") - F.col("c"))).select("a", "b")
 
