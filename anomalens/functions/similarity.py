@@ -125,6 +125,14 @@ class _Near:
         return int((1.0 - self._t) * (a + b) + 1e-6)
 
     def add(self, text: str) -> None:
+        self._texts.append(text)
+        if len(self._texts) == self._FEW + 1:  # few texts are not looked up, so not cut
+            for i, t in enumerate(self._texts):
+                self._index(i, t)
+        elif len(self._texts) > self._FEW:
+            self._index(len(self._texts) - 1, text)
+
+    def _index(self, place: int, text: str) -> None:
         n = len(text)
         if n not in self._lengths:
             longest = int(n * (2.0 - self._t) / self._t) + 1
@@ -133,8 +141,7 @@ class _Near:
             self._lengths[n] = parts, cuts, [{} for _ in range(parts)]
         _, cuts, segments = self._lengths[n]
         for i, found in enumerate(segments):
-            found.setdefault(text[cuts[i]:cuts[i + 1]], []).append(len(self._texts))
-        self._texts.append(text)
+            found.setdefault(text[cuts[i]:cuts[i + 1]], []).append(place)
 
     def candidates(self, text: str):
         if len(self._texts) <= self._FEW:

@@ -84,11 +84,13 @@ def first_keyword(sql: Column, strict: bool = False) -> Column:
 
 
 def _first_hit(body: Column, words: Sequence[str], after: str) -> Column:
-    """First word of the list (in list order) that occurs; NULL if none does."""
-    any_word = body.rlike(rf"(?iU)\b(?:{'|'.join(literal(w) for w in words)}){after}")
-    hits = [F.when(body.rlike(rf"(?iU)\b{literal(w)}{after}"), F.lit(w)) for w in words]
-    # One pass over the text answers the common case (no hit) for the whole list.
-    return F.when(any_word, F.coalesce(*hits))
+    """First word of the list (in list order) that occurs; NULL if none does. The text
+    is scanned once for all words; what is found is looked up in the list."""
+    found = F.regexp_extract_all(body, F.lit(rf"(?iU)\b({'|'.join(literal(w) for w in words)}){after}"), F.lit(1))
+    # The letters that equal ASCII ones when case is ignored become these.
+    plain = F.array(*[F.lit(w.lower()) for w in words])
+    places = F.transform(found, lambda w: F.array_position(plain, F.lower(F.upper(F.translate(w, "İ", "I")))))
+    return F.get(F.array(*[F.lit(w) for w in words]), F.array_min(places).cast("int") - 1)
 
 
 def keyword_hit(body: Column, words: Sequence[str] = FORBIDDEN_KEYWORDS) -> Column:

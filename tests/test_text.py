@@ -49,6 +49,16 @@ def test_verdicts(spark):
     assert got == {**VERDICTS, None: ("empty", None)}
 
 
+def test_first_word_of_the_list_in_one_scan(spark):
+    words = ["DROP", "COPY", "DELETE"]
+    texts = ["copy and drop", "x delete copy", "dropped copy_of", "ſ drop_ DELETE.", "", None, "COPİ copy", "délete"]
+    got = column(spark, texts, lambda c: S.keyword_hit(c, words))
+    assert got == ["DROP", "COPY", None, "DELETE", None, None, "COPY", None]
+    df = spark.createDataFrame([("x",)], "sql string").select(S.keyword_hit(F.col("sql"), words).alias("h"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("regexp_extract_all(") == 1 and "rlike" not in plan
+
+
 def test_strict_audit_sees_behind_a_literal(spark):
     df = spark.createDataFrame([("SELECT '--' ; DROP TABLE x",)], "sql string")
     assert Q.audit(df, strict=True).first().verdict == "multi_statement"
