@@ -53,6 +53,6 @@ def assign_shards(df: DataFrame, key: str = "doc_id", shards: int = 16, chunk_ro
         raise ValueError("there must be at least one shard")
     chunks = max(1, -(-df.count() // (shards * chunk_rows)))
     rows = packed(df, shard=shard_of(F.col(key), shards), grown=shard_of(F.col(key), shards + 1),
-                  h=F.xxhash64(F.to_json(F.struct(*df.columns))))
+                  h=F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
     rows = numbered(rows, ["shard"], F.pmod(F.xxhash64("h"), F.lit(chunks)), [F.col("h")], "slot")
     return unpacked(rows, shard=F.col("shard"), grown_shard=F.col("grown"), slot=F.col("slot"))
