@@ -169,3 +169,35 @@ def test_approximate_uniques_are_near(spark):
     df = spark.range(20_000).selectExpr("id", "id % 900 AS some")
     got = {r.column_name: r.approx_unique for r in P.summarize(df).collect()}
     assert abs(got["id"] - 20_000) < 2400 and abs(got["some"] - 900) < 110
+
+
+def test_quartiles_are_exact(spark, monkeypatch):
+    values = [float(x) for x in (5, -3, 7, 7, 1e300, -1e300, 2.5, 0.1, 1e-300, 3)] * 3
+    df = spark.createDataFrame([(i, v, None) for i, v in enumerate(values)], "n int, v double, none double")
+    odd = spark.createDataFrame([(x,) for x in (float("nan"), float("inf"), float("-inf"), 1.0, None)], "x double")
+    same = spark.createDataFrame([(-0.0,), (0.0,), (0.0,)], "z double")
+
+    def rank(xs, q):
+        return sorted(xs)[max(1, -(-len(xs) * q // 4)) - 1]
+
+    for rest in (0, 100_000):  # passes to the last value, or a few rows counted by value
+        monkeypatch.setattr(P.exact_ranks, "__defaults__", (5, rest))
+        got = {(r.table_name, r.column_name): (r.q25, r.q50, r.q75)
+               for r in P.summarize_tables({"d": df, "o": odd, "s": same}).collect()}
+        assert got["d", "v"] == tuple(rank(values, q) for q in (1, 2, 3))
+        assert got["d", "n"] == tuple(rank(range(30), q) for q in (1, 2, 3))
+        assert got["d", "none"] == (None, None, None)
+        assert got["o", "x"] == (float("-inf"), 1.0, float("inf"))
+        assert got["s", "z"] == (0.0, 0.0, 0.0)
+
+
+def test_profile_of_many_tables(spark):
+    a = spark.createDataFrame([(1, "x", [1.0]), (1, "y" * 100, [1.0]), (None, None, None)], "n int, `x.y` string, l array<double>")
+    b = spark.createDataFrame([(0.0, b"a"), (-0.0, b"b")], "f double, b binary")
+    got = {(r.table_name, r.column_name): (r.row_count, round(r.null_ratio, 3), r.distinct_count, len(r.sample_values))
+           for r in P.profile_tables({"a": a, "b": b}).collect()}
+    assert got == {("a", "n"): (3, 0.333, 1, 1), ("a", "x.y"): (3, 0.333, 2, 2), ("a", "l"): (3, 0.333, 1, 1),
+                   ("b", "f"): (2, 0.0, 1, 1), ("b", "b"): (2, 0.0, 2, 2)}
+    some = P.profile_tables({"a": a, "b": b}, max_distinct_scan=2).collect()
+    assert {(r.table_name, r.distinct_count) for r in some} == {("a", -1), ("b", 1), ("b", 2)}
+    assert P.profile_entries(P.listed_tables({"b": b})).first().text == "2 rows. Columns: f (double), b (binary)"

@@ -174,12 +174,19 @@ def profiled(spark: SparkSession, sf: str) -> DataFrame:
     return P.profile_tables(_all(spark, sf))
 
 
+def summary(spark: SparkSession, sf: str) -> DataFrame:
+    """All tables. Engines print floats of lists differently; those are left out."""
+    out = P.summarize_tables(_all(spark, sf)).drop("approx_unique")
+    plain = F.col("column_name") != "embedding"
+    return out.withColumns({c: F.when(plain, F.col(c)) for c in ("min", "max")})
+
+
 def _with_table(frames: dict[str, DataFrame]) -> DataFrame:
     return _union([df.withColumn("table_name", F.lit(n)) for n, df in frames.items()])
 
 
 def profile_entries(spark: SparkSession, sf: str) -> DataFrame:
-    e = P.profile_entries(profiled(spark, sf))
+    e = P.profile_entries(P.listed_tables(_all(spark, sf)))
     return e.select("id", "kind", "title", F.regexp_extract("text", r"^(\d+) rows", 1).alias("rows"),
                     F.array_join("tags", ",").alias("tags"), F.array_join("tables", ",").alias("tables"))
 
@@ -198,10 +205,11 @@ QUERIES = {
     "B3_schema_listing": schema_listing,
     "B4_row_count": lambda s, d: _with_table({n: P.row_count(df) for n, df in _all(s, d).items()}),
     "B5_null_ratio": lambda s, d: _with_table({n: P.null_ratios(df) for n, df in _all(s, d).items()}),
-    "B6_distinct_count": lambda s, d: _with_table({n: P.distinct_counts(df) for n, df in _all(s, d).items()}),
+    "B6_distinct_count": lambda s, d: P.profile_tables(_all(s, d), sample_n=0).select(
+        "table_name", "column_name", "distinct_count"),
     "B7_sample_values": lambda s, d: _shown(_with_table({n: P.samples(df) for n, df in _all(s, d).items()})),
     "B8_profile": lambda s, d: _shown(profiled(s, d).drop("data_type")),
-    "B9_summarize": lambda s, d: P.summarize(table(s, d, "lineitem"), accuracy=1_000_000).drop("approx_unique"),
+    "B9_summarize": summary,
     "B10_profile_entries": profile_entries,
 }
 
@@ -246,18 +254,21 @@ _EVENT_SQL = "SELECT event_id, user_id, event_type, value FROM events"
 _SCHEMA_SQL = ("FROM information_schema.columns WHERE table_name IN ("
                + ", ".join(f"'{n}'" for n in NAMES) + ")")
 
-_NO_NUMBER = ("l_returnflag", "l_linestatus", "l_shipdate")
+_NUMBERS = set("""c_custkey c_nationkey c_acctbal n_nationkey n_regionkey o_orderkey o_custkey o_totalprice p_partkey
+p_size p_retailprice r_regionkey s_suppkey s_nationkey s_acctbal doc_id quality toxic l_orderkey l_partkey l_suppkey
+l_linenumber l_quantity l_extendedprice l_discount l_tax event_id user_id value n_chars vec_id label page_id item_id
+conv_id turn""".split())
+_NO_NUMBERS = ", ".join(f"CAST(NULL AS DOUBLE) AS {n}" for n in ("avg", "std", "q25", "q50", "q75"))
+_QUARTILES = ", ".join(f"CAST(quantile_disc({{c}}, {q}) AS DOUBLE) AS {n}"
+                       for n, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)))
 _SUMMARIZE_SQL = "\nUNION ALL\n".join(
-    f"SELECT {i} AS ordinal, '{c}' AS column_name, CAST(min({c}) AS VARCHAR) AS min, "
-    f"CAST(max({c}) AS VARCHAR) AS max, "
-    + (f"CAST(avg({c}) AS DOUBLE) AS avg, stddev_samp({c}) AS std, CAST(quantile_disc({c}, 0.25) AS DOUBLE) AS q25, "
-       f"CAST(quantile_disc({c}, 0.5) AS DOUBLE) AS q50, CAST(quantile_disc({c}, 0.75) AS DOUBLE) AS q75, "
-       if c not in _NO_NUMBER else
-       "CAST(NULL AS DOUBLE) AS avg, CAST(NULL AS DOUBLE) AS std, CAST(NULL AS DOUBLE) AS q25, "
-       "CAST(NULL AS DOUBLE) AS q50, CAST(NULL AS DOUBLE) AS q75, ")
-    + f"count(*) AS row_count, 100.0 * count(*) FILTER ({c} IS NULL) / count(*) AS null_percentage "
-      "FROM lineitem"
-    for i, c in enumerate(_COLUMNS["lineitem"].split()))
+    f"SELECT '{t}' AS table_name, {i} AS ordinal, '{c}' AS column_name, "
+    + ", ".join("CAST(NULL AS VARCHAR) AS " + f if c == "embedding" else f"CAST({f}({c}) AS VARCHAR) AS {f}"
+                for f in ("min", "max")) + ", "
+    + (f"CAST(avg({c}) AS DOUBLE) AS avg, stddev_samp({c}) AS std, {_QUARTILES.format(c=c)}, "
+       if c in _NUMBERS else f"{_NO_NUMBERS}, ")
+    + f"count(*) AS row_count, 100.0 * count(*) FILTER ({c} IS NULL) / count(*) AS null_percentage FROM {t}"
+    for t in NAMES for i, c in enumerate(_COLUMNS[t].split()))
 _VALUES_SQL = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, '{c}' AS column_name, count({c}) AS n_values FROM {t}"
     for t in NAMES for c in _COLUMNS[t].split())
