@@ -3,8 +3,10 @@
 The documents of each source are counted by exact length. A source takes whole
 passes over its documents as often as the target allows; of the rest every length
 gives its share, and a bounded knapsack over the lengths (reachable sums as the bits
-of one integer) closes what remains to the word where the lengths permit. Within a
-length a seeded hash says which documents are taken.
+of one integer) closes what remains. Where that misses the target, shares are taken
+back step by step, up to ``KNAPSACK_WORDS`` words, and given to the knapsack: a rest of
+at most that many words is closed by the nearest sum there is, a larger one by the
+nearest sum found. Within a length a seeded hash says which documents are taken.
 
 Defined cases: a null text has no words, documents without words are never taken;
 null is a source of its own, last in order; a source none of whose lengths fits its
@@ -15,6 +17,7 @@ result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -26,7 +29,7 @@ from anomalens.plans.storage import cut_lineage
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
-# Words that the knapsack closes; shares and whole documents bring the rest below it.
+# Words that the knapsack closes; shares and whole documents bring a larger rest below it.
 KNAPSACK_WORDS = 65_536
 CHUNK_ROWS = 20_000
 
@@ -59,32 +62,46 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, target: float, max_repe
     if total == 0:
         return 0, extra
     passes = min(max_repeats, int(target // total))
-    rest = round(target - passes * total)
-    if passes == max_repeats or rest <= 0:
+    exact = target - passes * total
+    if passes == max_repeats or round(exact) <= 0:
         return passes, extra
-    extra = np.floor(counts * (rest / total)).astype(np.int64)
+    best = None
+    for back in (0, window // 64, window // 8, window):
+        extra = _fit(lengths, counts, exact, max(0.0, exact - back) / total, window)
+        error = abs(int((lengths * extra).sum()) - exact)
+        if best is None or error < best[0]:
+            best = error, extra
+        if error <= 0.5 or back >= exact:
+            break
+    return passes, best[1]
+
+
+def _fit(lengths: np.ndarray, counts: np.ndarray, exact: float, share: float, window: int) -> np.ndarray:
+    """``share`` of the documents of each length, and the knapsack for the rest."""
+    extra = np.minimum(np.floor(counts * share).astype(np.int64), counts)
     extra[lengths == 0] = 0
-    rest -= int((lengths * extra).sum())
+    rest = exact - int((lengths * extra).sum())
     for i in np.argsort(-lengths, kind="stable"):
         if rest > window and 0 < lengths[i] <= rest:
-            more = min(int(counts[i] - extra[i]), max(0, -(-(rest - window) // int(lengths[i]))))
-            more = min(more, rest // int(lengths[i]))
+            more = min(int(counts[i] - extra[i]), max(0, math.ceil((rest - window) / int(lengths[i]))))
+            more = min(more, int(rest // int(lengths[i])))
             extra[i] += more
             rest -= more * int(lengths[i])
-    return passes, extra + _knapsack(lengths, counts - extra, rest, window)
+    return extra + _knapsack(lengths, counts - extra, rest, window)
 
 
-def _knapsack(lengths: np.ndarray, left: np.ndarray, rest: int, window: int) -> np.ndarray:
-    """The documents whose lengths sum up nearest to ``rest``."""
+def _knapsack(lengths: np.ndarray, left: np.ndarray, exact: float, window: int) -> np.ndarray:
+    """The documents whose lengths sum up nearest to ``exact``; of two the lesser sum."""
     chosen = np.zeros(len(lengths), np.int64)
+    rest = max(0, round(exact))
     steps: list[tuple[int, int, int]] = []  # length index, documents, sums reachable before
-    reach, limit = 1, (1 << (2 * window + 1)) - 1
+    reach, limit = 1, (1 << (2 * rest + 1)) - 1  # a sum beyond twice the rest is no nearer than none
     if rest <= window:
         for i in np.argsort(lengths, kind="stable"):
             size, many, lot = int(lengths[i]), int(left[i]), 1
-            if size == 0 or size > 2 * window:
+            if size == 0 or size > 2 * rest:
                 continue
-            many = min(many, 2 * window // size)
+            many = min(many, 2 * rest // size)
             while many and not reach >> rest & 1:
                 take = min(lot, many)
                 steps.append((i, take, reach))
@@ -95,11 +112,10 @@ def _knapsack(lengths: np.ndarray, left: np.ndarray, rest: int, window: int) ->
     below = (reach & ((2 << rest) - 1)).bit_length() - 1
     above = reach >> rest
     above = rest + (above & -above).bit_length() - 1 if above else None
-    goal = above if above is not None and above - rest < rest - below else below
-    # One document beyond the window may be nearer than all of these.
-    single = [(abs(int(n) - rest), i) for i, n in enumerate(lengths) if left[i] > 0 and n > 2 * window or
-              left[i] > 0 and n > 0 and rest > window]
-    if single and min(single)[0] < abs(goal - rest):
+    goal = above if above is not None and above - exact < exact - below else below
+    # Beyond the window one document may be nearer than none.
+    single = [(abs(int(n) - exact), i) for i, n in enumerate(lengths) if rest > window and left[i] > 0 and n > 0]
+    if single and min(single)[0] < abs(goal - exact):
         chosen[min(single)[1]] = 1
         return chosen
     for i, take, before in reversed(steps):

@@ -40,6 +40,28 @@ def test_lengths_fit_exactly_where_they_can():
     assert extra.tolist() == [1]
 
 
+def test_lengths_give_the_nearest_sum():
+    r = random.Random(9)
+    for _ in range(400):
+        n = np.array(sorted(r.sample(range(0, 70), r.randint(1, 5))))
+        c = np.array([r.randint(1, 4) for _ in n])
+        total = int((n * c).sum())
+        target = r.uniform(0, 3 * total)
+        sums = {0}
+        for size, many in zip(n, c):
+            sums = {s + int(size) * k for s in sums for k in range(many + 1)}
+        passes, extra = mixing.fit_lengths(n, c, target)
+        assert (extra >= 0).all() and (extra <= c).all()
+        got = passes * total + int((n * extra).sum())
+        want = min(abs(p * total + s - target) for p in range(3) for s in sums)
+        assert abs(abs(got - target) - want) < 1e-9
+    # Two lengths, many documents: only giving back documents of one reaches the target.
+    n, c = np.array([9, 55]), np.array([10 ** 6, 10 ** 6])
+    for target in (30_000_001, 31_234_567, 60_000_007):
+        passes, extra = mixing.fit_lengths(n, c, float(target))
+        assert passes * int((n * c).sum()) + int((n * extra).sum()) == target
+
+
 @pytest.mark.parametrize("chunk", [3, 20_000])
 def test_mix(docs, chunk):
     got = mixing.mix(docs, chunk_rows=chunk)
