@@ -198,26 +198,31 @@ def attribution(df: DataFrame, dimensions: Sequence[str], date_column: str, meas
                 base: str, current: str, ranked: bool = True) -> DataFrame:
     """Every member of every candidate dimension with base, current, change,
     contribution to the change of the total, and rank within its dimension."""
-    both, sums = two_periods(df, date_column, measure, base, current)
-    return members_of(both.groupBy(*dimensions).agg(*sums), {d: d for d in dimensions}, ranked)
+    rows = df.filter(in_months(df, date_column, [base, current])).select(
+        *[F.col(d).alias(f"d{i}") for i, d in enumerate(dimensions)],
+        *[F.when(in_month(df, date_column, m), measure).alias(n)
+          for n, m in (("base_value", base), ("current_value", current))])
+    return members_of(rows, {d: f"d{i}" for i, d in enumerate(dimensions)}, ranked)
 
 
 def members_of(summed: DataFrame, dimensions: Mapping[str, str], ranked: bool = True) -> DataFrame:
     """``attribution`` over rows that already carry ``base_value`` and
     ``current_value``; ``dimensions`` maps the reported name to the column.
 
-    The rows are summed to the combinations of all dimensions, then spread to
-    (dimension, member) pairs. Both steps combine map-side, so the shuffles carry
-    members, not rows.
+    Grouping sets: each task sums its rows to the members of each dimension, so the
+    shuffle carries members, also where the dimensions have many combinations.
     """
-    cells = summed.groupBy(*dimensions.values()).agg(
-        F.sum("base_value").alias("base_value"), F.sum("current_value").alias("current_value"))
-    pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(c).cast("string").alias("member"))
-                      for d, c in dimensions.items()])
-    members = (cells.select(F.inline(pairs), "base_value", "current_value")
-               .groupBy("dimension", "member")
-               .agg(F.sum("base_value").alias("base_value"),
-                    F.sum("current_value").alias("current_value")))
+    names, columns = list(dimensions), [f"m{i}" for i in range(len(dimensions))]
+    cells = summed.select(*[F.col(c).cast("string").alias(m) for m, c in zip(columns, dimensions.values())],
+                          "base_value", "current_value")
+    # Bit i of the grouping id, from the left, is 0 in the set of dimension i.
+    every = (1 << len(names)) - 1
+    sets = {every - (1 << (len(names) - 1 - i)): i for i in range(len(names))}
+    members = (cells.groupingSets([[m] for m in columns], *columns)
+               .agg(F.sum("base_value").alias("base_value"), F.sum("current_value").alias("current_value"),
+                    F.grouping_id().alias("of"))
+               .select(F.create_map(*[x for k, i in sets.items() for x in (F.lit(k).cast("bigint"), F.lit(names[i]))])[F.col("of")]
+                       .alias("dimension"), F.coalesce(*columns).alias("member"), "base_value", "current_value"))
     if ranked:
         # The facts are read once; ranking goes on from the written members.
         members = cut_lineage(members)

@@ -99,3 +99,19 @@ def test_capped_result(sales):
     r = capped(sales.limit(2), 3).first()
     assert (r.row_count, r.truncated) == (2, False)
     assert capped(sales.filter("false"), 3).first().row_count == 0
+
+def test_attribution_shuffles_members_not_combinations(spark):
+    # 4000 rows, as many combinations of two dimensions, 200 members in each.
+    rows = spark.range(4000, numPartitions=1).select(
+        (F.col("id") % 200).alias("a"), F.when(F.col("id") >= 20, F.floor(F.col("id") / 20)).alias("b"),
+        F.lit("2026-01-05").alias("t"), F.lit(1.0).alias("v"))
+    found = D.attribution(rows, ["a", "b"], "t", F.col("v"), "2026-01", "2026-02", ranked=False)
+    got = {(r.dimension, r.member): r.base_value for r in found.collect()}
+    assert got == {**{("a", str(i)): 20.0 for i in range(200)}, **{("b", str(i)): 20.0 for i in range(1, 200)},
+                   ("b", None): 20.0}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    keys = [line for line in plan.splitlines() if "Aggregate [" in line and "spark_grouping_id" in line]
+    assert keys and "Expand" in plan
+    # No sum by the combinations comes before it.
+    assert all("spark_grouping_id" in line or "Aggregate [sum" in line or "Aggregate [m0" not in line
+               for line in plan.splitlines() if "Aggregate [" in line)
