@@ -5,8 +5,10 @@ bits that were set more than once. Pass 2 looks every text up: if one of its bit
 was set once only, no other text equals it, and its row passes straight through.
 Only the other rows are shuffled and compared, by the SHA-256 of the text.
 
-The filter has 16 bits per row. Up to ``BROADCAST_WORDS`` words (known before it is
-built) it is broadcast; a larger one stays a table that is joined on the word.
+The filter has 16 bits per row and stays a table; only 64-bit hashes go to it, and its
+answer is the short list of hashes that may repeat. Rows are joined with that list, not
+with the filter: up to ``BROADCAST_HASHES`` (counted first) it is broadcast and no row
+moves; a longer list is a join on the hash, in which rows move once.
 
 Defined cases: a null text counts as empty; texts are equal if they are identical
 once A-Z are lower-cased; of equal texts the row with the largest key stays, null
@@ -22,7 +24,8 @@ from anomalens.llm.common import lower_ascii, packed, text_of, unpacked
 from anomalens.plans.storage import cut_lineage
 
 ROWS_PER_WORD = 4
-BROADCAST_WORDS = 1_000_000
+# 64-bit hashes; some 64 MB as a hash table.
+BROADCAST_HASHES = 4_000_000
 
 
 def text_digest(text: str) -> Column:
@@ -58,20 +61,22 @@ def drop_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 
 def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows whose ``sha`` occurs once for certain, and rows where it may repeat."""
-    words = max(1, -(-rows.count() // ROWS_PER_WORD))
     rows = rows.withColumn("h", F.xxhash64("sha"))
-    word = F.pmod(F.col("h"), F.lit(words))
+    few = _maybe_repeated(cut_lineage(rows.select("h")))
+    few = F.broadcast(few) if few.count() <= BROADCAST_HASHES else few
+    tested = rows.join(few.withColumn("_maybe", F.lit(True)), "h", "left").drop("h")
+    return (tested.filter(F.col("_maybe").isNull()).drop("_maybe"), tested.filter("_maybe").drop("_maybe"))
+
+
+def _maybe_repeated(hashes: DataFrame) -> DataFrame:
+    """The hashes that the filter cannot tell from repeated ones, each once, written."""
+    words = max(1, -(-hashes.count() // ROWS_PER_WORD))
     other = F.xxhash64("h")
-    bits = F.array(other.bitwiseAND(63).cast("int"), 64 + F.shiftrightunsigned(other, 6).bitwiseAND(63).cast("int"))
-    bits = F.transform(bits, lambda b: b % 64)
+    bits = F.array(other.bitwiseAND(63).cast("int"), F.shiftrightunsigned(other, 6).bitwiseAND(63).cast("int"))
+    placed = hashes.select("h", F.pmod("h", F.lit(words)).alias("w"), bits.alias("bits"))
     # Twice the same bit of one text counts once.
-    counted = rows.select(word.alias("w"), F.explode(F.array_distinct(bits)).alias("b")).groupBy("w", "b").count()
+    counted = placed.select("w", F.explode(F.array_distinct("bits")).alias("b")).groupBy("w", "b").count()
     repeated = counted.filter("count > 1").groupBy("w").agg(
         F.bit_or(F.expr("shiftleft(1L, b)")).alias("seen"))
-    if words <= BROADCAST_WORDS:
-        repeated = F.broadcast(repeated)
-    tested = rows.withColumn("w", word).withColumn("_bits", bits).join(repeated, "w", "left")
-    maybe = F.coalesce(F.expr("shiftrightunsigned(seen, _bits[0]) & shiftrightunsigned(seen, _bits[1]) & 1 = 1"),
-                       F.lit(False))
-    tested = tested.withColumn("_maybe", maybe).drop("w", "_bits", "seen", "h")
-    return tested.filter(~F.col("_maybe")).drop("_maybe"), tested.filter("_maybe").drop("_maybe")
+    both = F.expr("shiftrightunsigned(seen, bits[0]) & shiftrightunsigned(seen, bits[1]) & 1 = 1")
+    return cut_lineage(placed.join(repeated, "w").filter(both).select("h").distinct())

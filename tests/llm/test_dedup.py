@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from anomalens.llm import exact_dedup, ngram_join, suffix_dedup
 
@@ -34,7 +35,7 @@ def test_copies_equal_brute_force(docs):
 
 @pytest.mark.parametrize("limit", [0, 1_000_000])
 def test_kept_rows_keep_their_columns(docs, monkeypatch, limit):
-    monkeypatch.setattr(exact_dedup, "BROADCAST_WORDS", limit)
+    monkeypatch.setattr(exact_dedup, "BROADCAST_HASHES", limit)
     kept = exact_dedup.drop_copies(docs)
     assert kept.columns == docs.columns
     got = kept.collect()
@@ -44,6 +45,24 @@ def test_kept_rows_keep_their_columns(docs, monkeypatch, limit):
     assert sorted((normal(r.text), r.doc_id) for r in got) == sorted(best.items())
 
 
+def test_the_filter_names_all_repeated_hashes_and_few_others(spark):
+    # 20,000 hashes once, 500 twice, one 3,000 times.
+    once, twice = spark.range(20_000), spark.range(20_000, 20_500)
+    hot = spark.range(3_000).select(F.lit(99_999).cast("long").alias("id"))
+    hashes = once.union(twice).union(twice).union(hot).select(F.xxhash64("id").alias("h"))
+    found = {r.h for r in exact_dedup._maybe_repeated(hashes).collect()}
+    want = {r.h for r in twice.union(hot.limit(1)).select(F.xxhash64("id").alias("h")).collect()}
+    assert want <= found and len(found) < len(want) + 0.1 * 20_000
+
+
+def test_single_rows_pass_without_an_exchange(spark):
+    df = spark.range(100).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 99).alias("text"))
+    single, double = exact_dedup._split(df.select(F.col("text"), exact_dedup.text_digest("text").alias("sha")))
+    plan = single._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert single.count() + double.count() == 100 and double.filter("text = 't0'").count() == 2
+
+
 def test_null_keys_and_empty_tables(spark, no_docs):
     df = spark.createDataFrame([(None, "a"), (3, "A"), (None, "b"), (None, "b")], "doc_id long, text string")
     got = exact_dedup.group_copies(df).collect()
