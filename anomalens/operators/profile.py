@@ -63,7 +63,7 @@ def _one_zero(column: str, kind: T.DataType) -> Column:
 
 
 def _digest(column: str, kind: T.DataType) -> list[Column]:
-    """A value as 128 bits, NULL for NULL. Two hashes of different seeds: values of up to
+    """A value as 128 bits, NULL for NULL. Two hashes of different seeds: numbers of up to
     64 bits never collide, of others a pair does with a chance of 2**-128."""
     c = _one_zero(column, kind)
     return [F.when(c.isNotNull(), h) for h in (F.xxhash64(c), F.xxhash64(F.lit(1), c))]
