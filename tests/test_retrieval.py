@@ -150,3 +150,52 @@ def test_phrase_search_is_linear_in_a_long_query(spark):
     asked = spark.createDataFrame([(0, query)], "qid int, query string")
     assert I.boosts(index, asked).count() == 200
     assert [r.id for r in I.search(index, asked, 3).collect()]
+
+
+@pytest.mark.parametrize("plan_postings", [0, 10 ** 9])
+def test_posted_index_gives_the_hits_of_a_scan(spark, monkeypatch, plan_postings):
+    monkeypatch.setattr(I, "PLAN_POSTINGS", plan_postings)
+    monkeypatch.setattr(I, "BLOCK_POSTINGS", 16)
+    entries, asks = drawn(150)
+    queries = spark.createDataFrame(list(enumerate(asks)), "qid int, query string")
+    index = I.post(I.build_index(frame(spark, entries)))
+    assert index.posted
+    got = {}
+    for r in I.search(index, queries, 3, "metric").orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append((r.id, r.score))
+    assert [got[i] for i in range(len(asks))] == [brute_force(entries, q, 3, "metric") for q in asks]
+
+
+@pytest.mark.parametrize("hot_terms", [200_000, 0])
+def test_equal_entries_score_the_same_to_the_last_bit(spark, monkeypatch, hot_terms):
+    monkeypatch.setattr(I, "HOT_TERMS", hot_terms)
+    r = random.Random(3)
+    body = " ".join(r.choices([f"w{i}" for i in range(300)], k=400))
+    entries = [(f"e{i}", "metric", "", body if i % 2 else " ".join(r.choices(body.split(), k=50)), [], []) for i in range(80)]
+    index = I.build_index(frame(spark, entries).repartition(7))
+    asked = spark.createDataFrame([(0, body)], "qid int, query string")
+    rows = [x for x in I.search(index, asked, 80).collect() if x.ord % 2]
+    assert len(rows) == 40 and len({x.score for x in rows}) == 1
+    norms = {x.norm for x in I.lengths(index.segments).collect() if x.ord % 2}
+    assert len(norms) == 1
+
+
+def test_a_scan_shuffles_no_postings(spark, index, queries, capsys):
+    I.hits(index, queries, 3).explain()
+    plan = capsys.readouterr().out
+    assert "hashpartitioning(ord" in plan and "hashpartitioning(tok" not in plan
+    assert "InArrow" not in plan and "Python" not in plan
+
+
+def test_counts_of_an_entry_are_made_without_python(spark):
+    rows = [("a", "metric", "T", "x y x  7 晚点 晚", ["x", None], [], 0), ("b", "metric", None, None, None, None, 1)]
+    entries = spark.createDataFrame(rows, "id string, kind string, title string, text string, tags array<string>, tables array<string>, ord long")
+    got = {r.ord: dict(zip(r.toks, r.counts)) for r in I.build_segment(entries).entries.collect()}
+    assert got == {0: dict(Counter(tokens("T x y x 7 晚点 晚 x"))), 1: {}}
+    assert not hasattr(I, "_row_counts")
+
+
+def test_phrases_need_no_index(spark, index, queries, monkeypatch):
+    monkeypatch.setattr(I, "build_segment", None)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(I.phrase_boosts(frame(spark, ENTRIES), queries)) == key(I.boosts(index, queries))

@@ -44,7 +44,7 @@ def _shown(df: DataFrame) -> DataFrame:
 
 def boosts(spark: SparkSession, sf: str) -> DataFrame:
     """The phrases in each query, their boost and how many entries get it."""
-    return I.boosts(_index(spark, sf), _queries(spark, sf))
+    return I.phrase_boosts(document_entries(spark, sf), _queries(spark, sf))
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
