@@ -10,7 +10,10 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F, types as T
 
 from anomalens.functions.sqltext import normalize, strip
@@ -55,11 +58,25 @@ class _Compare:
         return self._cached((a, b, threshold), compute)
 
 
-@F.pandas_udf(T.DoubleType())
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def _coded(texts: pa.Array) -> tuple[np.ndarray, list[str | None]]:
+    """Texts as numbers: each one's place in the list of distinct ones, -1 (where the
+    list has None) for NULL."""
+    coded = texts.dictionary_encode()
+    return coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32), [*coded.dictionary.to_pylist(), None]
+
+
+def _ends(lists: pa.Array) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))])
+
+
+@F.arrow_udf(T.DoubleType())
+def _ratio(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Equal pairs of a batch are compared once."""
     compare = _Compare()
-    return pd.Series([None if x is None or y is None else compare.ratio(x, y)
-                      for x, y in zip(a, b)], dtype="float64")
+    (left, texts), (right, others) = _coded(a), _coded(b)
+    pairs, place = np.unique(np.stack([left, right]), axis=1, return_inverse=True)
+    answers = [None if i < 0 or j < 0 else compare.ratio(texts[i], others[j]) for i, j in pairs.T.tolist()]
+    return pa.array(answers, pa.float64()).take(pa.array(place.reshape(-1)))
 
 
 def _decide(a: Column, b: Column, known: Column) -> Column:
@@ -87,22 +104,27 @@ def sql_similarity(a: Column, b: Column, mask: bool = False) -> Column:
     return form_similarity(normalize(a, mask), normalize(b, mask))
 
 
-def _clean(text: Column) -> Column:
+def clean(text: Column) -> Column:
     return F.lower(strip(F.coalesce(text, F.lit(""))))
 
 
-def contains_match(pred: Column, gold: Column) -> Column:
-    """1 if either text contains the other, 0 if one is empty, else NULL."""
-    p, g = _clean(pred), _clean(gold)
+def contains_match(p: Column, g: Column) -> Column:
+    """1 if either clean text contains the other, 0 if one is empty, else NULL. Both
+    stand in the expression several times, so hand in columns that are worked out."""
     return (
         F.when((p == "") | (g == ""), F.lit(0.0))
         .when(F.contains(p, g) | F.contains(g, p), F.lit(1.0))
     )
 
 
+def clean_match(p: Column, g: Column) -> Column:
+    """``text_match`` of texts that are clean already."""
+    return _decide(p, g, contains_match(p, g))
+
+
 def text_match(pred: Column, gold: Column) -> Column:
     """1 if either text contains the other, else the ratio; 0 if one is empty."""
-    return _decide(_clean(pred), _clean(gold), contains_match(pred, gold))
+    return clean_match(clean(pred), clean(gold))
 
 
 class _Near:
@@ -210,12 +232,18 @@ _SESSION = T.StructType([
 ])
 
 
-@F.pandas_udf(_SESSION)
-def _session(forms: pd.Series, masked: pd.Series, repairs: pd.Series, evidence: pd.Series,
-             threshold: pd.Series) -> pd.DataFrame:
+_ANSWER = pa.struct([("kept", pa.list_(pa.bool_())), ("repair", pa.list_(pa.float64())),
+                     ("best", pa.list_(pa.struct([("idx", pa.int32()), ("sim", pa.float64())])))])
+
+
+@F.arrow_udf(_SESSION)
+def _session(forms: pa.Array, masked: pa.Array, repairs: pa.Array, evidence: pa.Array,
+             threshold: pa.Array) -> pa.Array:
     """All comparisons a session record needs, in one trip to Python: kept forms;
     similarity of each marked call to the one before it; and for each evidence
-    form the first most similar call (idx -1 if none is above 0)."""
+    form the first most similar call (idx -1 if none is above 0). Records of a batch
+    that are equal in all of this are compared once; they are told apart by the numbers
+    of their texts."""
     compare = _Compare()
 
     def best(form, given):
@@ -228,13 +256,27 @@ def _session(forms: pd.Series, masked: pd.Series, repairs: pd.Series, evidence:
                 idx, sim = i, score
         return {"idx": idx, "sim": sim}
 
-    out: dict[str, list] = {"kept": [], "repair": [], "best": []}
-    for fs, ms, marks, wanted, t in zip(forms, masked, repairs, evidence, threshold):
-        out["kept"].append(_walk(compare, fs, ms, [False] * len(fs), t))
-        out["repair"].append([compare.ratio(ms[i - 1], ms[i]) if marked else None
-                              for i, marked in enumerate(marks)])
-        out["best"].append([best(w, fs) for w in wanted])
-    return pd.DataFrame(out)
+    def answer(fs, ms, marks, wanted, t):
+        return {"kept": _walk(compare, fs, ms, [False] * len(fs), t),
+                "repair": [compare.ratio(ms[i - 1], ms[i]) if marked else None for i, marked in enumerate(marks)],
+                "best": [best(w, fs) for w in wanted]}
+
+    coded = [_coded(c.flatten()) for c in (forms, masked, evidence)]
+    columns = [codes for codes, _ in coded] + [repairs.flatten().fill_null(False).to_numpy(zero_copy_only=False)]
+    ends = [_ends(c).tolist() for c in (forms, masked, evidence, repairs)]
+    limits = threshold.to_pylist()
+    known: dict[tuple, int] = {}
+    answers, place = [], []
+    for i, t in enumerate(limits):
+        parts = [c[e[i]:e[i + 1]] for c, e in zip(columns, ends)]
+        key = (*(p.tobytes() for p in parts), t)
+        at = known.get(key)
+        if at is None:
+            at = known[key] = len(answers)
+            fs, ms, wanted = ([words[j] for j in p.tolist()] for p, (_, words) in zip(parts, coded))
+            answers.append(answer(fs, ms, parts[3].tolist(), wanted, t))
+        place.append(at)
+    return pa.array(answers, _ANSWER).take(pa.array(place, pa.int32()))
 
 
 # Marked so that no later filter is pushed below them and makes them run twice.

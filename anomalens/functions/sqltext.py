@@ -147,3 +147,22 @@ def normalize(sql: Column, mask: bool = False) -> Column:
         bare = mask_numbers(bare)
     tight = F.regexp_replace(bare, " ?, ?", ",")
     return F.regexp_replace(F.regexp_replace(tight, r"\( ?", "("), r" ?\)", ")")
+
+
+# The steps of ``normalize``: the pattern, what replaces it, and texts of which a text
+# that the step changes has one.
+_NOISE_STEPS = ((_DOLLAR, "''", ("$$",)), (_BLOCK_COMMENT, " ", ("/*",)), (_LINE_COMMENT, " ", ("--",)),
+                (_SINGLE, "''", ("'",)), (_DOUBLE, '""', ('"',)))
+_TIGHT_STEPS = ((" ?, ?", ",", (" ,", ", ")), (r"\( ?", "(", ("( ",)), (r" ?\)", ")", (" )",)))
+
+
+def normalize_all(texts: Column) -> Column:
+    """``normalize`` of every text of a list. Each step is one pass over the list, so a
+    text that has nothing for a pattern to find is not scanned by it."""
+    def passed(c: Column, pattern: str, by: str, marks: Sequence[str]) -> Column:
+        found = lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(m)) for m in marks])
+        return F.transform(c, lambda x: F.when(found(x), F.regexp_replace(x, pattern, by)).otherwise(x))
+    plain = reduce(lambda c, step: passed(c, *step), _NOISE_STEPS, texts)
+    flat = F.transform(plain, lambda x: collapse_spaces(F.lower(x)))
+    bare = F.transform(passed(flat, r"^;+|;+\z", "", (";",)), lambda x: F.trim(x))
+    return reduce(lambda c, step: passed(c, *step), _TIGHT_STEPS, bare)

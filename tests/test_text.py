@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from anomalens.functions import similarity as M, sqltext as S, tokens as T, values as V
 from anomalens.operators import querylog as Q
+from anomalens.plans.spread import spread
 
 LATE = "SELECT avg(delay) FROM trips WHERE line = 'U4'"
 LATE_BY_HOUR = "SELECT hour(start), avg(delay) FROM trips WHERE line = 'U4' GROUP BY 1"
@@ -128,3 +129,28 @@ def test_tokens(spark):
 def test_outcome_tally(spark):
     df = spark.createDataFrame([(True, None), (False, "illegal"), (False, "execution")], "ok boolean, error_type string")
     assert tuple(Q.outcome_tally(df).first()) == (3, 1, 1, 0, 1)
+
+
+def test_normal_forms_of_a_list_equal_those_of_its_texts(spark):
+    texts = ["", None, " ; select 1 ;; ", "a$$x'y$$b", "/* c */ f( 1 , 2 )", "x -- y\n z", "'it''s' , \"q\"\"r\"", "'never closed '' here", "( a ,b)", "f(x );", "$$ /* -- '"]
+    df = spark.createDataFrame([(texts,)], "t array<string>")
+    row = df.select(S.normalize_all(F.col("t")).alias("a"), F.transform("t", lambda x: S.normalize(x)).alias("b")).first()
+    assert row.a == row.b
+
+
+def test_heavy_rows_get_several_tasks_a_core(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(spark.range(100).coalesce(1), 4).rdd.getNumPartitions() == 4 * cores
+    assert spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == cores
+
+
+def test_equal_records_are_compared_once_and_alike(spark):
+    rows = [(["a b c", "a b d", ""], ["a b c", "a b ?", ""], [False, True, False], ["a b d", None], 0.95),
+            ([], [], [], [], 0.95), (["x"], ["x"], [False], ["a b d"], 0.95)] * 40
+    df = spark.createDataFrame(rows, "f array<string>, m array<string>, r array<boolean>, e array<string>, t double").coalesce(1)
+    got = [r.x for r in df.select(M.session_comparisons("f", "m", "r", "e", "t").alias("x")).collect()]
+    assert got[:3] * 40 == got
+    assert got[0].kept == [True, True, False] and got[0].repair[1] == pytest.approx(0.8) and got[0].repair[::2] == [None, None]
+    assert [tuple(b) for b in got[0].best] == [(1, 1.0), (-1, 0.0)]
+    assert got[1].kept == [] and [tuple(b) for b in got[2].best] == [(-1, 0.0)]
+    assert len(got) == 120

@@ -10,9 +10,9 @@ NAMES = ("region nation customer supplier part orders lineitem events documents
          "pages benchmark labels conversations").split()
 
 
-def heavy(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def heavy(spark: SparkSession, folder: str, name: str, waves: int = 1) -> DataFrame:
     """A table whose rows take much work each."""
-    return spread(table(spark, folder, name))
+    return spread(table(spark, folder, name), waves)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
