@@ -27,7 +27,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -39,7 +38,8 @@ PER_CLASS = 10_000
 EDITS, FUZZY_LENGTH = 1, 3
 MEASURED_LENGTH, MOST_FALSE = 5, 0.002
 SIGNIFICANCE, LEAST_DOCS, LEAST_ODDS = 12.0, 3, 3.0
-_CACHED = 400_000
+# Tokens and words whose answers a task keeps; each is some 250 bytes, in every worker.
+_CACHED = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"\S+")
 _TRIMMED = re.compile(r"[^\W_](?:.*[^\W_])?", re.DOTALL)
@@ -349,12 +349,13 @@ def toxic_score(text: Column, model: Model) -> Column:
     """The score (0 to 1) of a text column."""
     weights, scale = np.array(model.weights), np.array(model.scale)
 
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         lexicon = Lexicon(model.terms, swaps=True, strict=model.strict)
         for batch in batches:
-            x = np.array([features_of(t or "", lexicon) for t in batch]).reshape(-1, len(FEATURES))
-            yield pd.Series(sigmoid((x / scale) @ weights + model.bias))
+            # One text at a time: a batch may be any number of MB, and is not held twice.
+            x = np.array([features_of(t.as_py() or "", lexicon) for t in batch]).reshape(-1, len(FEATURES))
+            yield pa.array(sigmoid((x / scale) @ weights + model.bias), pa.float64())
     return run.asNondeterministic()(text)
 
 

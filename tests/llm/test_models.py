@@ -251,3 +251,12 @@ def test_pipeline(spark, tables):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, path)
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, whole.select(key).collect())) == sorted(map(tuple, pieces.select(key).collect()))
+
+
+def test_a_lexicon_keeps_a_bounded_number_of_answers():
+    from anomalens.llm.toxicity import Lexicon
+    lexicon = Lexicon({"scoundrel": 1.0}, swaps=True)
+    for i in range(150_000):
+        lexicon.hits(f"q{i}")
+    assert len(lexicon._tokens) <= 100_000 and len(lexicon._kept) <= 100_000
+    assert lexicon.hits("scoundrel")[1] == ((0, "scoundrel", 0),)
