@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F
 # Quotes are doubled, blanks are data.
 _CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False,
         "ignoreTrailingWhiteSpace": False}
+# Rows of a file that is written.
+FILE_ROWS = 10_000
 
 
 def csv_tables(spark: SparkSession, raw_dir: str) -> list[str]:
@@ -87,8 +89,9 @@ def load_csvs(spark: SparkSession, raw_dir: str, database: str, location: str |
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Values with quotes, separators or line breaks are quoted, quotes doubled."""
-    df.write.mode("overwrite").options(**_CSV).csv(path)
+    """Values with quotes, separators or line breaks are quoted, quotes doubled. A file
+    has at most ``FILE_ROWS`` rows: with such breaks it is one task's work to read."""
+    df.write.mode("overwrite").options(**_CSV).option("maxRecordsPerFile", FILE_ROWS).csv(path)
 
 
 def list_tables(spark: SparkSession, database: str) -> DataFrame:

@@ -201,3 +201,10 @@ def test_profile_of_many_tables(spark):
     some = P.profile_tables({"a": a, "b": b}, max_distinct_scan=2).collect()
     assert {(r.table_name, r.distinct_count) for r in some} == {("a", -1), ("b", 1), ("b", 2)}
     assert P.profile_entries(P.listed_tables({"b": b})).first().text == "2 rows. Columns: f (double), b (binary)"
+
+
+def test_csv_files_are_short(spark, tmp_path):
+    at = str(tmp_path / "t.csv")
+    S.write_csv(spark.range(25_000).coalesce(1).selectExpr("id", "concat('a\nb', id) AS t"), at)
+    assert len(list((tmp_path / "t.csv").glob("part-*"))) == 3
+    assert S.read_csv(spark, at).agg({"id": "sum"}).first()[0] == 25_000 * 24_999 // 2
