@@ -35,6 +35,10 @@ TRAJECTORY = (f"task_id string, question string, messages array<struct<role stri
               f"budget {BUDGET}, reference {REFERENCE}, meta variant, created_at double")
 
 
+# Session records of a file that is written.
+FILE_ROWS = 10_000
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType,
                multi_line: bool = False) -> DataFrame:
     """JSON records with a given schema: blank lines are skipped, a missing path
@@ -48,10 +52,10 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType,
         return spark.createDataFrame([], schema)
 
 
-def _write(df: DataFrame, path: str, mode: str) -> int:
+def _write(df: DataFrame, path: str, mode: str, **options: str | int) -> int:
     seen = Observation()
     counted = df.observe(seen, F.count(F.lit(1)).alias("n"))
-    counted.write.mode(mode).option("ignoreNullFields", False).json(path)
+    counted.write.mode(mode).options(ignoreNullFields=False, **options).json(path)
     return seen.get["n"]
 
 
@@ -101,6 +105,13 @@ def write_context(df: DataFrame, path: str) -> int:
     return write_jsonl(df.select(*cols), path)
 
 
+def write_trajectories(df: DataFrame, path: str) -> int:
+    """Replace the session records at ``path``, gzipped: a record has its whole session in
+    its line, and field names, statements and results repeat. A gzipped file is one task's
+    work to read, so it has at most ``FILE_ROWS`` records."""
+    return _write(df, path, "overwrite", compression="gzip", maxRecordsPerFile=FILE_ROWS)
+
+
 def read_trajectories(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Session records. ``task_id`` repeats across runs, and runs may even be equal, so
     ``traj_id`` names the place of the record: its file, the part of the file and the

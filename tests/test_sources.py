@@ -1,10 +1,14 @@
 import csv
+import gzip
 import json
+import os
+from urllib.parse import unquote, urlparse
 
 import pytest
 
 from anomalens.operators import profile as P
 from anomalens.sources import records as R, tables as S
+from workload import scoring as W
 
 
 def write(folder, name, text):
@@ -208,3 +212,27 @@ def test_csv_files_are_short(spark, tmp_path):
     S.write_csv(spark.range(25_000).coalesce(1).selectExpr("id", "concat('a\nb', id) AS t"), at)
     assert len(list((tmp_path / "t.csv").glob("part-*"))) == 3
     assert S.read_csv(spark, at).agg({"id": "sum"}).first()[0] == 25_000 * 24_999 // 2
+
+
+def test_session_records_take_little_disk(spark, tmp_path):
+    spark.range(25_000).coalesce(1).selectExpr("id AS o_orderkey", "id % 1500 AS o_custkey", "'F' AS o_orderstatus",
+                                   "'1-URGENT' AS o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    df = W.trajectory_scan(spark, str(tmp_path))
+    assert {(r.task_id, r.n_turns, r.a) for r in df.select("task_id", "n_turns", "a").collect()} == {
+        (str(i), i % 7 + 1, float(i % 1500 % 10)) for i in range(25_000)}
+    files = [unquote(urlparse(f).path) for f in df.inputFiles()]
+    assert sum(map(os.path.getsize, files)) < 25_000 * 200  # plain lines have 1300 bytes each
+    lines = [json.loads(line) for f in files for line in gzip.open(f, "rt", encoding="utf-8")]
+    assert len(lines) == 25_000 and {len(r["steps"]) for r in lines} == set(range(1, 8))
+    assert {"task_id", "messages", "steps", "final_answer", "terminated_reason", "budget", "reference"} == {k for r in lines for k in r}
+
+
+def test_session_records_go_to_short_files(spark, tmp_path):
+    df = spark.range(25_000).coalesce(1).selectExpr("cast(id AS string) AS task_id", "array(struct('user' AS role, concat('é\n\"', id) AS content)) AS messages",
+                                                    "map('x', cast(NULL AS double)) AS meta", "cast(NULL AS string) AS error")
+    assert R.write_trajectories(df, f"{tmp_path}/t") == 25_000
+    assert len(list((tmp_path / "t").glob("part-*.gz"))) == 3
+    back = R.read_trajectories(spark, f"{tmp_path}/t")
+    assert back.select("traj_id").distinct().count() == 25_000
+    assert {(r.task_id, r.messages[0].content) for r in back.select("task_id", "messages").collect()} == {(str(i), f'é\n"{i}') for i in range(25_000)}
+    assert R.write_trajectories(df.limit(0), f"{tmp_path}/t") == 0 and R.read_trajectories(spark, f"{tmp_path}/t").count() == 0

@@ -86,7 +86,7 @@ def _parts(*names: str):
 def trajectory_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Records written as JSONL and scanned with the explicit schema."""
     path = scratch_path(spark, "trajectories")
-    R.write_jsonl(records(spark, sf), path)
+    R.write_trajectories(records(spark, sf), path)
     back = N.with_stats(R.read_trajectories(spark, path))
     return back.select("task_id", "terminated_reason", "stats.n_turns", "stats.n_sql_calls",
                        "stats.duplicate_sql_count",
